@@ -161,7 +161,7 @@ def corpus_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return listed.filter("n_docs >= 3").select(
         "term",
-        F.upper("term").alias("target"),
+        F.concat(F.lit("VI "), F.col("term")).alias("target"),
         category_of(F.col("term")).alias("category"),
         F.when(F.length("term") % 2 == 0, F.left("term", F.lit(3))).alias("notes"),
         "ordinal",
@@ -169,7 +169,7 @@ def corpus_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS_GLOSSARY_SQL = f"""
-    SELECT term, upper(term) AS target, {CATEGORY_SQL.format(term="term")} AS category,
+    SELECT term, 'VI ' || term AS target, {CATEGORY_SQL.format(term="term")} AS category,
            CASE WHEN length(term) % 2 = 0 THEN left(term, 3) END AS notes, min(seq) AS ordinal
     FROM ({TOKENS_SQL.format(key="doc_id", table="documents")})
     GROUP BY term HAVING count(DISTINCT doc_id) >= 3

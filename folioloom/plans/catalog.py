@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from folioloom.plans import text_queries  # noqa: F401
+from folioloom.plans import (  # noqa: F401
+    book_queries,
+    event_queries,
+    glossary_queries,
+    page_queries,
+    status_queries,
+    text_queries,
+)
 from folioloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
