@@ -204,10 +204,10 @@ def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of jobs: user = job, view = progress, the others are chapter and job states."""
     raw = table(spark, sf_dir, "events")
-    return raw.select("event_id", "ts", F.col("user_id").alias("job_id"), *_event_fields())
+    return raw.select("event_id", "ts", F.col("user_id").alias("job_id"), *event_fields())
 
 
-def _event_fields() -> list[Column]:
+def event_fields() -> list[Column]:
     kinds = {
         "view": "progress",
         "click": "chapter_crawled",

@@ -6,6 +6,7 @@ from folioloom.plans import (  # noqa: F401
     glossary_queries,
     page_queries,
     status_queries,
+    stream_queries,
     text_queries,
 )
 from folioloom.plans.registry import ORACLES, QUERIES

@@ -50,10 +50,15 @@ def _plain(html: str) -> str:
     )
 
 
+PLAIN_TITLE = _plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
+PLAIN_ARTICLE = _plain(
+    "replace(split_part(split_part(html, '<article>', 2), '</article>', 1), '</h1><p>', '')"
+)
+
+
 @query(
     f"""SELECT page_id, title, body AS text, true AS from_content FROM (
-          SELECT page_id, {_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title,
-                 {_plain("split_part(split_part(html, '<article>', 2), '</article>', 1)")} AS body FROM pages)
+          SELECT page_id, {PLAIN_TITLE} AS title, {PLAIN_ARTICLE} AS body FROM pages)
         WHERE length(body) > 100"""
 )
 def main_text(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The order in which encodings are tried.
 FALLBACK_ENCODINGS = ["gbk", "gb18030", "utf-8", "latin-1"]
@@ -18,7 +19,7 @@ def normalize_encoding(label: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_chain(content: pd.Series, label: pd.Series) -> pd.Series:
     def one(data: bytes, first: str) -> str | None:
         if data is None:
