@@ -203,7 +203,7 @@ def ebook_parts(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> D
         F.lit('.xhtml"/></navPoint>'),
     )
     opf, ncx = "OEBPS/content.opf", "OEBPS/toc.ncx"
-    identifier = F.concat(F.lit("urn:folio:"), F.hex(F.xxhash64("book_id")))
+    identifier = F.concat(F.lit("urn:folio:"), F.left(F.sha2("book_id", 256), F.lit(16)))
     opf_head = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package version="2.0" unique-identifier="BookId">\n'),
         F.lit("  <metadata><dc:title>"),

@@ -128,7 +128,65 @@ def ebook_chapters(spark, sf_dir):
     return parts.filter(F.col("path").startswith("OEBPS/chapters/")).select("book_id", "path", "content")
 
 
-@query()
+_NL = "chr(10)"
+_NUMBERED = f"""(SELECT *, lpad(CAST(number AS VARCHAR), 4, '0') AS name, (number - 1) // {SEGMENT} AS seg FROM (
+    SELECT book_id, text, {_ESC.format(x=_TITLE)} AS label, row_number() OVER (PARTITION BY book_id ORDER BY index) AS number
+    FROM {_C} WHERE status = 'translated'))"""
+_HEADS = f"""(SELECT book_id, {_ESC.format(x="title")} AS t, {_ESC.format(x="author")} AS a,
+                'urn:folio:' || left(sha256(book_id), 16) AS uid FROM {_BOOKS} WHERE {_HAS})"""
+_XML = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || "
+
+
+def _xhtml_sql(title: str, style: str, body: str) -> str:
+    lines = [
+        "'<html xmlns=\"http://www.w3.org/1999/xhtml\">'",
+        "'<head>'",
+        f"'    <title>' || {title} || '</title>'",
+        f"'    <link rel=\"stylesheet\" href=\"{style}\"/>'",
+        "'</head>'",
+        "'<body>'",
+        body,
+        "'</body>'",
+        "'</html>'",
+    ]
+    return _XML + f" || {_NL} || ".join(lines)
+
+
+def _listed_sql(path: str, first: int, line: str) -> str:
+    return f"""SELECT book_id, '{path}', seg + {first}, string_agg({line}, chr(10) ORDER BY number)
+               FROM {_NUMBERED} GROUP BY book_id, seg"""
+
+
+_OPF, _NCX = "OEBPS/content.opf", "OEBPS/toc.ncx"
+_ITEM = """'    <item id="chapter' || name || '" href="chapters/chapter_' || name || '.xhtml" media-type="application/xhtml+xml"/>'"""
+_POINT = """'    <navPoint id="navpoint' || number || '" playOrder="' || number || '"><navLabel><text>' || label ||
+            '</text></navLabel><content src="chapters/chapter_' || name || '.xhtml"/></navPoint>'"""
+_PAGE_BODY = f"'<h2>' || label || '</h2>' || {_NL} || {_XP}"
+_COVER = f"""'<h1>' || t || '</h1>' || {_NL} || '<p class="author">' || a || '</p>'"""
+
+
+@query(
+    f"""SELECT book_id, 'OEBPS/chapters/chapter_' || name || '.xhtml' AS path, 0 AS segment,
+               {_xhtml_sql("label", "../styles.css", _PAGE_BODY)} AS content FROM {_NUMBERED}
+        UNION ALL SELECT book_id, '{_OPF}', 0, {_XML} '<package version="2.0" unique-identifier="BookId">' || {_NL}
+          || '  <metadata><dc:title>' || t || '</dc:title><dc:creator>' || a || '</dc:creator><dc:identifier id="BookId">'
+          || uid || '</dc:identifier></metadata>' || {_NL} || '  <manifest>' FROM {_HEADS}
+        UNION ALL {_listed_sql(_OPF, 1, _ITEM)}
+        UNION ALL SELECT book_id, '{_OPF}', {1 << 40}, '  </manifest>' || {_NL} || '  <spine toc="ncx">' || {_NL}
+          || '    <itemref idref="titlepage"/>' FROM {_HEADS}
+        UNION ALL {_listed_sql(_OPF, (1 << 40) + 1, "'    <itemref idref=\"chapter' || name || '\"/>'")}
+        UNION ALL SELECT book_id, '{_OPF}', {1 << 41}, '  </spine>' || {_NL} || '</package>' FROM {_HEADS}
+        UNION ALL SELECT book_id, '{_NCX}', 0, {_XML} '<ncx version="2005-1">' || {_NL}
+          || '  <head><meta name="dtb:uid" content="' || uid || '"/></head>' || {_NL} || '  <docTitle><text>' || t
+          || '</text></docTitle>' || {_NL} || '  <navMap>' FROM {_HEADS}
+        UNION ALL {_listed_sql(_NCX, 1, _POINT)}
+        UNION ALL SELECT book_id, '{_NCX}', {1 << 41}, '  </navMap>' || {_NL} || '</ncx>' FROM {_HEADS}
+        UNION ALL SELECT book_id, 'OEBPS/titlepage.xhtml', 0, {_xhtml_sql("t", "styles.css", _COVER)} FROM {_HEADS}
+        UNION ALL SELECT book_id, 'META-INF/container.xml', 0, '<?xml version="1.0"?>' || {_NL}
+          || '<container version="1.0"><rootfiles><rootfile full-path="{_OPF}" media-type="application/oebps-package+xml"/></rootfiles></container>'
+          FROM {_HEADS}
+        UNION ALL SELECT book_id, 'OEBPS/styles.css', 0, 'p {{ text-indent: 1.5em; }}' FROM {_HEADS}"""
+)
 def ebook_parts(spark, sf_dir):
     """All files of the e-books."""
     return asm.ebook_parts(asm.book_metadata(_books(spark, sf_dir)), _readable(spark, sf_dir), SEGMENT)
@@ -226,7 +284,35 @@ def _echo(main: str, context: str | None, state: dict | None) -> str:
     return head + '\n---STATE---\n{"speaker": "s' + str(len(main) % 7) + '"}'
 
 
-@query()
+_FOLD_SQL = f"""
+  WITH RECURSIVE
+    turns AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    walk AS (
+      SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS translated,
+             '{{}}' AS state, CAST(0 AS BIGINT) AS failures, true AS tracking FROM conversations
+      UNION ALL
+      SELECT conv_id, k, turn, translated,
+             CASE WHEN NOT tracking OR failures >= 2 THEN '{{}}' WHEN contains(text, '---') AND k > 1 THEN '{{}}'
+                  WHEN new_state IS NOT NULL THEN new_state ELSE state END,
+             failures, tracking AND failures < 2
+      FROM (SELECT *, CASE WHEN tracking THEN {_strip("head")}
+                           WHEN new_state IS NULL THEN head
+                           ELSE head || chr(10) || '---STATE---' || chr(10) || new_state END AS translated
+            FROM (SELECT w.conv_id, t.k, t.turn, t.text, w.state, w.tracking,
+                         CASE WHEN length(t.text) % 4 = 0 THEN NULL
+                              ELSE '{{"speaker": "s' || (length(t.text) % 7) || '"}}' END AS new_state,
+                         CASE WHEN NOT w.tracking THEN w.failures
+                              WHEN length(t.text) % 4 = 0 THEN w.failures + 1 ELSE 0 END AS failures,
+                         length(t.text) || '|' || length(right(coalesce(w.translated, ''), 300)) || '|' ||
+                           CASE WHEN w.tracking THEN coalesce(json_extract_string(w.state, '$.speaker'), '-') ELSE '-' END
+                           || chr(10) || left(t.text, 40) AS head
+                  FROM walk w JOIN turns t ON t.conv_id = w.conv_id AND t.k = w.k + 1))
+    )
+  SELECT conv_id, turn, translated, state AS state_json, 'ok' AS outcome FROM walk WHERE k > 0
+"""
+
+
+@query(_FOLD_SQL)
 def sequential_fold(spark, sf_dir):
     """Conversations run through a function turn by turn, with context and state."""
     turns = ad.table(spark, sf_dir, "conversations")

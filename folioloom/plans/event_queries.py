@@ -191,7 +191,25 @@ def style_changes(spark, sf_dir):
     return sy.check_changes(_changes(spark, sf_dir), *_styles(spark, sf_dir)).select("seq", "op", "name", "accepted")
 
 
-@query()
+_CHECKED = f"""(SELECT seq, op, c.name, description, CASE WHEN op = 'duplicate' THEN coalesce(new_name, c.name) ELSE c.name END AS target,
+        CASE op WHEN 'create' THEN NOT (b OR cu) WHEN 'update' THEN cu OR NOT b WHEN 'delete' THEN cu ELSE b OR cu END AS accepted
+    FROM (SELECT ch.*, coalesce(l.b, false) AS b, coalesce(l.cu, false) AS cu,
+                 CASE WHEN seq % 8 = 3 THEN 'Copy/' || seq END AS new_name, s.s_name AS description
+          FROM {_CHANGES} ch JOIN supplier s ON s.s_suppkey = ch.seq
+          LEFT JOIN (SELECT name, bool_or(NOT custom) AS b, bool_or(custom) AS cu FROM {_LAYERS} GROUP BY name) l
+            ON l.name = ch.name) c)"""
+
+
+@query(
+    f"""SELECT name, description, tone FROM {_LAYERS} WHERE custom AND name NOT IN
+          (SELECT target FROM {_CHECKED} WHERE accepted)
+        UNION ALL
+        SELECT name, description, tone FROM (
+          SELECT c.target AS name, c.seq, CASE WHEN op = 'duplicate' THEN l.description ELSE c.description END AS description,
+                 CASE WHEN op = 'duplicate' THEN l.tone ELSE 'plain' END AS tone
+          FROM {_CHECKED} c LEFT JOIN {_LAYERED} l ON l.name = c.name WHERE accepted AND op <> 'delete')
+        QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1"""
+)
 def styles_after_changes(spark, sf_dir):
     """The custom layer after all accepted changes."""
     return sy.apply_changes(_changes(spark, sf_dir), *_styles(spark, sf_dir), ["description", "tone"])

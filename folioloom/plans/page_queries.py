@@ -67,7 +67,16 @@ def main_text(spark, sf_dir):
     return pg.extract_main_text(pages, "article", "h1", ["script", "style"]).filter("from_content")
 
 
-@query()
+_BODY = "regexp_replace(split_part(html, '<body>', 2), '<(nav|footer|header|aside)>.*?</(nav|footer|header|aside)>', '', 'gs')"
+_BODY = f"regexp_replace({_BODY}, '<h1>.*?</h1>', '', 's')"
+_BODY = f"regexp_replace({_BODY}, '<article>\\s*<p>', '')"
+
+
+@query(
+    f"""SELECT page_id, {PLAIN_TITLE} AS title, array_to_string(list_filter(string_split(body, chr(10) || chr(10)),
+               lambda l: length(l) >= 10), chr(10) || chr(10)) AS text, false AS from_content
+        FROM (SELECT page_id, html, {_plain(_BODY)} AS body FROM pages)"""
+)
 def main_text_fallback(spark, sf_dir):
     """Text of every page by the way for pages without a content element."""
     pages = ad.table(spark, sf_dir, "pages").select("page_id", "html")

@@ -283,32 +283,46 @@ def term_block(spark, sf_dir):
     return ranked.select("doc_id", glossary_block(F.col("terms")).alias("block"))
 
 
+_BESIDE = "'[a-zA-Z\\x{4e00}-\\x{9fff}]'"
+
+
+def _annotate_sql(ranked: str, texts: str) -> str:
+    """SQL that annotates ``texts`` (id, text) with ``ranked`` terms (id, term, target, r).
+
+    For terms of letters: two occurrences that overlap are not free anyway, so splitting at
+    the plain term finds all free ones.
+    """
+    return f"""
+      WITH RECURSIVE
+        texts AS ({texts}),
+        longest AS (SELECT id, term, target,
+                      row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, r) AS k
+                    FROM ({ranked}) WHERE r <= {fixed.ANNOTATION_TERMS}),
+        walk AS (
+          SELECT id, CAST(0 AS BIGINT) AS k, text FROM texts
+          UNION ALL
+          SELECT id, k, list_reduce(
+              list_transform(range(1, len(ps) + 1), lambda i: ps[i] || CASE
+                  WHEN i = len(ps) THEN ''
+                  WHEN ok[i] AND len(list_filter(ok[1:i], lambda o: o)) <= {fixed.ANNOTATION_REPEATS}
+                  THEN term || '<' || target || '>' ELSE term END),
+              lambda a, b: a || b)
+          FROM (SELECT *, list_transform(range(1, len(ps)), lambda i:
+                    NOT regexp_matches(right(ps[i], 1), {_BESIDE})
+                    AND NOT regexp_matches(left(ps[i + 1], 1), {_BESIDE})
+                    AND NOT (ps[i] = '' AND i > 1) AND NOT (ps[i + 1] = '' AND i + 1 < len(ps))) AS ok
+                FROM (SELECT w.id, l.k, l.term, l.target, string_split(w.text, l.term) AS ps
+                      FROM walk w JOIN longest l ON l.id = w.id AND l.k = w.k + 1))
+        )
+      SELECT id, arg_max(text, k) AS annotated FROM walk GROUP BY id"""
+
+
+_BY_PRIORITY_SQL = f"""
+    SELECT doc_id AS id, term, target, row_number() OVER (PARTITION BY doc_id ORDER BY {_PRIORITY}, ordinal) AS r
+    FROM documents d JOIN {ad.watch_list_sql()} ON contains(d.text, g.term)"""
 _ANNOTATED_SQL = f"""
-  WITH RECURSIVE
-    ranked AS (SELECT doc_id, term, target,
-                 row_number() OVER (PARTITION BY doc_id ORDER BY {_PRIORITY}, ordinal) AS r
-               FROM documents d JOIN {ad.watch_list_sql()} ON contains(d.text, g.term)),
-    longest AS (SELECT doc_id, term, target,
-                  row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, r) AS k
-                FROM ranked WHERE r <= {fixed.ANNOTATION_TERMS}),
-    walk AS (
-      SELECT doc_id, CAST(0 AS BIGINT) AS k, text FROM documents
-      UNION ALL
-      SELECT doc_id, k, list_reduce(
-          list_transform(range(1, len(ps) + 1), lambda i: ps[i] || CASE
-              WHEN i = len(ps) THEN ''
-              WHEN ok[i] AND len(list_filter(ok[1:i], lambda o: o)) <= {fixed.ANNOTATION_REPEATS}
-              THEN term || '<' || target || '>' ELSE term END),
-          lambda a, b: a || b)
-      FROM (SELECT *, list_transform(range(1, len(ps)), lambda i:
-                NOT regexp_matches(right(ps[i], 1), '[a-zA-Z\\x{{4e00}}-\\x{{9fff}}]')
-                AND NOT regexp_matches(left(ps[i + 1], 1), '[a-zA-Z\\x{{4e00}}-\\x{{9fff}}]')
-                AND NOT (ps[i] = '' AND i > 1) AND NOT (ps[i + 1] = '' AND i + 1 < len(ps))) AS ok
-            FROM (SELECT w.doc_id, l.k, l.term, l.target, string_split(w.text, l.term) AS ps
-                  FROM walk w JOIN longest l ON l.doc_id = w.doc_id AND l.k = w.k + 1))
-    )
-  SELECT doc_id, arg_max(text, k) AS annotated FROM walk GROUP BY doc_id
-"""
+    SELECT id AS doc_id, annotated
+    FROM ({_annotate_sql(_BY_PRIORITY_SQL, "SELECT doc_id AS id, text FROM documents")})"""
 
 
 @query(_ANNOTATED_SQL)
@@ -318,7 +332,41 @@ def annotate_terms(spark, sf_dir):
     return done.select("doc_id", "annotated")
 
 
-@query()
+def _scored_sql(texts: str, column: str) -> str:
+    """SQL that ranks the fitted terms of ``texts`` (id, ``column``) by score."""
+    return f"""
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY tf * idf DESC, ordinal) AS r FROM (
+        SELECT c.id, s.*, {_TF.format(c="c." + column)} AS tf
+        FROM ({texts}) c JOIN fitted s ON contains(c.{column}, s.term) AND s.df > 0)"""
+
+
+_REQUESTS_SQL = f"""
+  WITH fitted AS MATERIALIZED ({_FIT_SQL}),
+    chunked AS MATERIALIZED (SELECT doc_id, chunk_idx, doc_id * 100000 + chunk_idx AS id, main_text,
+        right(lag(main_text) OVER (PARTITION BY doc_id ORDER BY chunk_idx), {_OVER}) AS context_text
+      FROM ({CHUNKS_SQL})),
+    marked AS MATERIALIZED ({_annotate_sql(_scored_sql("SELECT id, main_text FROM chunked", "main_text"),
+                                            "SELECT id, main_text AS text FROM chunked")}),
+    ranked AS MATERIALIZED (SELECT * FROM ({_scored_sql("SELECT id, annotated FROM marked", "annotated")})
+      WHERE r <= {fixed.GLOSSARY_TERMS}),
+    blocks AS (
+      SELECT id, string_agg(section, chr(10) ORDER BY priority) AS block FROM (
+        SELECT id, {_PRIORITY} AS priority, '### ' || any_value(heading) || chr(10) ||
+               string_agg('- ' || term || ' → ' || target || coalesce(' (' || notes || ')', ''), chr(10) ORDER BY r)
+               || chr(10) AS section
+        FROM ranked JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in fixed.CATEGORY_HEADINGS.items())}) h(name, heading)
+          ON h.name = category GROUP BY id, category) GROUP BY id)
+  SELECT doc_id, chunk_idx, coalesce(block, '') AS glossary_block,
+         '## Style' || chr(10) || '**Plain**' || chr(10) || CASE WHEN chunk_idx > 0 THEN chr(10) || chr(10) ||
+           '## State so far' || chr(10) || '- Speaker: s' || chunk_idx ELSE '' END AS system_prompt,
+         CASE WHEN block IS NOT NULL THEN '## Terms' || chr(10) || block || chr(10) || chr(10) ELSE '' END ||
+         CASE WHEN context_text <> '' THEN '## Before' || chr(10) || context_text || chr(10) || chr(10) ELSE '' END ||
+         '## Text' || chr(10) || annotated AS user_prompt
+  FROM chunked JOIN marked USING (id) LEFT JOIN blocks USING (id)
+"""
+
+
+@query(_REQUESTS_SQL)
 def translation_requests(spark, sf_dir):
     """One request row per chunk: annotated text, glossary block, context and prompts."""
     state = F.when(
