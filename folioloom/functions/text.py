@@ -86,8 +86,9 @@ def is_dialogue(
 
 def occurrences(text: Column, term: Column) -> Column:
     """Number of non-overlapping occurrences of a non-empty term."""
+    without = F.replace(text, term, F.lit(""))
     return F.floor(
-        (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)
+        (F.octet_length(text) - F.octet_length(without)) / F.octet_length(term)
     ).cast("long")
 
 
@@ -96,8 +97,13 @@ def needs_scene_reset(text: Column, position: Column) -> Column:
 
 
 def lines_to_paragraphs(text: Column, separator: str = fixed.PARAGRAPH_BREAK) -> Column:
-    """Non-empty lines with their whitespace squeezed, as paragraphs."""
-    lines = F.transform(F.split(text, "\n", -1), squeeze)
+    """Non-empty lines with their whitespace squeezed, as paragraphs.
+
+    One pass over the text turns all other whitespace into single blanks; lines then need
+    only a plain trim.
+    """
+    flat = F.regexp_replace(text, f"[{_BLANK}&&[^\n ]]+|[{_BLANK}&&[^\n]]{{2,}}", " ")
+    lines = F.transform(F.split(F.regexp_replace(flat, " {2,}", " "), "\n", -1), F.trim)
     return F.array_join(F.filter(lines, lambda line: line != ""), separator)
 
 
@@ -168,11 +174,15 @@ def word_tokens(text: Column) -> Column:
 
 
 def replace_words(text: Column, words: Mapping[str, str] = fixed.LEAKED_WORDS) -> Column:
-    """Whole-word, case-sensitive replacement of every listed word."""
-    for word, replacement in words.items():
-        pattern = f"(?<!{_WORD}){_quote(word)}(?!{_WORD})"
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """Whole-word, case-sensitive replacement of every listed word.
+
+    The text is cut once into words and what is between them, however many words are listed.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"({_WORD}+|[^\\p{{L}}\\p{{N}}_]+)"), 1)
+    targets = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.array_join(
+        F.transform(pieces, lambda p: F.coalesce(F.try_element_at(targets, p), p)), ""
+    )
 
 
 def _quote(literal: str) -> str:

@@ -22,7 +22,7 @@ from folioloom.functions.text import (
 )
 from folioloom.operators.ordering import concat_segments, number_rows
 
-SEGMENT = 500
+SEGMENT = 100
 
 
 def concat_chunks(chunks: DataFrame, doc: str, order: str, text: str) -> DataFrame:
@@ -131,85 +131,39 @@ def _xhtml(title: Column, style: str, body: Column) -> Column:
 
 
 def renumbered(chapters: DataFrame) -> DataFrame:
-    """Chapters numbered 1..n over those there are, per book."""
-    return number_rows(chapters, "book_id", "index", "number")
+    """Chapters numbered 1..n over those there are, per book; texts take no part in it."""
+    keys = number_rows(chapters.select("book_id", "index"), "book_id", "index", "number")
+    return chapters.join(keys, ["book_id", "index"])
 
 
-def ebook_parts(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """Rows (book_id, path, segment, content) for every file of an e-book.
-
-    Long files (package list and navigation) come in segments; the first has their head and
-    the last their end.
-    """
-    title = escape_markup(F.coalesce(non_empty(F.col("title")), F.lit("Untitled")))
-    author = escape_markup(F.coalesce(non_empty(F.col("author")), F.lit("Unknown")))
-    heads = books.join(chapters.select("book_id").distinct(), "book_id", "left_semi").select(
-        "book_id", title.alias("_title"), author.alias("_author")
-    )
-    numbered = renumbered(chapters)
-    name = pad_key(F.col("number"))
-    label = escape_markup(
-        F.coalesce(
-            non_empty(F.col("title_vi")),
-            non_empty(F.col("title_cn")),
-            F.concat(F.lit(f"{fixed.CHAPTER_WORD} "), F.col("number").cast("string")),
-        )
+def _part(path: Column | str, segment: Column | int, content: Column | str) -> Column:
+    """One file, or one segment of a file."""
+    lit = lambda value: value if isinstance(value, Column) else F.lit(value)
+    return F.struct(
+        lit(path).alias("path"), lit(segment).cast("long").alias("segment"), lit(content).alias("content")
     )
-    named = numbered.select("book_id", "number", "text", name.alias("_name"), label.alias("_label"))
-
-    def rows(df: DataFrame, path: Column | str, segment: Column | int, content: Column) -> DataFrame:
-        path = F.lit(path) if isinstance(path, str) else path
-        segment = F.lit(segment) if isinstance(segment, int) else segment
-        return df.select(
-            "book_id",
-            path.alias("path"),
-            segment.cast("long").alias("segment"),
-            content.alias("content"),
-        )
 
-    body = F.concat(
-        F.lit("<h2>"), F.col("_label"), F.lit("</h2>\n"), paragraphs_html(F.col("text"), "    ", escaped=True)
-    )
-    pages = rows(
-        named,
-        F.concat(F.lit("OEBPS/chapters/chapter_"), F.col("_name"), F.lit(".xhtml")),
-        0,
-        _xhtml(F.col("_label"), "../styles.css", body),
-    )
 
-    def listed(line: Column) -> DataFrame:
-        return concat_segments(
-            named.select("book_id", "number", line.alias("line")), "book_id", "number", "line", size
-        )
+OPF, NCX = "OEBPS/content.opf", "OEBPS/toc.ncx"
+# Segments of the package list: head 0, files from 1 on, then the reading order, then the end.
+SPINE, END = 1 << 40, 1 << 41
+CONTAINER = (
+    '<?xml version="1.0"?>\n<container version="1.0"><rootfiles>'
+    f'<rootfile full-path="{OPF}" media-type="application/oebps-package+xml"/></rootfiles></container>'
+)
+STYLES = "p { text-indent: 1.5em; }"
 
-    item = F.concat(
-        F.lit('    <item id="chapter'),
-        F.col("_name"),
-        F.lit('" href="chapters/chapter_'),
-        F.col("_name"),
-        F.lit('.xhtml" media-type="application/xhtml+xml"/>'),
-    )
-    itemref = F.concat(F.lit('    <itemref idref="chapter'), F.col("_name"), F.lit('"/>'))
-    number = F.col("number").cast("string")
-    point = F.concat(
-        F.lit('    <navPoint id="navpoint'),
-        number,
-        F.lit('" playOrder="'),
-        number,
-        F.lit('"><navLabel><text>'),
-        F.col("_label"),
-        F.lit('</text></navLabel><content src="chapters/chapter_'),
-        F.col("_name"),
-        F.lit('.xhtml"/></navPoint>'),
-    )
-    opf, ncx = "OEBPS/content.opf", "OEBPS/toc.ncx"
+
+def _fixed_parts(heads: DataFrame) -> DataFrame:
+    """Parts that every book has once, all from one row of the book."""
+    title, author = F.col("_title"), F.col("_author")
     identifier = F.concat(F.lit("urn:folio:"), F.left(F.sha2("book_id", 256), F.lit(16)))
     opf_head = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package version="2.0" unique-identifier="BookId">\n'),
         F.lit("  <metadata><dc:title>"),
-        F.col("_title"),
+        title,
         F.lit("</dc:title><dc:creator>"),
-        F.col("_author"),
+        author,
         F.lit('</dc:creator><dc:identifier id="BookId">'),
         identifier,
         F.lit("</dc:identifier></metadata>\n  <manifest>"),
@@ -218,36 +172,86 @@ def ebook_parts(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> D
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ncx version="2005-1">\n  <head><meta name="dtb:uid" content="'),
         identifier,
         F.lit('"/></head>\n  <docTitle><text>'),
-        F.col("_title"),
+        title,
         F.lit("</text></docTitle>\n  <navMap>"),
     )
-    # Segments are ordered: head 0, manifest 1.., spine and end far behind it.
-    middle, end = 1 << 40, 1 << 41
-    cover = F.concat(
-        F.lit("<h1>"), F.col("_title"), F.lit('</h1>\n<p class="author">'), F.col("_author"), F.lit("</p>")
-    )
-    container = (
-        '<?xml version="1.0"?>\n<container version="1.0"><rootfiles>'
-        f'<rootfile full-path="{opf}" media-type="application/oebps-package+xml"/></rootfiles></container>'
-    )
+    spine = '  </manifest>\n  <spine toc="ncx">\n    <itemref idref="titlepage"/>'
+    cover = F.concat(F.lit("<h1>"), title, F.lit('</h1>\n<p class="author">'), author, F.lit("</p>"))
     parts = [
-        pages,
-        rows(heads, opf, 0, opf_head),
-        rows(listed(item), opf, F.col("segment") + 1, F.col("line")),
-        rows(heads, opf, middle, F.lit('  </manifest>\n  <spine toc="ncx">\n    <itemref idref="titlepage"/>')),
-        rows(listed(itemref), opf, F.col("segment") + middle + 1, F.col("line")),
-        rows(heads, opf, end, F.lit("  </spine>\n</package>")),
-        rows(heads, ncx, 0, ncx_head),
-        rows(listed(point), ncx, F.col("segment") + 1, F.col("line")),
-        rows(heads, ncx, end, F.lit("  </navMap>\n</ncx>")),
-        rows(heads, "OEBPS/titlepage.xhtml", 0, _xhtml(F.col("_title"), "styles.css", cover)),
-        rows(heads, "META-INF/container.xml", 0, F.lit(container)),
-        rows(heads, "OEBPS/styles.css", 0, F.lit("p { text-indent: 1.5em; }")),
+        _part(OPF, 0, opf_head),
+        _part(OPF, SPINE, spine),
+        _part(OPF, END, "  </spine>\n</package>"),
+        _part(NCX, 0, ncx_head),
+        _part(NCX, END, "  </navMap>\n</ncx>"),
+        _part("OEBPS/titlepage.xhtml", 0, _xhtml(title, "styles.css", cover)),
+        _part("META-INF/container.xml", 0, CONTAINER),
+        _part("OEBPS/styles.css", 0, STYLES),
     ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return heads.select("book_id", F.inline(F.array(*parts)))
+
+
+def _listed_parts(named: DataFrame, size: int) -> DataFrame:
+    """Segments of the package list, the reading order and the navigation.
+
+    All three come from one ordered collection per segment, without the texts.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("number", "_name", "_label")))
+    grouped = (
+        named.withColumn("segment", F.floor((F.col("number") - 1) / size))
+        .groupBy("book_id", "segment")
+        .agg(entries.alias("_entries"))
+    )
+
+    fields = {"{number}": "number", "{name}": "_name", "{label}": "_label"}
+
+    def lines(*shape: str) -> Column:
+        def line(e: Column) -> Column:
+            return F.concat(*[e[fields[p]].cast("string") if p in fields else F.lit(p) for p in shape])
+
+        return F.array_join(F.transform("_entries", line), "\n")
+
+    item = lines(
+        '    <item id="chapter', "{name}", '" href="chapters/chapter_', "{name}",
+        '.xhtml" media-type="application/xhtml+xml"/>',
+    )
+    itemref = lines('    <itemref idref="chapter', "{name}", '"/>')
+    point = lines(
+        '    <navPoint id="navpoint', "{number}", '" playOrder="', "{number}", '"><navLabel><text>',
+        "{label}", '</text></navLabel><content src="chapters/chapter_', "{name}", '.xhtml"/></navPoint>',
+    )
+    place = F.col("segment") + 1
+    parts = F.array(_part(OPF, place, item), _part(OPF, place + SPINE, itemref), _part(NCX, place, point))
+    return grouped.select("book_id", F.inline(parts))
+
+
+def ebook_parts(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """Rows (book_id, path, segment, content) for every file of an e-book.
+
+    Long files (package list and navigation) come in segments; the first has their head and
+    the last their end.
+    """
+    title = escape_markup(F.coalesce(non_empty(F.col("title")), F.lit("Untitled")))
+    author = escape_markup(F.coalesce(non_empty(F.col("author")), F.lit("Unknown")))
+    heads = books.join(chapters.select("book_id").distinct(), "book_id", "left_semi").select(
+        "book_id", title.alias("_title"), author.alias("_author")
+    )
+    label = escape_markup(
+        F.coalesce(
+            non_empty(F.col("title_vi")),
+            non_empty(F.col("title_cn")),
+            F.concat(F.lit(f"{fixed.CHAPTER_WORD} "), F.col("number").cast("string")),
+        )
+    )
+    named = renumbered(chapters).select(
+        "book_id", "number", "text", pad_key(F.col("number")).alias("_name"), label.alias("_label")
+    )
+    body = F.concat(
+        F.lit("<h2>"), F.col("_label"), F.lit("</h2>\n"), paragraphs_html(F.col("text"), "    ", escaped=True)
+    )
+    path = F.concat(F.lit("OEBPS/chapters/chapter_"), F.col("_name"), F.lit(".xhtml"))
+    page = _part(path, 0, _xhtml(F.col("_label"), "../styles.css", body))
+    pages = named.select("book_id", page.alias("_p")).select("book_id", "_p.*")
+    return pages.unionByName(_listed_parts(named, size)).unionByName(_fixed_parts(heads))
 
 
 def previous_tail(chapters: DataFrame, key: tuple[str, str] = ("book_id", "index"), size: int = 1000) -> DataFrame:

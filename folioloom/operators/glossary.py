@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
+from folioloom.functions.arrays import each
 from folioloom.functions.replies import parse_entries
 from folioloom.operators.ordering import keep_first, number_rows
 from folioloom.operators.terms import category_priority
@@ -28,20 +29,15 @@ def upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
     latest = changes.groupBy("term").agg(
         F.max_by(F.struct(*_VALUES), "seq").alias("_new"), F.min("seq").alias("_seq")
     )
-    seats = (
-        base.join(latest, "term")
-        .groupBy("term")
-        .agg(F.min("ordinal").alias("ordinal"), F.first("_new").alias("_new"))
-    )
-    value = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c))
-    kept = base.join(seats, ["term", "ordinal"], "left").select(
-        "term", *[value(c).alias(c) for c in _VALUES], "ordinal"
-    )
-    end = F.coalesce(base.agg(F.max("ordinal")).scalar(), F.lit(0))
-    added = latest.join(base, "term", "left_anti").select(
-        "term", *[F.col(f"_new.{c}").alias(c) for c in _VALUES], (end + 1 + F.col("_seq")).alias("ordinal")
-    )
-    return kept.unionByName(added)
+    # One row per term of the base: its first place takes the change.
+    places = base.groupBy("term").agg(F.min("ordinal").alias("_first"), F.max("ordinal").alias("_last"))
+    end = F.coalesce(places.agg(F.max("_last")).scalar(), F.lit(0))
+    seats = latest.join(places, "term", "left")
+    new = [F.col(f"_new.{c}").alias(c) for c in _VALUES]
+    changed = seats.select("term", F.coalesce("_first", end + 1 + F.col("_seq")).alias("ordinal"), *new)
+    kept = base.join(changed.select("term", "ordinal"), ["term", "ordinal"], "left_anti")
+    columns = ["term", *_VALUES, "ordinal"]
+    return kept.select(*columns).unionByName(changed.select(*columns))
 
 
 def delete_terms(base: DataFrame, keys: DataFrame) -> DataFrame:
@@ -68,8 +64,7 @@ def rename_terms(base: DataFrame, renames: DataFrame) -> DataFrame:
 
 def new_terms(extracted: DataFrame, base: DataFrame, order: str | list[str] = "seq") -> DataFrame:
     """First occurrence of every extracted term that the glossary does not have."""
-    unknown = extracted.join(base.select("term"), "term", "left_anti")
-    return keep_first(unknown, "term", order)
+    return keep_first(extracted, "term", order).join(base.select("term"), "term", "left_anti")
 
 
 def search(base: DataFrame, query: str = "", category: str = "") -> DataFrame:
@@ -175,7 +170,7 @@ def merge_extractions(
     first = keep_first(entries, "term", [batch, "place"]).orderBy(batch, "place").limit(limit)
     # At most `limit` rows are left here, so their numbering is small work.
     ordered = F.array_sort(F.collect_list(F.struct(batch, "place", "term", *_VALUES)))
-    numbered = first.agg(ordered.alias("all")).select(F.posexplode("all").alias("seq", "e"))
+    numbered = first.agg(ordered.alias("all")).select(F.posexplode(each("all")).alias("seq", "e"))
     changes = numbered.select(
         "e.term", *[F.col(f"e.{c}") for c in _VALUES], F.col("seq").cast("long")
     )

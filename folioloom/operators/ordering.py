@@ -82,9 +82,10 @@ def keep_first(df: DataFrame, key: str | list[str], order: str | list[str]) -> D
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def first_rows(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
+def first_rows(df: DataFrame, group: str | list[str], order: list[Column], limit: int) -> DataFrame:
     """The first rows of every group; each task sends at most ``limit`` rows per group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    keys = [group] if isinstance(group, str) else group
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 

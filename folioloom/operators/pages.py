@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
+from folioloom.functions.arrays import each, let
 from folioloom.functions.text import lines_to_paragraphs, strip
 from folioloom.functions.urls import chapter_id, resolve_url
 from folioloom.operators import markup
@@ -72,7 +73,7 @@ def extract_links(
             )
         ).alias("_links"),
     )
-    return kept.select(key, F.posexplode("_links").alias("_at", "link")).select(
+    return kept.select(key, F.posexplode(each("_links")).alias("_at", "link")).select(
         key,
         (F.col("_at") + 1).cast("long").alias("index"),
         chapter_id(F.col("link.href")).alias("id"),
@@ -141,21 +142,16 @@ def extract_main_text(
     """
     others = [c for c in pages.columns if c != html]
     read = pages.withColumn("_page", _contents(content, title, list(remove))(F.col(html)))
-    lines = read.select(
-        *others,
-        F.col("_page.title").alias("title"),
-        lines_to_paragraphs(F.col("_page.main")).alias("_main"),
-        F.col("_page.body").alias("_body"),
-    )
-    good = F.coalesce(F.length("_main") > shortest, F.lit(False))
-    body = without_boilerplate(lines_to_paragraphs(F.col("_body")), navigation)
-    return lines.select(
-        *others,
-        "title",
-        F.when(good, F.col("_main"))
-        .otherwise(F.coalesce(body, F.col("_main"), F.lit("")))
-        .alias("text"),
-        good.alias("from_content"),
+    body = without_boilerplate(lines_to_paragraphs(F.col("_page.body")), navigation)
+
+    def choose(main: Column) -> Column:
+        good = F.coalesce(F.length(main) > shortest, F.lit(False))
+        text = F.when(good, main).otherwise(F.coalesce(body, main, F.lit("")))
+        return F.struct(text.alias("text"), good.alias("from_content"))
+
+    chosen = let(lines_to_paragraphs(F.col("_page.main")), choose)
+    return read.select(
+        *others, F.col("_page.title").alias("title"), F.inline(F.array(chosen))
     )
 
 

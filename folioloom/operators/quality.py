@@ -44,20 +44,24 @@ def flag_report(
     Everything is counted inside the row; no shuffle.
     """
     listed = F.array(*[F.lit(w) for w in words])
-    tokens = docs.withColumn("_tokens", word_tokens(F.col(text)))
-    replaced = F.size(F.filter("_tokens", lambda w: F.array_contains(listed, w)))
-    lowered = tokens.select(key, replaced.alias("n_replaced"), F.transform("_tokens", F.lower).alias("_lower"))
+    flagged = F.array(*[F.lit(w) for w in flags])
+    # One pass keeps the few words that matter; they are then told apart.
+    found = docs.select(
+        key,
+        F.filter(
+            word_tokens(F.col(text)),
+            lambda w: F.array_contains(listed, w) | F.array_contains(flagged, F.lower(w)),
+        ).alias("_words"),
+    )
 
     def count_of(word: str) -> Column:
-        return F.size(F.filter("_lower", lambda w: w == word))
+        return F.size(F.filter("_words", lambda w: F.lower(w) == word)).cast("long")
 
-    counts = {f"n_{word}": count_of(word) for word in flags}
-    total = sum(counts.values(), F.lit(0))
-    return lowered.select(
+    return found.select(
         key,
-        F.col("n_replaced").cast("long"),
-        *[c.cast("long").alias(name) for name, c in counts.items()],
-        ((F.col("n_replaced") > 0) | (total > 0)).alias("flagged"),
+        F.size(F.filter("_words", lambda w: F.array_contains(listed, w))).cast("long").alias("n_replaced"),
+        *[count_of(word).alias(f"n_{word}") for word in flags],
+        (F.size("_words") > 0).alias("flagged"),
     )
 
 

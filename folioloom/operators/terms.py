@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
 from folioloom.functions.text import occurrences
+from folioloom.operators.ordering import first_rows
 
 SMALL_GLOSSARY = 256
-ANCHOR = 4
+ANCHOR = 6
 SALTS = 16
 
 
 def is_small(glossary: DataFrame, limit: int = SMALL_GLOSSARY) -> bool:
-    """True where the glossary has at most ``limit`` rows; reads no more than that."""
+    """True where the glossary has at most ``limit`` rows; reads no more than that.
+
+    This runs a job.  The functions below do it where they are not told; check the plain
+    glossary once and pass the answer on, also for the fitted glossary made from it.
+    """
     return glossary.limit(limit + 1).count() <= limit
 
 
@@ -69,11 +74,15 @@ def candidate_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text:
     return spread.join(copies, ["_gram", "_salt"]).drop("_gram", "_salt")
 
 
-def candidate_entries(texts: DataFrame, glossary: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Candidates as the array ``_entries`` per text; their number is bounded by the text."""
-    entry = F.struct(*[F.col(c) for c in glossary.columns])
+def verified_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Candidates whose whole term is in the text, with tf: rows (key, entry columns, tf).
+
+    Pairs stay rows, so neither a text nor a term is ever gathered with all its partners.
+    """
     pairs = candidate_pairs(texts, glossary, key, text)
-    return pairs.groupBy(*key).agg(F.collect_list(entry).alias("_entries"))
+    joined = pairs.join(texts.select(*key, F.col(text).alias("_text")), key)
+    found = joined.filter(F.contains("_text", "term"))
+    return found.withColumn("tf", occurrences(F.col("_text"), F.col("term"))).drop("_text")
 
 
 def term_match(
@@ -81,15 +90,13 @@ def term_match(
     glossary: DataFrame,
     key: list[str],
     text: str = "main_text",
-    small: int = SMALL_GLOSSARY,
+    small: bool | None = None,
 ) -> DataFrame:
     """One row per text and entry whose term occurs in it, with tf, the occurrences counted
     without overlap."""
-    narrow = texts.select(*key, F.col(text).alias("_text"))
-    if is_small(glossary, small):
-        listed = with_entries(narrow, glossary)
-    else:
-        listed = candidate_entries(texts, glossary, key, text).join(narrow, key)
+    if not (is_small(glossary) if small is None else small):
+        return verified_pairs(texts, glossary, key, text)
+    listed = with_entries(texts.select(*key, F.col(text).alias("_text")), glossary)
     found = listed.withColumn("_hits", present(F.col("_text"), F.col("_entries")))
     return found.select(
         *key,
@@ -106,16 +113,16 @@ def term_match(
 
 
 def fit_terms(
-    docs: DataFrame, glossary: DataFrame, key: str, text: str = "text", small: int = SMALL_GLOSSARY
+    docs: DataFrame, glossary: DataFrame, key: str, text: str = "text", small: bool | None = None
 ) -> DataFrame:
     """The glossary with df, n_docs and idf.  A term found in no document has idf 0."""
-    if is_small(glossary, small):
+    if is_small(glossary) if small is None else small:
         hits = present(F.col(text), F.col("_entries"))
         found = with_entries(docs.select(text), glossary).select(
             F.explode(F.transform(hits, lambda e: e["term"])).alias("term")
         )
     else:
-        found = term_match(docs, glossary, [key], text, small).select(key, "term")
+        found = verified_pairs(docs, glossary, [key], text)
     # A term listed twice is found twice in each of its documents.
     counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("_pairs"))
     copies = glossary.groupBy("term").agg(F.count(F.lit(1)).alias("_copies"))
@@ -135,23 +142,25 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.when(df > 0, F.log((n_docs + 1) / (df + 1)) + 1).otherwise(F.lit(0.0))
 
 
+_FIELDS = ["ordinal", "term", "target", "category", "notes"]
+
+
 def scored(text: Column, entries: Column) -> Column:
-    """Present entries with tf and score, best first, ties in glossary order.
+    """Present entries with tf and score (negated), best first, ties in glossary order.
 
     ``entries`` come from a fitted glossary; terms without a document are left out.
     """
-    hits = F.filter(present(text, entries), lambda e: e["df"] > 0)
+    hits = F.filter(entries, lambda e: (e["df"] > 0) & F.contains(text, e["term"]))
+    counted = F.transform(
+        hits, lambda e: F.struct(e.alias("e"), occurrences(text, e["term"]).alias("tf"))
+    )
     return F.array_sort(
         F.transform(
-            hits,
-            lambda e: F.struct(
-                (-(occurrences(text, e["term"]) * e["idf"])).alias("neg_score"),
-                e["ordinal"].alias("ordinal"),
-                e["term"].alias("term"),
-                e["target"].alias("target"),
-                e["category"].alias("category"),
-                e["notes"].alias("notes"),
-                occurrences(text, e["term"]).alias("tf"),
+            counted,
+            lambda h: F.struct(
+                (-(h["tf"] * h["e"]["idf"])).alias("neg_score"),
+                *[h["e"][c].alias(c) for c in _FIELDS],
+                h["tf"].alias("tf"),
             ),
         )
     )
@@ -164,11 +173,8 @@ def by_priority(text: Column, entries: Column) -> Column:
             present(text, entries),
             lambda e: F.struct(
                 category_priority(e["category"]).alias("priority"),
-                e["ordinal"].alias("ordinal"),
-                e["term"].alias("term"),
-                e["target"].alias("target"),
-                e["category"].alias("category"),
-                e["notes"].alias("notes"),
+                *[e[c].alias(c) for c in _FIELDS],
+                occurrences(text, e["term"]).alias("tf"),
             ),
         )
     )
@@ -181,22 +187,29 @@ def relevant_terms(
     text: str = "main_text",
     name: str = "terms",
     key: list[str] | None = None,
-    small: int = SMALL_GLOSSARY,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the array of the most relevant entries of each chunk.
 
     A fitted glossary (with df and idf) ranks by score, any other by category.  For a
     large glossary the key columns of the chunks have to be given.
     """
-    rank = scored if "idf" in glossary.columns else by_priority
-    if is_small(glossary, small):
-        listed = with_entries(chunks, glossary)
-    elif key:
-        listed = chunks.join(candidate_entries(chunks, glossary, key, text), key, "left")
-    else:
+    fitted = "idf" in glossary.columns
+    if is_small(glossary) if small is None else small:
+        rank = scored if fitted else by_priority
+        ranked = F.slice(rank(F.col(text), F.col("_entries")), 1, limit)
+        return with_entries(chunks, glossary).withColumn(name, ranked).drop("_entries")
+    if not key:
         raise ValueError("a glossary of this size needs the key columns of the chunks")
-    ranked = F.slice(rank(F.col(text), F.col("_entries")), 1, limit)
-    return listed.withColumn(name, F.coalesce(ranked, F.array())).drop("_entries")
+    pairs = verified_pairs(chunks, glossary.filter("df > 0") if fitted else glossary, key, text)
+    if fitted:
+        first, label = -(F.col("tf") * F.col("idf")), "neg_score"
+    else:
+        first, label = category_priority(F.col("category")), "priority"
+    best = first_rows(pairs.withColumn(label, first), key, [F.col(label), F.col("ordinal")], limit)
+    entry = F.struct(label, *_FIELDS, "tf")
+    found = best.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias(name))
+    return chunks.join(found, key, "left").withColumn(name, F.coalesce(F.col(name), F.array()))
 
 
 def annotate(text: Column, terms: Column, repeats: int = fixed.ANNOTATION_REPEATS) -> Column:
@@ -237,7 +250,8 @@ def annotate_chunks(
     text: str = "main_text",
     name: str = "annotated",
     key: list[str] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the chunk text annotated with its most relevant terms."""
-    ranked = relevant_terms(chunks, glossary, limit, text, "_relevant", key)
+    ranked = relevant_terms(chunks, glossary, limit, text, "_relevant", key, small)
     return ranked.withColumn(name, annotate(F.col(text), F.col("_relevant"))).drop("_relevant")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
 from folioloom.operators.ordering import number_rows
+from folioloom.session import spread
 
 # Markers for texts without ideographs.
 SEPARATOR = "\n"
@@ -56,6 +57,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Key and text columns of a table, for work that costs far more than reading them."""
+    return spread(table(spark, sf_dir, name).select(key, *columns), key)
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return texts(spark, sf_dir, "documents", "doc_id", *(columns or ("text",)))
+
+
+def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return texts(spark, sf_dir, "pages", "page_id", *columns)
+
+
 def watch_list(spark: SparkSession) -> DataFrame:
     return spark.sql(
         f"SELECT term, target, category, notes, CAST(ordinal AS BIGINT) AS ordinal FROM {watch_list_sql()}"
@@ -154,7 +168,7 @@ CATEGORY_SQL = (
 
 def corpus_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents that occur in at least three of them, in order of appearance."""
-    words = tokens(table(spark, sf_dir, "documents"))
+    words = tokens(documents(spark, sf_dir))
     per_doc = words.groupBy("term", "doc_id").agg(F.min("seq").alias("seq"))
     listed = per_doc.groupBy("term").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min("seq").alias("ordinal")

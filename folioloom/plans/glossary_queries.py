@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
+from folioloom.functions.arrays import each
 from folioloom.functions.replies import parse_entries
 from folioloom.operators import glossary as gl
 from folioloom.operators import terms
@@ -279,8 +280,8 @@ def large_glossary_terms(spark, sf_dir):
         F.lit(None).cast("string").alias("notes"),
         "ordinal",
     )
-    docs = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranked = terms.relevant_terms(docs, words, 5, "text", key=["doc_id"], small=0)
-    return ranked.select("doc_id", F.posexplode("terms").alias("place", "t")).select(
+    docs = ad.documents(spark, sf_dir)
+    ranked = terms.relevant_terms(docs, words, 5, "text", key=["doc_id"], small=False)
+    return ranked.select("doc_id", F.posexplode(each("terms")).alias("place", "t")).select(
         "doc_id", (F.col("place") + 1).cast("long").alias("rank"), "t.term"
     )

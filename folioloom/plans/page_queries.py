@@ -29,7 +29,7 @@ _LINKS = f"""
 @query(_LINKS)
 def link_extract(spark, sf_dir):
     """Links of the navigation of every page, once each, numbered."""
-    return pg.extract_links(ad.table(spark, sf_dir, "pages"), "nav a")
+    return pg.extract_links(ad.pages(spark, sf_dir, "url", "html"), "nav a")
 
 
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
@@ -63,7 +63,7 @@ PLAIN_ARTICLE = _plain(
 )
 def main_text(spark, sf_dir):
     """Title and main text of the pages whose content element is good enough."""
-    pages = ad.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = ad.pages(spark, sf_dir, "html")
     return pg.extract_main_text(pages, "article", "h1", ["script", "style"]).filter("from_content")
 
 
@@ -79,7 +79,7 @@ _BODY = f"regexp_replace({_BODY}, '<article>\\s*<p>', '')"
 )
 def main_text_fallback(spark, sf_dir):
     """Text of every page by the way for pages without a content element."""
-    pages = ad.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = ad.pages(spark, sf_dir, "html")
     return pg.extract_main_text(pages, "#content", "h1", ["script", "style"])
 
 
@@ -90,7 +90,7 @@ def main_text_fallback(spark, sf_dir):
 )
 def nav_line_filter(spark, sf_dir):
     """Texts without short lines and lines with navigation words."""
-    docs = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = ad.documents(spark, sf_dir)
     kept = pg.without_boilerplate(F.col("text"), ["vipa", "dans", "nicht"], separator="\n")
     return docs.select("doc_id", kept.alias("text"))
 

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
 from folioloom.functions import text as tx
+from folioloom.functions.arrays import each
 from folioloom.functions.blocks import glossary_block
 from folioloom.operators import chunking, quality, terms
 from folioloom.operators.requests import build_requests
 from folioloom.plans import adapters as ad
 from folioloom.plans.registry import query
 
+# The watch list is a constant of this package; its size is known.
+SMALL = len(ad.TERMS) <= terms.SMALL_GLOSSARY
+
 _SIZE, _GAP, _OVER = ad.CHUNK["size"], len(ad.SEPARATOR), ad.CHUNK["overlap"]
 _TALK = " OR ".join(
     f"contains(p, '{w}')" for w in [*ad.DIALOGUE_MARKS, *ad.DIALOGUE_WORDS]
@@ -109,7 +113,7 @@ CHUNKS_SQL = f"""
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return ad.table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return ad.documents(spark, sf_dir, *columns)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +121,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.fit_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), "doc_id")
+    return terms.fit_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), "doc_id", small=SMALL)
 
 
 _FIT_SQL = f"""
@@ -185,7 +189,7 @@ def doc_freq(spark, sf_dir):
 )
 def term_match(spark, sf_dir):
     """Occurrences of every listed term in every document."""
-    found = terms.term_match(_docs(spark, sf_dir, "text"), ad.watch_list(spark), ["doc_id"], "text")
+    found = terms.term_match(_docs(spark, sf_dir, "text"), ad.watch_list(spark), ["doc_id"], "text", SMALL)
     return found.select("doc_id", "term", "tf")
 
 
@@ -197,7 +201,7 @@ def term_match(spark, sf_dir):
 def ngram_term_match(spark, sf_dir):
     """The same for a glossary without a size bound, by an equi-join on character sequences."""
     found = terms.term_match(
-        _docs(spark, sf_dir, "text"), ad.benchmark_terms(spark, sf_dir), ["doc_id"], "text", small=0
+        _docs(spark, sf_dir, "text"), ad.benchmark_terms(spark, sf_dir), ["doc_id"], "text", small=False
     )
     return found.select("doc_id", "term", "tf")
 
@@ -210,8 +214,8 @@ def ngram_term_match(spark, sf_dir):
 def tfidf_scores(spark, sf_dir):
     """TF-IDF of every listed term in every chunk."""
     limit = len(ad.TERMS)
-    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), limit)
-    return ranked.select("doc_id", "chunk_idx", F.inline("terms")).select(
+    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), limit, small=SMALL)
+    return ranked.select("doc_id", "chunk_idx", F.inline(each("terms"))).select(
         "doc_id", "chunk_idx", "term", "tf", F.round(-F.col("neg_score"), 6).alias("score")
     )
 
@@ -227,8 +231,8 @@ def tfidf_scores(spark, sf_dir):
 )
 def chunk_topk_terms(spark, sf_dir):
     """The five most relevant terms of every chunk."""
-    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), 5)
-    return ranked.select("doc_id", "chunk_idx", F.posexplode("terms").alias("place", "t")).select(
+    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), 5, small=SMALL)
+    return ranked.select("doc_id", "chunk_idx", F.posexplode(each("terms")).alias("place", "t")).select(
         "doc_id",
         "chunk_idx",
         (F.col("place") + 1).cast("long").alias("rank"),
@@ -253,8 +257,8 @@ _PRIORITY = (
 )
 def present_terms_priority(spark, sf_dir):
     """Terms of every document by category order, the way without scores."""
-    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 6, "text")
-    return ranked.select("doc_id", F.posexplode("terms").alias("place", "t")).select(
+    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 6, "text", small=SMALL)
+    return ranked.select("doc_id", F.posexplode(each("terms")).alias("place", "t")).select(
         "doc_id", (F.col("place") + 1).cast("long").alias("rank"), "t.term"
     )
 
@@ -279,7 +283,7 @@ _BLOCK_SQL = f"""
 )
 def term_block(spark, sf_dir):
     """Terms of every document as a block of text, grouped by category."""
-    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 100, "text")
+    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 100, "text", small=SMALL)
     return ranked.select("doc_id", glossary_block(F.col("terms")).alias("block"))
 
 
@@ -328,7 +332,7 @@ _ANNOTATED_SQL = f"""
 @query(_ANNOTATED_SQL)
 def annotate_terms(spark, sf_dir):
     """Texts with their terms annotated where they stand free, five times at most."""
-    done = terms.annotate_chunks(_docs(spark, sf_dir, "text"), ad.watch_list(spark), text="text")
+    done = terms.annotate_chunks(_docs(spark, sf_dir, "text"), ad.watch_list(spark), text="text", small=SMALL)
     return done.select("doc_id", "annotated")
 
 
@@ -374,7 +378,7 @@ def translation_requests(spark, sf_dir):
         F.concat(F.lit('{"speaker":"s'), F.col("chunk_idx").cast("string"), F.lit('"}')),
     ).otherwise(F.lit("{}"))
     rows = build_requests(
-        _chunks(spark, sf_dir), _fitted(spark, sf_dir), F.lit("**Plain**\n"), state
+        _chunks(spark, sf_dir), _fitted(spark, sf_dir), F.lit("**Plain**\n"), state, small=SMALL
     )
     return rows.select("doc_id", "chunk_idx", "glossary_block", "system_prompt", "user_prompt")
 

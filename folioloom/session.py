@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "folioloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,6 +30,15 @@ def build_session(app_name: str = "folioloom", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than there are cores.
+
+    A large table has far more and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables a job writes and reads back.
 

@@ -26,9 +26,14 @@ def run_event_log(
 def heartbeats(events: DataFrame, idle_seconds: int = 30) -> DataFrame:
     """A heartbeat row for every job that has had no event for a while.
 
-    Only the job id goes through the shuffle, and one number is kept per job.
+    Only the job id goes through the shuffle, once per job and Arrow batch, and one number
+    is kept per job.
     """
 
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop_duplicates()
+
     def beat(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -44,6 +49,7 @@ def heartbeats(events: DataFrame, idle_seconds: int = 30) -> DataFrame:
 
     return (
         events.select(F.col("job_id").cast("string").alias("job_id"))
+        .mapInPandas(once, "job_id string")
         .groupBy("job_id")
         .applyInPandasWithState(
             beat,
