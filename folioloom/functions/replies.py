@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioloom import fixed_values as fixed
+from folioloom.functions.arrays import let
 from folioloom.functions.text import non_empty, strip
 from folioloom.schemas import ENTRY, NARRATIVE_STATE
 
@@ -16,8 +17,18 @@ _BRACKETS = r"(?s)\[.*\]"
 
 
 def _valid_json(text: Column) -> Column:
-    """The text where it is one JSON value, else null."""
-    return F.when(F.try_parse_json(non_empty(strip(text))).isNotNull(), strip(text))
+    """The text where it is one JSON value and nothing else, else null.
+
+    Parsing alone would accept text behind the value, so the text is also tried as the only
+    item of a list.
+    """
+
+    def check(stripped: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), stripped, F.lit("]")))
+        single = F.try_parse_json(stripped).isNotNull() & listed.isNotNull()
+        return F.when(single & F.try_variant_get(listed, "$[1]", "variant").isNull(), stripped)
+
+    return let(non_empty(strip(text)), check)
 
 
 def lenient_json(reply: Column) -> Column:

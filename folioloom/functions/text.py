@@ -103,7 +103,7 @@ def lines_to_paragraphs(text: Column, separator: str = fixed.PARAGRAPH_BREAK) ->
     only a plain trim.
     """
     flat = F.regexp_replace(text, f"[{_BLANK}&&[^\n ]]+|[{_BLANK}&&[^\n]]{{2,}}", " ")
-    lines = F.transform(F.split(F.regexp_replace(flat, " {2,}", " "), "\n", -1), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(flat, " {2,}", " "), "\n", -1), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda line: line != ""), separator)
 
 
