@@ -41,7 +41,7 @@ def category_priority(category: Column) -> Column:
 
 def with_entries(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """Add the whole of a small glossary, in its order, as the constant array ``_entries``."""
-    order = ["ordinal"] + [c for c in glossary.columns if c != "ordinal"]
+    order = sorted(glossary.columns, key=lambda c: c != "ordinal")
     entries = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order])))
     return texts.withColumn("_entries", glossary.agg(entries.alias("entries")).scalar())
 

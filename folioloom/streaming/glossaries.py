@@ -13,7 +13,7 @@ from folioloom import fixed_values as fixed
 from folioloom.functions.text import word_tokens
 from folioloom.operators.glossary import grow_glossary
 from folioloom.operators.terms import fit_terms
-from folioloom.streaming.tables import read_batches, start, write_batch
+from folioloom.streaming.tables import exists, read_batches, start, write_batch
 
 TERMS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("term", "target", "category", "notes")]
@@ -69,7 +69,6 @@ def run_growth(
     ``all_docs`` are written anew under ``stats/version=N``.
     """
     spark = docs.sparkSession
-    fitted = {"version": 0}
 
     def save(batch: DataFrame, batch_id: int) -> None:
         known = known_terms(spark, path, base, before=batch_id)
@@ -78,13 +77,19 @@ def run_growth(
         if all_docs is None:
             return
         current = version(spark, path)
-        if current - fitted["version"] >= refresh:
+        if current - last_fit(spark, path) >= refresh:
             write_stats(known_terms(spark, path, base), all_docs, path, current)
-            fitted["version"] = current
 
     return start(docs.writeStream.foreachBatch(save), checkpoint, seconds)
 
 
+def last_fit(spark: SparkSession, path: str) -> int:
+    """Version of the newest statistics, 0 where there are none; it outlives a restart."""
+    if not exists(spark, f"{path}/stats"):
+        return 0
+    return spark.read.parquet(f"{path}/stats").agg(F.max("version")).first()[0]
+
+
 def write_stats(glossary: DataFrame, docs: DataFrame, path: str, number: int) -> None:
     """Term statistics of a glossary version over all documents."""
     fit_terms(docs, glossary, "doc_id").write.mode("overwrite").parquet(f"{path}/stats/version={number}")

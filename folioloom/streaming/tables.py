@@ -21,13 +21,14 @@ def read_batches(
 ) -> DataFrame:
     """Rows of all batches, or of those before a given one; empty where there are none yet."""
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], full)
     rows = spark.read.schema(full).option("basePath", path).parquet(path)
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
