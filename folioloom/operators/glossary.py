@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
 from folioloom.functions.arrays import each
+from folioloom.functions.blocks import glossary_block
 from folioloom.functions.replies import parse_entries
 from folioloom.operators.ordering import keep_first, number_rows
 from folioloom.operators.terms import category_priority
@@ -40,6 +41,11 @@ def upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.select(*columns).unionByName(changed.select(*columns))
 
 
+def import_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Imported rows (read with empty notes kept) merged in their order."""
+    return upsert(base, rows.withColumnRenamed("ordinal", "seq"))
+
+
 def delete_terms(base: DataFrame, keys: DataFrame) -> DataFrame:
     """The glossary without any row of the given terms."""
     return base.join(keys.select("term"), "term", "left_anti")
@@ -102,6 +108,16 @@ def priority_topk(base: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def glossary_text(base: DataFrame, limit: int = fixed.GLOSSARY_TERMS) -> DataFrame:
+    """One row with the first entries by category order as a block without notes.
+
+    A glossary of no more than ``limit`` entries keeps its own order within a category.
+    """
+    first = priority_topk(base, limit).select("ordinal", "term", *_VALUES)
+    entries = F.array_sort(F.collect_list(F.struct("ordinal", "term", *_VALUES)))
+    return first.agg(glossary_block(entries, notes=False).alias("block"))
+
+
 def cap_entries(base: DataFrame, limit: int = fixed.GLOSSARY_TERMS) -> DataFrame:
     """The first rows in list order."""
     return base.orderBy("ordinal").limit(limit)

@@ -55,10 +55,15 @@ def valid_status(status: Column) -> Column:
     return status.isin(*fixed.STATUSES)
 
 
+def phase_of(status: Column) -> Column:
+    """The phase a chapter waits for: crawl, translate or format; null for none."""
+    phases = F.create_map(*[F.lit(x) for phase, s in fixed.PHASE_STATUS.items() for x in (s, phase)])
+    return F.try_element_at(phases, status)
+
+
 def pending_for(chapters: DataFrame, phase: str) -> DataFrame:
-    """Chapters waiting for a phase: crawl, translate or format."""
-    wanted = fixed.PHASE_STATUS.get(phase)
-    return chapters.filter(F.col("status") == wanted if wanted else F.lit(False))
+    """Chapters waiting for a phase."""
+    return chapters.filter(phase_of(F.col("status")) == phase)
 
 
 def work_lists(chapters: DataFrame, translate_only: bool = False) -> DataFrame:
@@ -70,14 +75,14 @@ def work_lists(chapters: DataFrame, translate_only: bool = False) -> DataFrame:
     return chapters.withColumn("action", action)
 
 
-def batch_work(chapters: DataFrame, resume: bool = True) -> DataFrame:
-    """Chapters of a batch translation: crawled ones, and without resume translated ones too."""
-    wanted = ["crawled"] if resume else ["crawled", "translated"]
-    return chapters.filter(F.col("status").isin(*wanted))
+def in_batch(status: Column, resume: bool = True) -> Column:
+    """Whether a batch translation takes a chapter: crawled, without resume translated too."""
+    return status.isin("crawled") if resume else status.isin("crawled", "translated")
 
 
-def download_work(chapters: DataFrame, resume: bool = True) -> DataFrame:
-    return chapters.filter(F.col("status") == "pending") if resume else chapters
+def in_download(status: Column, resume: bool = True) -> Column:
+    """Whether a download takes a chapter: pending, without resume any."""
+    return status == "pending" if resume else status.isNotNull()
 
 
 def force_reset(
@@ -246,6 +251,18 @@ def apply_chapter_updates(
     )
 
 
+def updates_by_position(chapters: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates that give a 0-based list position, with the chapter number found there.
+
+    ``aligned`` is false where that number is not position + 1, null where the position is
+    outside the list.  Chapters come from ``scan_chapters``.
+    """
+    found = chapters.select("book_id", "position", "index")
+    return updates.join(found, ["book_id", "position"], "left").withColumn(
+        "aligned", F.col("index") == F.col("position") + 1
+    )
+
+
 def rejected_updates(chapters: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
     """Updates that address no chapter."""
     return updates.join(chapters.select(*key), key, "left_anti")

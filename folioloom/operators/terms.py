@@ -10,6 +10,8 @@ Two exact ways to find terms, chosen by the counted size of the glossary:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,15 +190,18 @@ def relevant_terms(
     name: str = "terms",
     key: list[str] | None = None,
     small: bool | None = None,
+    scorer: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Add the array of the most relevant entries of each chunk.
 
     A fitted glossary (with df and idf) ranks by score, any other by category.  For a
-    large glossary the key columns of the chunks have to be given.
+    large glossary the key columns of the chunks have to be given.  For a small one
+    ``scorer`` may replace the ranking: it makes the sorted array of present entries from
+    the text and the entries, as ``scored`` and ``by_priority`` do.
     """
     fitted = "idf" in glossary.columns
     if is_small(glossary) if small is None else small:
-        rank = scored if fitted else by_priority
+        rank = scorer or (scored if fitted else by_priority)
         ranked = F.slice(rank(F.col(text), F.col("_entries")), 1, limit)
         return with_entries(chunks, glossary).withColumn(name, ranked).drop("_entries")
     if not key:

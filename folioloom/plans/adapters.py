@@ -103,14 +103,24 @@ def status_of(quality: Column, toxic: Column) -> Column:
     )
 
 
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of chapters for work that needs no chapter number and no text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book_id"), "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    status = status_of(F.col("quality"), F.col("toxic"))
+    return docs.join(labels, "doc_id", "left").select("book_id", "doc_id", status.alias("status"), "n_chars")
+
+
 def chapters(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """Chapters with their state and titles; the text only where it is asked for."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    keyed = chapter_keys(docs).join(labels, "doc_id", "left")
-    facts = docs.select("doc_id", "lang", "n_chars", *(["text"] if with_text else []))
+    facts = docs.select(F.col("source").alias("book_id"), "doc_id", "lang", "n_chars")
+    keyed = number_rows(facts, "book_id", "doc_id", "index").join(labels, "doc_id", "left")
+    if with_text:
+        keyed = keyed.join(docs.select("doc_id", "text"), "doc_id")
     number = F.col("index").cast("string")
-    return keyed.join(facts, "doc_id").select(
+    return keyed.select(
         "book_id",
         "index",
         "doc_id",

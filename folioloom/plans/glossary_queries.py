@@ -170,6 +170,19 @@ def known_terms(spark, sf_dir):
     return gl.known_terms_list(_corpus(spark, sf_dir))
 
 
+@query(
+    f"""SELECT string_agg(section, chr(10) ORDER BY priority) AS block FROM (
+          SELECT priority, '### ' || any_value(heading) || chr(10) ||
+                 string_agg('- ' || term || ' → ' || target, chr(10) ORDER BY ordinal) || chr(10) AS section
+          FROM (SELECT *, {_PRIORITY} AS priority FROM {_G} ORDER BY priority, ordinal LIMIT 100)
+          JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in fixed.CATEGORY_HEADINGS.items())}) h(name, heading)
+            ON h.name = category GROUP BY priority)"""
+)
+def glossary_text(spark, sf_dir):
+    """The first hundred terms by category as one block of text."""
+    return gl.glossary_text(_corpus(spark, sf_dir))
+
+
 @query(
     """SELECT source AS book_id, doc_id, left(text, 3000) AS sample FROM (
          SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r

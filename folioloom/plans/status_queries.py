@@ -24,12 +24,7 @@ _RANGE = "1-5,10,15-20,40-1000,7-3"
 
 def _counts(spark, sf_dir):
     """Counts need only books and states: no text, no numbering."""
-    docs = ad.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book_id"))
-    labels = ad.table(spark, sf_dir, "labels")
-    states = docs.join(labels, "doc_id", "left").select(
-        "book_id", ad.status_of(F.col("quality"), F.col("toxic")).alias("status")
-    )
-    return st.status_counts(states)
+    return st.status_counts(ad.states(spark, sf_dir))
 
 
 @query(f"SELECT * FROM {_COUNTS}")
@@ -105,14 +100,9 @@ def range_numbers(spark, sf_dir):
 )
 def pending_for_phase(spark, sf_dir):
     """Chapters waiting for each phase."""
-    chapters = ad.chapters(spark, sf_dir)
-    parts = [
-        st.pending_for(chapters, phase).select(F.lit(phase).alias("phase"), "book_id")
-        for phase in ("crawl", "translate", "format")
-    ]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("phase", "book_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    phased = ad.states(spark, sf_dir).select("book_id", st.phase_of(F.col("status")).alias("phase"))
+    waiting = phased.filter(F.col("phase").isNotNull())
+    return waiting.groupBy("phase", "book_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ACTION = """CASE WHEN status IN ('crawled', 'error') THEN 'translate' WHEN status = 'translated' THEN 'done'
@@ -133,18 +123,13 @@ def work_lists(spark, sf_dir):
 )
 def batch_work(spark, sf_dir):
     """Sizes of the batch and download lists, with and without resume."""
-    chapters = ad.chapters(spark, sf_dir).select("book_id", "status")
-    lists = {
-        "n_batch": st.batch_work(chapters),
-        "n_batch_again": st.batch_work(chapters, resume=False),
-        "n_download": st.download_work(chapters),
-        "n_download_again": st.download_work(chapters, resume=False),
-    }
-    marked = None
-    for name, rows in lists.items():
-        part = rows.select("book_id", F.lit(name).alias("list"))
-        marked = part if marked is None else marked.union(part)
-    return marked.groupBy("book_id").agg(*[F.count_if(F.col("list") == n).alias(n) for n in lists])
+    status = F.col("status")
+    return ad.states(spark, sf_dir).groupBy("book_id").agg(
+        F.count_if(st.in_batch(status)).alias("n_batch"),
+        F.count_if(st.in_batch(status, resume=False)).alias("n_batch_again"),
+        F.count_if(st.in_download(status)).alias("n_download"),
+        F.count_if(st.in_download(status, resume=False)).alias("n_download_again"),
+    )
 
 
 @query(
@@ -176,11 +161,11 @@ def force_reset(spark, sf_dir):
 )
 def run_result(spark, sf_dir):
     """Counters of a run over all books."""
-    before = st.work_lists(ad.chapters(spark, sf_dir))
+    before = st.work_lists(ad.states(spark, sf_dir))
     size = F.col("n_chars")
     after = F.when(size % 11 == 0, "error").when(size % 13 == 0, "crawled").otherwise("translated")
-    done = ad.chapters(spark, sf_dir).withColumn("status", after)
-    return st.run_result(before, done, ["book_id", "index"])
+    done = ad.states(spark, sf_dir).withColumn("status", after)
+    return st.run_result(before, done, ["book_id", "doc_id"])
 
 
 def _jobs(spark, sf_dir):

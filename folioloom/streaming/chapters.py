@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -59,6 +59,13 @@ def run_pages(
     return start(pages.writeStream.foreachBatch(save), checkpoint, seconds)
 
 
+def observed(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """Rows with counters that are filled while an action runs over them."""
+    progress = Observation(name)
+    counters = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "error").alias("errors")]
+    return rows.observe(progress, *counters), progress
+
+
 def remaining(pages: DataFrame, done: DataFrame, key: str = "page_id") -> DataFrame:
     """Rows still to be worked on."""
     return pages.join(done.select(key), key, "left_anti")

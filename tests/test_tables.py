@@ -206,3 +206,26 @@ def test_event_feeds(spark):
     assert last == {"j": '{"chapter_index": 697}', "k": '{"chapter_index": 699}'}
     label = spark.range(1).select(ev.event_label(F.lit("chapter_error"), F.lit('{"chapter_index": 3}')), ev.event_level(F.lit("job_failed"))).first()
     assert tuple(label) == ("Ch.3 error: unknown", "error")
+
+
+def test_updates_by_position(spark):
+    listed = spark.createDataFrame([("x", 0, 1), ("x", 1, 5)], "book_id string, position int, index long")
+    updates = spark.createDataFrame([("x", 0), ("x", 1), ("x", 7)], "book_id string, position int")
+    got = {r.position: (r["index"], r.aligned) for r in st.updates_by_position(listed, updates).collect()}
+    assert got == {0: (1, True), 1: (5, False), 7: (None, None)}
+
+
+def test_import_and_text(spark):
+    base = spark.createDataFrame([("王林", "x", "character", None, 0), ("练气", "Luyện Khí", "realm", "n", 1)], GLOSSARY)
+    given = spark.createDataFrame([("王林", "Vương Lâm", "character", "", 0), ("n", "N", "misc", "", 1)], GLOSSARY)
+    after = gl.import_rows(base, given)
+    assert rows(after, "term", "target") == [("n", "N"), ("王林", "Vương Lâm"), ("练气", "Luyện Khí")]
+    assert gl.glossary_text(after).first().block == "### Nhân vật\n- 王林 → Vương Lâm\n\n### Cảnh giới\n- 练气 → Luyện Khí\n"
+
+
+def test_observed_counts(spark):
+    from folioloom.streaming.chapters import observed
+
+    table, progress = observed(chapters(spark))
+    table.write.format("noop").mode("overwrite").save()
+    assert progress.get == {"rows": 5, "errors": 1}
