@@ -224,32 +224,36 @@ def translated_list(spark, sf_dir):
 @query(
     f"""SELECT book_id, index, CASE WHEN index < 10000 THEN lpad(CAST(index AS VARCHAR), 4, '0')
                ELSE CAST(index AS VARCHAR) END || '_第' || index || '章-' || split_part(title_cn, ' ', 2) || '.txt' AS file_name,
-               '# ' || title_cn || chr(10) || chr(10) || left(text, 200) AS body FROM {_C}"""
+               '# ' || title_cn || chr(10) || chr(10) || text AS body FROM {_C}"""
 )
 def raw_files(spark, sf_dir):
-    """Names and starts of the raw chapter files."""
+    """Names and contents of the raw chapter files."""
     chapters = ad.chapters(spark, sf_dir, with_text=True)
     return chapters.select(
         "book_id",
         "index",
         raw_file_name(F.col("index"), F.col("title_cn")).alias("file_name"),
-        raw_body(F.col("title_cn"), F.left("text", F.lit(200))).alias("body"),
+        raw_body(F.col("title_cn"), F.col("text")).alias("body"),
     )
 
 
 @query(
-    f"""SELECT book_id, index, CASE WHEN index % 3 = 0 THEN index || '.txt'
+    f"""SELECT book_id, index, CASE WHEN status = 'translated' THEN index || '.txt'
                ELSE lpad(CAST(index AS VARCHAR), 4, '0') || '_old.txt' END AS file_name,
-               CASE WHEN index % 3 = 0 THEN index ELSE 999999 END AS place FROM {_C}
-        WHERE index % 5 <> 0 OR index % 3 = 0"""
+               CASE WHEN status = 'translated' THEN index ELSE 999999 END AS place FROM {_C}
+        WHERE status <> 'pending'"""
 )
 def chapter_file_key(spark, sf_dir):
-    """One file per chapter from two naming patterns, the new one first."""
-    chapters = ad.chapters(spark, sf_dir).select("book_id", "index")
-    old = chapters.filter("index % 5 != 0").select(
+    """One file per chapter from two naming patterns, the new one first.
+
+    Every chapter that is not pending has a file of the old pattern, a translated one also
+    one of the new; files of other names have no chapter.
+    """
+    chapters = ad.chapters(spark, sf_dir).select("book_id", "index", "status")
+    old = chapters.filter("status != 'pending'").select(
         "book_id", F.concat(pad_key(F.col("index")), F.lit("_old.txt")).alias("file_name")
     )
-    new = chapters.filter("index % 3 = 0").select(
+    new = chapters.filter("status = 'translated'").select(
         "book_id", F.concat(F.col("index").cast("string"), F.lit(".txt")).alias("file_name")
     )
     other = chapters.select("book_id", F.concat(F.lit("note"), F.col("index"), F.lit(".txt")).alias("file_name"))

@@ -203,7 +203,7 @@ def sample_chapters(spark, sf_dir):
 
 @query(
     """SELECT book_id, (index - 1) // 5 AS batch, count(*) AS n_samples,
-              string_agg(left(text, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY index)
+              string_agg(left(text, 3000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY index)
                 AS combined
        FROM (SELECT source AS book_id, text,
                     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index FROM documents)
@@ -212,7 +212,7 @@ def sample_chapters(spark, sf_dir):
 def batch_bucket(spark, sf_dir):
     """Starts of the texts of every book in batches of five."""
     docs = ad.table(spark, sf_dir, "documents")
-    starts = docs.select("doc_id", F.left("text", F.lit(300)).alias("sample"))
+    starts = docs.select("doc_id", F.left("text", F.lit(fixed.SAMPLE_SIZE)).alias("sample"))
     return gl.batches(ad.chapter_keys(docs).join(starts, "doc_id"), "book_id", "index")
 
 

@@ -106,13 +106,13 @@ def analysis_html(spark, sf_dir):
 
 @query(
     """SELECT doc_id, CASE WHEN t = '' THEN 'unknown-book' ELSE left(lower(t), 50) END AS slug FROM (
-         SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 80), '[^\\p{L}\\p{N}_\\s\\p{Z}-]', '', 'g'),
+         SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_\\s\\p{Z}-]', '', 'g'),
                 '[\\s\\p{Z}_]+', '-', 'g'), '-') AS t FROM documents)"""
 )
 def slugify(spark, sf_dir):
-    """Starts of the texts as slugs."""
+    """Texts as slugs."""
     docs = ad.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", tx.slugify(F.left("text", F.lit(80))).alias("slug"))
+    return docs.select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 @query(
@@ -139,12 +139,12 @@ def url_parts(spark, sf_dir):
 
 @query("SELECT doc_id, text, CASE WHEN lang = 'es' THEN 'gbk' ELSE 'utf-8' END AS encoding FROM documents")
 def decode_utf8(spark, sf_dir):
-    """Bytes of the texts decoded again: the fast way for valid UTF-8, and a wrong label."""
+    """Bytes of the texts decoded again, the fast way for valid UTF-8, and normal labels."""
     docs = ad.table(spark, sf_dir, "documents")
     label = normalize_encoding(F.when(F.col("lang") == "es", "GB2312"))
     content = F.encode("text", "UTF-8")
-    plain = F.when(F.col("lang") == "es", F.col("text")).otherwise(decode_bytes(content, F.lit("utf-8")))
-    return docs.select("doc_id", plain.alias("text"), label.alias("encoding"))
+    text = decode_bytes(content, F.lit("utf-8"))
+    return docs.select("doc_id", text.alias("text"), label.alias("encoding"))
 
 
 @query()

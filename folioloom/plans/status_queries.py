@@ -227,11 +227,11 @@ def resumable_books(spark, sf_dir):
 @query(
     f"""SELECT book_id, 'plain' AS style, 3 AS workers FROM {_COUNTS}
         WHERE n_pending + n_crawled + n_error > 0
-          AND book_id NOT IN (SELECT 'src' || s_suppkey FROM supplier WHERE s_suppkey < 10)"""
+          AND book_id NOT IN (SELECT 'src' || s_suppkey FROM supplier WHERE s_suppkey % 5 <> 0)"""
 )
 def default_settings(spark, sf_dir):
-    """Settings for unfinished books without any."""
-    known = _settings(spark, sf_dir).filter(F.length("book_id") < 5)
+    """Settings for unfinished books without any that can be read."""
+    known = st.parse_settings(_settings(spark, sf_dir)).filter("last_settings is not null")
     return st.default_settings(_counts(spark, sf_dir), known, style="plain", workers=3)
 
 
@@ -341,12 +341,12 @@ def title_normalize(spark, sf_dir):
                CASE WHEN u THEN 'translated' ELSE status END AS status,
                CASE WHEN u THEN TIMESTAMP '2024-02-01 00:00:00' END AS translated_at,
                CASE WHEN NOT u AND status = 'error' THEN 'failed' END AS error_message
-        FROM (SELECT *, n_chars % 4 = 0 AS u FROM {_C})"""
+        FROM (SELECT *, status = 'crawled' AS u FROM {_C})"""
 )
 def apply_chapter_updates(spark, sf_dir):
-    """New titles put on chapters, which are translated then."""
+    """New titles put on the crawled chapters, which are translated then."""
     chapters = ad.chapters(spark, sf_dir)
-    updates = chapters.filter("n_chars % 4 = 0").select(
+    updates = chapters.filter("status = 'crawled'").select(
         "book_id", "index", F.lit("Chương new").alias("title_vi"), F.lit(None).cast("string").alias("title_cn")
     )
     number = F.col("index").cast("string")
@@ -366,14 +366,13 @@ def apply_chapter_updates(spark, sf_dir):
               ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm ago' END AS elapsed,
               CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago'
               WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS ago
-       FROM (SELECT event_id, CAST(floor(1704326400 - epoch(ts)) AS BIGINT) AS s FROM events)
-       WHERE s >= 0"""
+       FROM (SELECT event_id, CAST(floor(1706745600 - epoch(ts)) AS BIGINT) AS s FROM events)"""
 )
 def elapsed_labels(spark, sf_dir):
     """Age of events in words, both forms."""
-    seconds = F.lit(1704326400) - F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
+    seconds = F.lit(1706745600) - F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     events = ad.table(spark, sf_dir, "events").select("event_id", seconds.alias("s"))
-    return events.filter("floor(s) >= 0").select(
+    return events.select(
         "event_id", elapsed_label(F.col("s")).alias("elapsed"), elapsed_label(F.col("s"), True).alias("ago")
     )
 
