@@ -42,9 +42,14 @@ def category_priority(category: Column) -> Column:
 
 
 def with_entries(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Add the whole of a small glossary, in its order, as the constant array ``_entries``."""
+    """Add the whole of a small glossary, in its order, as the constant array ``_entries``.
+
+    A larger one is refused, whatever the caller said about it.
+    """
     order = sorted(glossary.columns, key=lambda c: c != "ordinal")
     entries = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order])))
+    too_many = F.raise_error(F.lit(f"more than {SMALL_GLOSSARY} glossary rows: pass small=False"))
+    entries = F.when(F.count(F.lit(1)) > SMALL_GLOSSARY, too_many).otherwise(entries)
     return texts.withColumn("_entries", glossary.agg(entries.alias("entries")).scalar())
 
 

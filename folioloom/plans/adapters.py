@@ -70,6 +70,11 @@ def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return texts(spark, sf_dir, "pages", "page_id", *columns)
 
 
+def utc(ts: Column) -> Column:
+    """The moment a time without a zone stands for in UTC, whatever zone the session has."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
 def watch_list(spark: SparkSession) -> DataFrame:
     return spark.sql(
         f"SELECT term, target, category, notes, CAST(ordinal AS BIGINT) AS ordinal FROM {watch_list_sql()}"

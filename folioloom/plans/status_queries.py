@@ -370,7 +370,7 @@ def apply_chapter_updates(spark, sf_dir):
 )
 def elapsed_labels(spark, sf_dir):
     """Age of events in words, both forms."""
-    seconds = F.lit(1706745600) - F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
+    seconds = F.lit(1706745600) - F.unix_micros(ad.utc(F.col("ts"))) / 1000000
     events = ad.table(spark, sf_dir, "events").select("event_id", seconds.alias("s"))
     return events.select(
         "event_id", elapsed_label(F.col("s")).alias("elapsed"), elapsed_label(F.col("s"), True).alias("ago")

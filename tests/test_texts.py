@@ -133,3 +133,19 @@ def test_leaks_and_flags(spark):
     assert flags == {1: (3, 0, True), 2: (0, 1, True), 3: (0, 0, False)}
     dry = quality.sanitize(docs, dry_run=True).orderBy("doc_id").collect()
     assert [(r.text, r.modified) for r in dry][:2] == [("anh and em or And", True), ("The end", False)]
+
+
+def test_own_scorer_and_size_guard(spark):
+    docs = spark.createDataFrame([(1, "王林 an 林")], "doc_id long, text string")
+    glossary = spark.createDataFrame(ENTRIES, GLOSSARY)
+
+    def by_length(text, entries):
+        found = terms.present(text, entries)
+        return F.array_sort(F.transform(found, lambda e: F.struct(-F.length(e["term"]), e["ordinal"], e["term"].alias("term"))))
+
+    got = terms.relevant_terms(docs, glossary, 2, "text", scorer=by_length).first()
+    assert [t.term for t in got.terms] == ["王林", "an"]
+    many = spark.range(300).select(F.col("id").cast("string").alias("term"), F.col("id").alias("ordinal"))
+    assert not terms.is_small(many)
+    with pytest.raises(Exception, match="glossary rows"):
+        terms.term_match(docs, many, ["doc_id"], "text", small=True).collect()
