@@ -32,7 +32,7 @@ def link_extract(spark, sf_dir):
     return pg.extract_links(ad.pages(spark, sf_dir, "url", "html"), "nav a")
 
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©")]
 
 
 def _plain(html: str) -> str:
@@ -43,6 +43,8 @@ def _plain(html: str) -> str:
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
     for entity, mark in _ENTITIES:
         text = f"replace({text}, '{entity}', '{mark}')"
+    # HTML also knows this entity without its semicolon, as cut-off pages have it.
+    text = f"regexp_replace({text}, '&amp;?', '&', 'g')"
     line = "trim(regexp_replace(l, '[\\s\\p{Z}]+', ' ', 'g'))"
     return (
         f"array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda l: {line}), "
@@ -101,7 +103,7 @@ def nav_line_filter(spark, sf_dir):
 )
 def analysis_html(spark, sf_dir):
     """Markup without scripts and styles, cut to the size for an analysis."""
-    return pg.analysis_html(ad.table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pg.analysis_html(ad.pages(spark, sf_dir, "html"))
 
 
 @query(
@@ -111,7 +113,7 @@ def analysis_html(spark, sf_dir):
 )
 def slugify(spark, sf_dir):
     """Texts as slugs."""
-    docs = ad.table(spark, sf_dir, "documents")
+    docs = ad.documents(spark, sf_dir)
     return docs.select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
@@ -140,7 +142,7 @@ def url_parts(spark, sf_dir):
 @query("SELECT doc_id, text, CASE WHEN lang = 'es' THEN 'gbk' ELSE 'utf-8' END AS encoding FROM documents")
 def decode_utf8(spark, sf_dir):
     """Bytes of the texts decoded again, the fast way for valid UTF-8, and normal labels."""
-    docs = ad.table(spark, sf_dir, "documents")
+    docs = ad.documents(spark, sf_dir, "text", "lang")
     label = normalize_encoding(F.when(F.col("lang") == "es", "GB2312"))
     content = F.encode("text", "UTF-8")
     text = decode_bytes(content, F.lit("utf-8"))
@@ -150,7 +152,7 @@ def decode_utf8(spark, sf_dir):
 @query()
 def decode_bytes_chain(spark, sf_dir):
     """Bytes of the texts decoded under a label that does not fit all of them."""
-    docs = ad.table(spark, sf_dir, "documents")
+    docs = ad.documents(spark, sf_dir)
     return docs.select("doc_id", decode_bytes(F.encode("text", "UTF-8"), F.lit("ascii")).alias("text"))
 
 
