@@ -15,14 +15,14 @@ from folioloom.llm.jaccard_join import join_near
 from folioloom.llm.line_dedup import clean_lines
 from folioloom.llm.mixing import mix
 from folioloom.llm.packing import pack
-from folioloom.llm.quality_rules import judged
+from folioloom.llm.quality_rules import good_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judged(docs, extra=COLUMNS[1:]).where("kept").select(*COLUMNS)
+    return good_documents(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

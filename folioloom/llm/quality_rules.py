@@ -36,7 +36,7 @@ RULES = (
     Rule("symbols_per_word", None, 0.1),
     Rule("n_stop_words", 2, None),
     Rule("stop_word_ratio", 0.02, None),
-    Rule("dup_line_ratio", None, 0.3),
+    Rule("dup_line_ratio", None, 0.5),
     Rule("bullet_line_ratio", None, 0.9),
     Rule("ellipsis_line_ratio", None, 0.3),
 )
@@ -65,8 +65,8 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and all measures of every text; see :func:`judged`."""
+def measured(docs: DataFrame, *carried: str | Column) -> DataFrame:
+    """All measures of every text, after the columns to carry along; see :func:`judged`."""
     text = F.col("_text")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -85,11 +85,13 @@ def measured(docs: DataFrame) -> DataFrame:
             F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("ellipsis"),
         ),
     )
+    rows = docs.select(*carried, whole_text().alias("_text"))
+    names = [name for name in rows.columns if name != "_text"]
     base = (
-        docs.select("doc_id", whole_text().alias("_text"))
+        rows
         .withColumn("_words", words)
         .select(
-            "doc_id",
+            *names,
             F.size("_words").cast("long").alias("n_words"),
             F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -99,7 +101,7 @@ def measured(docs: DataFrame) -> DataFrame:
         )
     )
     return base.select(
-        "doc_id",
+        *names,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -135,5 +137,15 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text has no words and fails.  Equal rows get equal verdicts; an empty table gives an
     empty result; columns other than ``doc_id`` and ``text`` are not looked at.
     """
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes(rules))
+    judgement = measured(docs, "doc_id").withColumn("base_failed", base_failed())
+    return judgement.withColumn("kept", ~F.col("base_failed") & passes(rules))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def good_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`judged` keeps."""
+    judgement = measured(docs, F.struct("*").alias("_doc"))
+    return judgement.where(~base_failed() & passes(rules)).select("_doc.*")

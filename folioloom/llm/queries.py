@@ -7,7 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, token_counts
+from pyspark.sql import functions as F
+
+from folioloom.llm import (
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    packing,
+    pii_crf,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    url_lists,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,11 +63,64 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean_lines(docs, "source")
 
 
+URL_SQL = r"""
+WITH captures AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+    TIMESTAMP '2024-01-01' + to_minutes(CAST((page_id * 37) % 43200 AS INT)) AS fetched_at FROM pages),
+hosts AS (SELECT page_id, host, string_split(host, '.') AS l FROM captures WHERE host IS NOT NULL),
+entries AS (SELECT CASE WHEN event_id % 2 = 0 OR len(l) < 3 THEN host ELSE array_to_string(list_slice(l, 2, len(l)), '.') END AS entry, ts AS since,
+    event_id AS seq, CASE event_type WHEN 'signup' THEN 'block' WHEN 'purchase' THEN 'block' WHEN 'click' THEN 'allow' ELSE 'remove' END AS action
+    FROM events JOIN hosts ON page_id = user_id),
+changes AS (SELECT entry, since, arg_max(action, seq) AS action FROM entries GROUP BY entry, since),
+intervals AS (SELECT *, lead(since) OVER (PARTITION BY entry ORDER BY since) AS until FROM changes),
+keys AS (SELECT c.page_id, c.fetched_at, unnest(list_transform(range(1, greatest(len(l), 2)), lambda k: array_to_string(list_slice(l, k, len(l)), '.'))) AS key
+    FROM captures c JOIN hosts USING (page_id)),
+hits AS (SELECT page_id, max({'n': length(entry), 'entry': entry, 'action': action, 'since': since}) AS h FROM keys JOIN intervals
+    ON entry = key AND since <= fetched_at AND (until IS NULL OR fetched_at < until) WHERE action <> 'remove' GROUP BY page_id)
+SELECT page_id, url, host, fetched_at, h.entry AS entry, h.action AS action, h.since AS listed_at,
+    coalesce(h.action <> 'block', true) AS kept FROM captures LEFT JOIN hits USING (page_id)
+"""
+
+
+@query(URL_SQL)
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a list whose changes are the events: a user's events change the entry of
+    the page with the user's number, by host or by parent domain."""
+    minutes = ((F.col("page_id") * 37) % 43200) * 60
+    fetched = F.timestamp_seconds(F.lit(1704067200) + minutes).cast("timestamp_ntz")
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    hosts = captures.select(F.col("page_id").alias("user_id"), url_lists.host_of(F.col("url")).alias("host"))
+    labels = F.split("host", r"\.")
+    parent = F.array_join(F.slice(labels, 2, F.size(labels)), ".")
+    kinds = F.when(F.col("event_type").isin("signup", "purchase"), url_lists.BLOCK)
+    kinds = kinds.when(F.col("event_type") == "click", url_lists.ALLOW).otherwise(url_lists.REMOVE)
+    entries = (
+        _table(spark, sf_dir, "events")
+        .join(hosts.where(F.col("host").isNotNull()), "user_id")
+        .select(
+            F.when((F.col("event_id") % 2 == 0) | (F.size(labels) < 3), F.col("host")).otherwise(parent).alias("entry"),
+            kinds.alias("action"),
+            F.col("ts").cast("timestamp_ntz").alias("at"),
+            F.col("event_id").alias("seq"),
+        )
+    )
+    return url_lists.judge_captures(captures, entries)
+
+
 @query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_pii(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))

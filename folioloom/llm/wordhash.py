@@ -66,3 +66,15 @@ def hashed_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         offsets = starts - np.repeat(borders[:-1], np.diff(first))
         yield at, hashes, offsets, first
         at = to
+
+
+class Ranges:
+    """Hashes of ranges of a list of values, each in constant time."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * powers(BASE, len(values)), out=self.sums[1:])
+        self.back = powers(INVERSE, len(values) + 1)
+
+    def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
