@@ -29,9 +29,11 @@ TOKENS = 64
 #: Buckets up to this size are compared pair by pair.
 SMALL = 512
 #: Splits of a bucket, the first included.
-DEPTH = 3
+DEPTH = 5
 #: Tokens that a large bucket is split by, each time.
-WIDTH = 3
+WIDTH = 2
+#: A part with this share of the bucket that it is split from isn't split again.
+ALIKE = 0.5
 #: Sketches may fall this far below the threshold: more than four standard deviations.
 MARGIN = 0.22
 #: Sets of a block of the exact comparison.
@@ -65,21 +67,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-SETS = "doc_id long, sha binary, key binary, signature array<int>"
+SETS = "doc_id long, sha binary, key binary, signature array<int>, sketch binary"
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, sha, key, signature``: the digest of the text, of its set, and the set's tokens."""
+    """``doc_id, sha, key, signature, sketch``: the digests of the text and of its set, the set's
+    tokens, and a byte of each token."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, tokens = [], []
+            keys, tokens, sketches = [], [], []
             for shingles in shingle_sets(batch.column(1), n):
                 empty = not len(shingles)
+                found = None if empty else signature(shingles)
                 keys.append(None if empty else hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                tokens.append(None if empty else signature(shingles).view(np.int32))
+                tokens.append(None if empty else found.view(np.int32))
+                sketches.append(None if empty else found.astype(np.uint8).tobytes())
             arrays = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "sha", "key", "signature"])
+            arrays.append(pa.array(sketches, pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "sha", "key", "signature", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(sign, SETS)
@@ -101,61 +107,64 @@ def _roots(alike: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidate_stars(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges ``a, b`` between keys, so that sets of the threshold's similarity are connected."""
-    runs = min(TOKENS, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+def candidate_stars(sets: DataFrame, threshold: float, recall: float, small_bucket: int = SMALL) -> DataFrame:
+    """Edges ``a, b`` between keys, so that sets of the threshold's similarity are connected.
+
+    Paths are rows of a key and a bucket.  Buckets of one set end.  Small buckets are compared
+    pair by pair, by sketch, and pass on a star for each group.  A large bucket is split by
+    further tokens; a part that still holds most of it is a group of much alike sets, which a
+    star of all of them covers without comparing pairs.
+    """
+    survives = threshold * (1 - (1 - threshold) ** WIDTH)
+    runs = min(TOKENS, math.ceil(math.log(1 - recall) / math.log(1 - survives)))
     least = (threshold - MARGIN) * TOKENS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stars(keys: list[bytes], tokens: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-            sketch = np.stack(tokens).astype(np.uint8)
+        def stars(keys: list[bytes], sketches: list[bytes]) -> list[tuple[bytes, bytes]]:
+            sketch = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, TOKENS)
             alike = np.zeros((len(keys), len(keys)), dtype=bool)
             for k in range(len(keys)):
                 alike[k] = (sketch == sketch[k]).sum(axis=1) >= least
             roots = _roots(alike)
             return [(keys[k], keys[root]) for k, root in enumerate(roots.tolist()) if k != root]
 
-        node, keys, tokens, out = None, [], [], []
+        def edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        node, keys, sketches, out = None, [], [], []
         for batch in batches:
-            lists = batch.column(2)
-            values = lists.flatten().to_numpy().reshape(-1, TOKENS)
-            for own, key, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+            for own, key, sketch in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 if own != node:
                     if len(keys) > 1:
-                        out += stars(keys, tokens)
-                    node, keys, tokens = own, [], []
+                        out += stars(keys, sketches)
+                    node, keys, sketches = own, [], []
                 keys.append(key)
-                tokens.append(row)
-            yield _edges(out)
+                sketches.append(sketch)
+            yield edges(out)
             out = []
         if len(keys) > 1:
-            yield _edges(stars(keys, tokens))
-
-    def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield edges(stars(keys, sketches))
 
     token = lambda k: F.get("signature", k)
-    paths = F.array(*[F.xxhash64(F.lit(run), F.lit(run), token(F.lit(run))) for run in range(runs)])
-    active = sets.select("key", "signature", F.explode(paths).alias("node"))
+    roots = F.array(*[F.xxhash64(F.lit(run), token(F.lit(run))) for run in range(runs)])
+    paths = sets.select("key", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("of"))
     edges = []
     for depth in range(1, DEPTH + 1):
-        counts = active.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("root"))
-        counts = settle(counts.where(F.col("n") > 1), "buckets")
-        small = active.join(counts.where(F.col("n") <= SMALL), "node").select("node", "key", "signature")
+        counts = paths.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.min("key").alias("root"))
+        shared = settle(paths.join(counts.where(F.col("held") > 1), "node"), "paths")
+        small = shared.where(F.col("held") <= small_bucket).join(sets, "key").select("node", "key", "sketch")
         dealt = small.repartition("node").sortWithinPartitions("node")
         edges.append(settle(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "stars"))
-        large = counts.where(F.col("n") > SMALL)
+        large = shared.where(F.col("held") > small_bucket)
         if large.isEmpty():
             break
-        inside = active.join(large, "node")
-        if depth == DEPTH:
-            # Alike in as many tokens as there were splits: one candidate group, without pairs.
-            edges.append(inside.select(F.col("key").alias("a"), F.col("root").alias("b")))
-            break
+        alike = F.coalesce(F.col("held") >= ALIKE * F.col("of"), F.lit(False)) | F.lit(depth == DEPTH)
+        edges.append(large.where(alike).select(F.col("key").alias("a"), F.col("root").alias("b")).distinct())
         chosen = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)).cast("int") for k in range(WIDTH)]
-        children = F.array_distinct(F.array(*[F.xxhash64("node", c, token(c)) for c in chosen]))
-        active = settle(inside.select("key", "signature", F.explode(children).alias("node")), "paths")
+        parts = F.array_distinct(F.array(*[F.xxhash64("node", c, token(c)) for c in chosen]))
+        split = large.where(~alike).join(sets, "key")
+        paths = split.select("key", F.explode(parts).alias("node"), F.col("held").alias("of"))
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
@@ -256,7 +265,9 @@ def linked_sets(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, LINKED)
 
 
-def join_near(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
+def join_near(
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999999, small_bucket: int = SMALL
+) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_copies, n_links``.
 
     Two documents are linked where the Jaccard similarity of their sets of word n-grams is at
@@ -276,10 +287,11 @@ def join_near(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
             F.count(F.lit(1)).alias("n"),
             F.min("sha").alias("sha"),
             F.first("signature").alias("signature"),
+            F.first("sketch").alias("sketch"),
         ),
         "sets",
     )
-    groups = components(candidate_stars(classes, threshold, recall))
+    groups = components(candidate_stars(classes, threshold, recall, small_bucket))
     groups = settle(groups.withColumnsRenamed({"node": "key", "label": "group"}), "groups")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).select("group", blocks.alias("blocks"))
