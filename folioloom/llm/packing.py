@@ -13,7 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,17 @@ REMEMBERED = 1_000_000
 #: What str.split() takes for white space and the tokenizer does not.
 UNSURE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r ]+")
+#: Latin letters that stay single letters in lower case, and punctuation after them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
 
 
 class WordEncoder:
     """Token ids of texts as little-endian bytes, from remembered ids of their words.
 
-    Only for tokenizers that drop white space and never join words across it, so that the
-    ids of a text are the ids of its words in a row (lower-casing and normalisation work
-    within words).  Every word's ids come from the tokenizer.
+    Only for tokenizers that drop white space, lower-case, and never join words across white
+    space or letters with other characters, so that the ids of a text are the ids of its
+    words in a row.  Every id comes from the tokenizer: of a plain word its letters and its
+    final punctuation each once, of any other word as a whole.
     """
 
     def __init__(self, model: str):
@@ -45,18 +48,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _learn(self, new: list[str]) -> None:
+        parts = [PLAIN.fullmatch(word) for word in new]
+        cores = {m[1].lower() for m in parts if m}.difference(self.letters)
+        for part in batched(cores, 256):
+            # Many words in one text; each ends with a token that ends a word.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                    self.letters[word], at = data[at:end], end
+            else:
+                self.letters.update(zip(part, self._whole(list(part)), strict=True))
+        tails = list({m[2] for m in parts if m}.difference(self.letters))
+        self.letters.update(zip(tails, self._whole(tails), strict=True))
+        others = [word for word, m in zip(new, parts, strict=True) if not m]
+        for k in range(0, len(others), 4096):
+            self.known.update(zip(others[k : k + 4096], self._whole(others[k : k + 4096]), strict=True))
+        letters = self.letters
+        self.known.update((m[0], letters[m[1].lower()] + letters[m[2]]) for m in parts if m)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [SPACES.split(t) if UNSURE.search(t) else t.split() for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = list(set(chain.from_iterable(words)))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+            self.letters.clear()
+        self._learn(list(set(chain.from_iterable(words)).difference(self.known)))
         look = self.known.__getitem__
         return [b"".join(map(look, text)) for text in words]
 
