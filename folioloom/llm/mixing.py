@@ -29,7 +29,7 @@ def fill(lengths: list[int], available: list[int], budget: int) -> list[int]:
     """
     steps, reach, mask = [], 1, (1 << (budget + 1)) - 1
     for k, (length, n) in enumerate(zip(lengths, available, strict=True)):
-        n, part = min(n, budget // length), 1
+        n, part = min(n, budget // length) if length else 0, 1
         while n > 0 and not reach >> budget & 1:
             part = min(part, n)
             steps.append((reach, k, part))
@@ -43,24 +43,34 @@ def fill(lengths: list[int], available: list[int], budget: int) -> list[int]:
     return taken
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length make up ``budget`` words of a source with more."""
+def fit_budget(lengths: list[int], counts: list[int], budget: int, times: int = 1) -> list[int]:
+    """How many documents of each length make up ``budget`` words of a source with more.
+
+    An even share of every length first; where few documents leave that far from the budget,
+    the longest first; where that is far from it too, documents up to ``times`` times."""
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    taken = [n * min(budget, total) // total for n in counts]
-    left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
     longest_first = sorted(range(len(lengths)), key=lambda k: -lengths[k])
-    moved = True
-    while moved and left > KNAPSACK_WORDS:
-        moved = False
-        for k in longest_first:
-            if left > KNAPSACK_WORDS and taken[k] < counts[k] and 0 < lengths[k] <= left:
-                taken[k], left, moved = taken[k] + 1, left - lengths[k], True
-    small = [k for k in range(len(lengths)) if 0 < lengths[k] <= left]
-    rest = fill([lengths[k] for k in small], [counts[k] - taken[k] for k in small], min(left, KNAPSACK_WORDS))
-    for k, n in zip(small, rest, strict=True):
-        taken[k] += n
+
+    def completed(taken: list[int]) -> tuple[int, list[int]]:
+        left, moved = budget - sum(a * b for a, b in zip(lengths, taken, strict=True)), True
+        while moved and left > KNAPSACK_WORDS:
+            moved = False
+            for k in longest_first:
+                if left > KNAPSACK_WORDS and taken[k] < counts[k] and 0 < lengths[k] <= left:
+                    taken[k], left, moved = taken[k] + 1, left - lengths[k], True
+        rest = fill(lengths, [b - a for a, b in zip(taken, counts, strict=True)], min(left, KNAPSACK_WORDS))
+        taken = [a + b for a, b in zip(taken, rest, strict=True)]
+        return left - sum(a * b for a, b in zip(lengths, rest, strict=True)), taken
+
+    none = [0] * len(lengths)
+    left, taken = completed([n * budget // total for n in counts] if budget > KNAPSACK_WORDS else none)
+    if left > budget // 1000:
+        left, taken = min((left, taken), completed(none[:]))
+    if left > budget // 1000 and times > 1:
+        counts = [n * times for n in counts]
+        left, taken = min((left, taken), completed(none[:]))
     return taken
 
 
@@ -122,18 +132,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -
         (goal - rounds * F.col("source_size")).alias("_budget"),
     )
     known = sizes.join(budgets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    counts = known.groupBy("source_no", "size", "_budget").agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy("source_no", "size", "_budget", "_rounds").agg(F.count(F.lit(1)).alias("n"))
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         # Counts of one source by exact length: 10^12 words have at most 1.4 million lengths.
         part = part.sort_values("size")
-        taken = fit_budget(part["size"].tolist(), part["n"].tolist(), int(part["_budget"].iloc[0]))
-        return pd.DataFrame({"source_no": part["source_no"], "size": part["size"], "_take": taken})
+        budget, rounds = int(part["_budget"].iloc[0]), int(part["_rounds"].iloc[0])
+        taken = fit_budget(part["size"].tolist(), part["n"].tolist(), budget, max(1, MOST - rounds))
+        return pd.DataFrame({"source_no": part["source_no"], "size": part["size"], "_of": part["n"], "_take": taken})
 
-    takes = counts.groupBy("source_no").applyInPandas(fitted, "source_no long, size long, _take long")
+    takes = counts.groupBy("source_no").applyInPandas(fitted, "source_no long, size long, _of long, _take long")
     total = sizes.count()
     placed = ranked(known, ["source_no", "size"], ["_order", "doc_id"], total, "_place")
-    extra = (F.col("_place") < F.col("_take")).cast("long")
+    extra = F.floor(F.col("_take") / F.col("_of")) + (F.col("_place") < F.col("_take") % F.col("_of")).cast("long")
     copies = F.when(F.col("size") > 0, F.col("_rounds") + extra).otherwise(0).cast("long")
     mixed = placed.join(takes, ["source_no", "size"]).withColumn("copies", copies)
     return mixed.select(

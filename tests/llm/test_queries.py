@@ -1,0 +1,42 @@
+"""Registered queries against SQL, and the pipeline's stages, on the smallest data."""
+
+import os
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parents[2]))
+import corpus_pipeline  # noqa: E402
+
+from folioloom.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "events"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got = QUERIES[name](spark, DATA).toPandas()
+    want = con.execute(ORACLES[name]).fetchdf()[list(got.columns)]
+    assert sorted(map(str, got.astype(object).values.tolist())) == sorted(map(str, want.astype(object).values.tolist()))
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        kept[k] = docs.count()
+        if k < 4:
+            assert docs.columns == columns
+    assert kept[0] < spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert kept[1] == kept[0] > kept[2]
+    pieces = corpus_pipeline.run(spark, DATA)
+    assert pieces.columns == docs.columns and pieces.count() == kept[4]
+    assert docs.select("sequence_id", "offset").distinct().count() == kept[4]
