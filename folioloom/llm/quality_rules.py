@@ -55,7 +55,7 @@ def repeated_words(words: Column, size: int = 3) -> Column:
         equal = lambda x, k: (x["h"] == F.get(ordered, k - 1)["h"]) | (x["h"] == F.get(ordered, k + 1)["h"])
         return F.transform(F.filter(ordered, lambda x, k: F.coalesce(equal(x, k), F.lit(False))), lambda x: x["i"])
 
-    places = F.array_sort(let(F.array_sort(F.transform(starts, window)), repeats))
+    places = F.sort_array(let(F.sort_array(F.transform(starts, window)), repeats))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-size).alias("last"))
     add = lambda s, i: F.struct((s["n"] + F.least(F.lit(size), i - s["last"])).alias("n"), i.alias("last"))
     return F.aggregate(places, start, add, lambda s: s["n"])
@@ -68,50 +68,46 @@ def _ratio(part: Column, whole: Column) -> Column:
 def measured(docs: DataFrame, *carried: str | Column) -> DataFrame:
     """All measures of every text, after the columns to carry along; see :func:`judged`."""
     text = F.col("_text")
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    lowered = F.transform(F.col("_words"), lambda w: F.lower(w))
-    stops = F.filter(lowered, lambda w: w.isin(list(STOP_WORDS)))
-    known = let(
-        stops,
-        lambda s: F.struct(F.size(s).cast("long").alias("n"), F.size(F.array_distinct(s)).cast("long").alias("kinds")),
-    )
-    of_lines = let(
-        lines,
-        lambda x: F.struct(
-            F.size(x).cast("long").alias("n"),
-            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"),
-            F.size(F.filter(x, lambda y: y.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("bullet"),
-            F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("ellipsis"),
-        ),
-    )
+    count = lambda x: F.size(x).cast("long")
+
+    def of_words(words: Column) -> Column:
+        stops = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(list(STOP_WORDS)))
+        return F.struct(
+            count(words).alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            repeated_words(words).alias("n_repeat_words"),
+            let(stops, lambda s: F.struct(count(s).alias("n"), count(F.array_distinct(s)).alias("kinds"))).alias("stop"),
+        )
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(
+            count(x).alias("n"),
+            (count(x) - count(F.array_distinct(x))).alias("dup"),
+            count(F.filter(x, lambda y: y.rlike(r"^[\x20\x09]*[-*•]"))).alias("bullet"),
+            count(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("ellipsis"),
+        )
+
     rows = docs.select(*carried, whole_text().alias("_text"))
     names = [name for name in rows.columns if name != "_text"]
-    base = (
-        rows
-        .withColumn("_words", words)
-        .select(
-            *names,
-            F.size("_words").cast("long").alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            repeated_words(F.col("_words")).alias("n_repeat_words"),
-            known.alias("_stop"),
-            of_lines.alias("_line"),
-        )
+    found = F.struct(
+        let(F.filter(F.split(text, SPACE), lambda w: w != ""), of_words).alias("_word"),
+        let(lines, of_lines).alias("_line"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
-    return base.select(
+    # A generator of one row: a filter above it isn't moved below, where it would measure again.
+    return rows.select(*names, F.inline_outer(F.array(found))).select(
         *names,
-        "n_words",
-        "word_chars",
+        "_word.n_words",
+        "_word.word_chars",
         "n_symbols",
         F.col("_line.dup").alias("n_dup_lines"),
-        "n_repeat_words",
+        "_word.n_repeat_words",
         F.col("_line.n").alias("n_lines"),
-        F.col("_stop.kinds").alias("n_stop_words"),
-        _ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word_chars"),
-        _ratio(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"),
-        _ratio(F.col("_stop.n"), F.col("n_words")).alias("stop_word_ratio"),
+        F.col("_word.stop.kinds").alias("n_stop_words"),
+        _ratio(F.col("_word.word_chars"), F.col("_word.n_words")).alias("mean_word_chars"),
+        _ratio(F.col("n_symbols"), F.col("_word.n_words")).alias("symbols_per_word"),
+        _ratio(F.col("_word.stop.n"), F.col("_word.n_words")).alias("stop_word_ratio"),
         _ratio(F.col("_line.dup"), F.col("_line.n")).alias("dup_line_ratio"),
         _ratio(F.col("_line.bullet"), F.col("_line.n")).alias("bullet_line_ratio"),
         _ratio(F.col("_line.ellipsis"), F.col("_line.n")).alias("ellipsis_line_ratio"),

@@ -255,7 +255,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         .union(extended(contexts(texts)))
         .union(repeated.select("key", F.lit(0).alias("begin"), "end"))
         .groupBy("key")
-        .agg(_united(F.array_sort(F.collect_set(F.struct("begin", "end")))).alias("_spans"))
+        .agg(_united(F.sort_array(F.collect_set(F.struct("begin", "end")))).alias("_spans"))
     )
     length = lambda s: (s["end"] - s["begin"]).cast("long")
     listed = F.transform("_spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string")))
