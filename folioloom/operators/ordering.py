@@ -47,23 +47,28 @@ def nearest_marked(
     following: str = "following",
     width: int = CELL_WIDTH,
 ) -> DataFrame:
-    """Add the nearest order value before and after each row among the marked rows."""
+    """Add the nearest order value before and after each row among the marked rows.
+
+    What follows is read in falling order, so that every window grows by a row at a time.
+    """
     cells = df.withColumn("_cell", _cell(order, width)).withColumn(
         "_mark", F.when(marked, F.col(order))
     )
-    ordered = Window.partitionBy(group).orderBy("_cell")
+    earlier = Window.unboundedPreceding, -1
+    ordered = Window.partitionBy(group).orderBy("_cell").rowsBetween(*earlier)
+    reversed_cells = Window.partitionBy(group).orderBy(F.desc("_cell")).rowsBetween(*earlier)
     carried = cells.groupBy(group, "_cell").agg(
         F.min("_mark").alias("_low"), F.max("_mark").alias("_high")
     )
     carried = carried.select(
         group,
         "_cell",
-        F.max("_high").over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.min("_low").over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.max("_high").over(ordered).alias("_before"),
+        F.min("_low").over(reversed_cells).alias("_after"),
     )
-    inside = Window.partitionBy(group, "_cell").orderBy(order)
-    last = F.last("_mark", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first("_mark", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    inside = Window.partitionBy(group, "_cell")
+    last = F.last("_mark", ignorenulls=True).over(inside.orderBy(order).rowsBetween(*earlier))
+    first = F.last("_mark", ignorenulls=True).over(inside.orderBy(F.desc(order)).rowsBetween(*earlier))
     return (
         cells.withColumn("_last", last)
         .withColumn("_first", first)
