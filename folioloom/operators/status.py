@@ -231,13 +231,20 @@ def book_badge(translated: Column, total: Column) -> Column:
 
 
 def apply_chapter_updates(
-    chapters: DataFrame, updates: DataFrame, now: Column, key: tuple[str, str] = ("book_id", "index")
+    chapters: DataFrame,
+    updates: DataFrame,
+    now: Column,
+    key: tuple[str, str] = ("book_id", "index"),
+    order: str = "title_vi",
 ) -> DataFrame:
     """Chapters with the titles of the updates; an updated chapter is translated, without error.
 
-    ``updates`` has the key, title_vi and title_cn (null where no numbering is wanted).
+    ``updates`` has the key, title_vi and title_cn (null where no numbering is wanted).  Of
+    several updates of a chapter the last one by the column ``order`` holds.
     """
-    changes = updates.select(
+    last = F.max_by(F.struct("title_vi", "title_cn"), F.col(order)).alias("_last")
+    latest = updates.groupBy(*key).agg(last).select(*key, "_last.*")
+    changes = latest.select(
         *key, normalize_title(F.col("title_vi"), F.col("title_cn")).alias("_title")
     )
     hit = F.col("_title").isNotNull()

@@ -229,3 +229,18 @@ def test_observed_counts(spark):
     table, progress = observed(chapters(spark))
     table.write.format("noop").mode("overwrite").save()
     assert progress.get == {"rows": 5, "errors": 1}
+
+
+def test_last_update_of_a_chapter_holds(spark):
+    from pyspark.sql import functions as F
+
+    from folioloom.operators.status import apply_chapter_updates
+
+    kind = "book_id string, index long, title_vi string, status string, translated_at timestamp, error_message string"
+    chapters = spark.createDataFrame([("b", 1, "old", "error", None, "x"), ("b", 2, "kept", "error", None, "x")], kind)
+    updates = spark.createDataFrame(
+        [("b", 1, "Z first", None, 1), ("b", 1, "A last", None, 2)],
+        "book_id string, index long, title_vi string, title_cn string, step long",
+    )
+    rows = apply_chapter_updates(chapters, updates, F.current_timestamp(), order="step").collect()
+    assert sorted((r["index"], r["title_vi"], r["status"]) for r in rows) == [(1, "A last", "translated"), (2, "kept", "error")]
