@@ -20,7 +20,7 @@ from folioloom.functions.text import (
     paragraphs_html,
     strip,
 )
-from folioloom.operators.ordering import concat_segments, number_rows
+from folioloom.operators.ordering import concat_segments, nearest_marked, number_rows
 
 SEGMENT = 100
 
@@ -49,22 +49,27 @@ def book_metadata(
     )
 
 
+def _shown_title() -> Column:
+    return display_title(F.col("title_vi"), F.col("text"), F.col("title_cn"), F.col("index"))
+
+
+def _toc_line(title: Column) -> Column:
+    number = F.col("index").cast("string")
+    return F.concat(F.lit('<li><a href="#chapter-'), number, F.lit('">'), title, F.lit("</a></li>"))
+
+
 def toc(chapters: DataFrame, size: int = SEGMENT) -> DataFrame:
     """Lines of the table of contents of each book, in segments.
 
     Chapters have book_id, index, title_vi, title_cn and text.
     """
-    title = display_title(F.col("title_vi"), F.col("text"), F.col("title_cn"), F.col("index"))
-    number = F.col("index").cast("string")
-    line = F.concat(F.lit('<li><a href="#chapter-'), number, F.lit('">'), title, F.lit("</a></li>"))
-    lines = chapters.select("book_id", "index", line.alias("toc"))
+    lines = chapters.select("book_id", "index", _toc_line(_shown_title()).alias("toc"))
     return concat_segments(lines, "book_id", "index", "toc", size)
 
 
-def chapter_html(chapters: DataFrame) -> DataFrame:
-    """One section of HTML per chapter."""
-    title = display_title(F.col("title_vi"), F.col("text"), F.col("title_cn"), F.col("index"))
-    html = F.concat(
+def _section(title: Column) -> Column:
+    """One section of HTML for a chapter."""
+    return F.concat(
         F.lit('<section id="chapter-'),
         F.col("index").cast("string"),
         F.lit('">\n<h2>'),
@@ -73,14 +78,22 @@ def chapter_html(chapters: DataFrame) -> DataFrame:
         paragraphs_html(F.col("text")),
         F.lit("\n</section>"),
     )
-    return chapters.select("book_id", "index", html.alias("html"))
 
 
-def book_html(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> DataFrame:
+def _with_chapters(books: DataFrame, chapters: DataFrame, complete: bool) -> DataFrame:
+    """Books that have chapters; ``complete`` says that all of them do."""
+    return books if complete else books.join(chapters.select("book_id").distinct(), "book_id", "left_semi")
+
+
+def book_html(
+    books: DataFrame, chapters: DataFrame, size: int = SEGMENT, complete: bool = False
+) -> DataFrame:
     """The HTML document of each book with chapters, as rows (book_id, part, segment, html).
 
-    Parts: 0 head, 1 contents, 2 chapters, 3 end.  In the order of part and segment the rows
-    make up the document.
+    Parts: 0 head, 1 contents, 2 end of the contents, 3 chapters, 4 end.  In the order of part
+    and segment the rows make up the document.  Contents and chapters of a segment come from
+    one grouping, so chapters are read once.  Where ``books`` holds books with chapters only,
+    say so by ``complete``; chapters are then not read to find that out.
     """
     meta = html_meta(F.col("author"), F.col("translator"), F.lit("vi"), F.col("description"))
     head = F.concat(
@@ -92,22 +105,37 @@ def book_html(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> Dat
         F.col("title"),
         F.lit("</h1>\n<p>"),
         F.col("author"),
-        F.lit("</p>\n<ol>\n"),
+        F.lit("</p>\n"),
+        F.coalesce(F.concat(F.lit("<p>"), non_empty(F.col("translator")), F.lit("</p>\n")), F.lit("")),
+        F.lit("<ol>\n"),
     )
-    with_text = books.join(chapters.select("book_id").distinct(), "book_id", "left_semi")
 
-    def part(df: DataFrame, number: int, text: Column) -> DataFrame:
-        segment = F.col("segment") if "segment" in df.columns else F.lit(0).cast("long")
-        return df.select("book_id", F.lit(number).alias("part"), segment.alias("segment"), text.alias("html"))
+    def part(number: int, segment: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(number).alias("part"), segment.cast("long").alias("segment"), text.alias("html")
+        )
 
-    contents = toc(chapters, size)
-    sections = concat_segments(chapter_html(chapters), "book_id", "index", "html", size)
-    newline = F.lit("\n")
+    def joined(field: str) -> Column:
+        return F.concat(F.array_join(F.transform("_entries", lambda e: e[field]), "\n"), F.lit("\n"))
+
+    once = F.lit(0)
+    ends = F.array(
+        part(0, once, head), part(2, once, F.lit("</ol>\n")), part(4, once, F.lit("</body>\n</html>\n"))
+    )
+    titled = chapters.withColumn("_title", _shown_title())
+    lines = titled.select(
+        "book_id",
+        F.floor((F.col("index") - 1) / size).alias("segment"),
+        F.struct(
+            "index", _toc_line(F.col("_title")).alias("toc"), _section(F.col("_title")).alias("html")
+        ).alias("_entry"),
+    )
+    grouped = lines.groupBy("book_id", "segment").agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
+    segments = F.array(part(1, F.col("segment"), joined("toc")), part(3, F.col("segment"), joined("html")))
     return (
-        part(with_text, 0, head)
-        .unionByName(part(contents, 1, F.concat(F.col("toc"), newline)))
-        .unionByName(part(sections, 2, F.concat(F.col("html"), newline)))
-        .unionByName(part(with_text, 3, F.lit("</body>\n</html>\n")))
+        _with_chapters(books, chapters, complete)
+        .select("book_id", F.inline(ends))
+        .unionByName(grouped.select("book_id", F.inline(segments)))
     )
 
 
@@ -115,8 +143,11 @@ def books_without_text(books: DataFrame, chapters: DataFrame) -> DataFrame:
     return books.join(chapters.select("book_id"), "book_id", "left_anti")
 
 
+# Language of assembled books.
+LANGUAGE = "vi"
 _XHTML_HEAD = (
-    '<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head>'
+    '<?xml version="1.0" encoding="UTF-8"?>\n'
+    f'<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="{LANGUAGE}">\n<head>'
 )
 
 
@@ -131,7 +162,12 @@ def _xhtml(title: Column, style: str, body: Column) -> Column:
 
 
 def renumbered(chapters: DataFrame) -> DataFrame:
-    """Chapters numbered 1..n over those there are, per book; texts take no part in it."""
+    """Chapters numbered 1..n over those there are, per book; texts take no part in it.
+
+    Chapters that have a ``number`` keep it.
+    """
+    if "number" in chapters.columns:
+        return chapters
     keys = number_rows(chapters.select("book_id", "index"), "book_id", "index", "number")
     return chapters.join(keys, ["book_id", "index"])
 
@@ -148,10 +184,17 @@ OPF, NCX = "OEBPS/content.opf", "OEBPS/toc.ncx"
 # Segments of the package list: head 0, files from 1 on, then the reading order, then the end.
 SPINE, END = 1 << 40, 1 << 41
 CONTAINER = (
-    '<?xml version="1.0"?>\n<container version="1.0"><rootfiles>'
+    '<?xml version="1.0"?>\n'
+    '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles>'
     f'<rootfile full-path="{OPF}" media-type="application/oebps-package+xml"/></rootfiles></container>'
 )
 STYLES = "p { text-indent: 1.5em; }"
+# Files of every book: id, place and type in the package list.
+FILES = [
+    ("ncx", "toc.ncx", "application/x-dtbncx+xml"),
+    ("styles", "styles.css", "text/css"),
+    ("titlepage", "titlepage.xhtml", "application/xhtml+xml"),
+]
 
 
 def _fixed_parts(heads: DataFrame) -> DataFrame:
@@ -159,17 +202,20 @@ def _fixed_parts(heads: DataFrame) -> DataFrame:
     title, author = F.col("_title"), F.col("_author")
     identifier = F.concat(F.lit("urn:folio:"), F.left(F.sha2("book_id", 256), F.lit(16)))
     opf_head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package version="2.0" unique-identifier="BookId">\n'),
-        F.lit("  <metadata><dc:title>"),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" '),
+        F.lit('version="2.0" unique-identifier="BookId">\n'),
+        F.lit('  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>'),
         title,
         F.lit("</dc:title><dc:creator>"),
         author,
-        F.lit('</dc:creator><dc:identifier id="BookId">'),
+        F.lit(f'</dc:creator><dc:language>{LANGUAGE}</dc:language><dc:identifier id="BookId">'),
         identifier,
         F.lit("</dc:identifier></metadata>\n  <manifest>"),
+        *[F.lit(f'\n    <item id="{i}" href="{place}" media-type="{kind}"/>') for i, place, kind in FILES],
     )
     ncx_head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ncx version="2005-1">\n  <head><meta name="dtb:uid" content="'),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" '),
+        F.lit('version="2005-1">\n  <head><meta name="dtb:uid" content="'),
         identifier,
         F.lit('"/></head>\n  <docTitle><text>'),
         title,
@@ -224,17 +270,8 @@ def _listed_parts(named: DataFrame, size: int) -> DataFrame:
     return grouped.select("book_id", F.inline(parts))
 
 
-def ebook_parts(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """Rows (book_id, path, segment, content) for every file of an e-book.
-
-    Long files (package list and navigation) come in segments; the first has their head and
-    the last their end.
-    """
-    title = escape_markup(F.coalesce(non_empty(F.col("title")), F.lit("Untitled")))
-    author = escape_markup(F.coalesce(non_empty(F.col("author")), F.lit("Unknown")))
-    heads = books.join(chapters.select("book_id").distinct(), "book_id", "left_semi").select(
-        "book_id", title.alias("_title"), author.alias("_author")
-    )
+def _named(chapters: DataFrame, *columns: str) -> DataFrame:
+    """Numbered chapters with the name of their file and their label."""
     label = escape_markup(
         F.coalesce(
             non_empty(F.col("title_vi")),
@@ -242,25 +279,54 @@ def ebook_parts(books: DataFrame, chapters: DataFrame, size: int = SEGMENT) -> D
             F.concat(F.lit(f"{fixed.CHAPTER_WORD} "), F.col("number").cast("string")),
         )
     )
-    named = renumbered(chapters).select(
-        "book_id", "number", "text", pad_key(F.col("number")).alias("_name"), label.alias("_label")
+    return renumbered(chapters).select(
+        "book_id", "number", *columns, pad_key(F.col("number")).alias("_name"), label.alias("_label")
     )
+
+
+def chapter_pages(chapters: DataFrame) -> DataFrame:
+    """Rows (book_id, path, segment, content) of the chapter files alone."""
     body = F.concat(
         F.lit("<h2>"), F.col("_label"), F.lit("</h2>\n"), paragraphs_html(F.col("text"), "    ", escaped=True)
     )
     path = F.concat(F.lit("OEBPS/chapters/chapter_"), F.col("_name"), F.lit(".xhtml"))
     page = _part(path, 0, _xhtml(F.col("_label"), "../styles.css", body))
-    pages = named.select("book_id", page.alias("_p")).select("book_id", "_p.*")
-    return pages.unionByName(_listed_parts(named, size)).unionByName(_fixed_parts(heads))
+    return _named(chapters, "text").select("book_id", page.alias("_p")).select("book_id", "_p.*")
+
+
+def ebook_parts(
+    books: DataFrame,
+    chapters: DataFrame,
+    size: int = SEGMENT,
+    complete: bool = False,
+    listed: DataFrame | None = None,
+) -> DataFrame:
+    """Rows (book_id, path, segment, content) for every file of an e-book.
+
+    Long files (package list and navigation) come in segments; the first has their head and
+    the last their end.  ``complete`` says that all ``books`` have chapters.  Lists take titles
+    and numbers only; ``listed`` may give the same chapters without texts, which saves the
+    join with them.
+    """
+    title = escape_markup(F.coalesce(non_empty(F.col("title")), F.lit("Untitled")))
+    author = escape_markup(F.coalesce(non_empty(F.col("author")), F.lit("Unknown")))
+    heads = _with_chapters(books, chapters, complete).select(
+        "book_id", title.alias("_title"), author.alias("_author")
+    )
+    lists = _listed_parts(_named(chapters if listed is None else listed), size)
+    return chapter_pages(chapters).unionByName(lists).unionByName(_fixed_parts(heads))
 
 
 def previous_tail(chapters: DataFrame, key: tuple[str, str] = ("book_id", "index"), size: int = 1000) -> DataFrame:
-    """Add the end of the text of the chapter before, by an equi-join on the number before."""
+    """Add the end of the text of the chapter before: the one with the nearest lower number.
+
+    That number is found over keys alone; the tail comes by an equi-join on it.
+    """
     book, index = key
-    tails = chapters.select(
-        book, (F.col(index) + 1).alias(index), F.right("text", F.lit(size)).alias("previous_tail")
-    )
-    return chapters.join(tails, list(key), "left")
+    near = nearest_marked(chapters.select(*key), book, index, F.lit(True), "_earlier", "_later")
+    tails = chapters.select(book, F.col(index).alias("_earlier"), F.right("text", F.lit(size)).alias("previous_tail"))
+    placed = chapters.join(near.drop("_later"), list(key))
+    return placed.join(tails, [book, "_earlier"], "left").drop("_earlier")
 
 
 def align_paragraphs(pairs: DataFrame, source: str, target: str, key: list[str], separator: str = "\n\n+") -> DataFrame:

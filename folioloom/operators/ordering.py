@@ -19,22 +19,33 @@ def _cell(order: str, width: int) -> Column:
 
 
 def number_rows(
-    df: DataFrame, group: str, order: str, name: str = "index", width: int = CELL_WIDTH
+    df: DataFrame,
+    group: str,
+    order: str,
+    name: str = "index",
+    width: int = CELL_WIDTH,
+    among: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group, by a unique integer column."""
-    cells = df.withColumn("_cell", _cell(order, width))
+    """Add the 1-based position of each row in its group, by a unique integer column.
+
+    ``among`` names further numbers that count only the rows that fulfil a condition, made in
+    the same pass; they say nothing on other rows.
+    """
+    wanted = {name: F.lit(True), **(among or {})}
+    marks = {f"_mark{i}": F.when(condition, 1).otherwise(0) for i, condition in enumerate(wanted.values())}
+    cells = df.withColumn("_cell", _cell(order, width)).withColumns(marks)
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cells.groupBy(group, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        .agg(*[F.sum(m).alias(m) for m in marks])
+        .select(group, "_cell", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_start{m}") for m in marks])
     )
-    inside = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(order))
+    inside = Window.partitionBy(group, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cells.withColumn("_inside", inside)
+        cells.withColumns({m: F.sum(m).over(inside) for m in marks})
         .join(starts, [group, "_cell"])
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_cell", "_start", "_inside")
+        .withColumns({n: F.col(f"_start{m}") + F.col(m) for n, m in zip(wanted, marks)})
+        .drop("_cell", *marks, *[f"_start{m}" for m in marks])
     )
 
 

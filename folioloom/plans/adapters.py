@@ -116,12 +116,22 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select("book_id", "doc_id", status.alias("status"), "n_chars")
 
 
-def chapters(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """Chapters with their state and titles; the text only where it is asked for."""
+def chapters(
+    spark: SparkSession, sf_dir: str, with_text: bool = False, numbered: bool = False
+) -> DataFrame:
+    """Chapters with their state and titles; the text only where it is asked for.
+
+    ``numbered`` adds the number that each translated chapter has among the translated ones.
+    """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     facts = docs.select(F.col("source").alias("book_id"), "doc_id", "lang", "n_chars")
-    keyed = number_rows(facts, "book_id", "doc_id", "index").join(labels, "doc_id", "left")
+    translated = status_of(F.col("quality"), F.col("toxic")) == "translated"
+    if numbered:
+        known = facts.join(labels, "doc_id", "left")
+        keyed = number_rows(known, "book_id", "doc_id", "index", among={"number": translated})
+    else:
+        keyed = number_rows(facts, "book_id", "doc_id", "index").join(labels, "doc_id", "left")
     if with_text:
         keyed = keyed.join(docs.select("doc_id", "text"), "doc_id")
     number = F.col("index").cast("string")
@@ -133,6 +143,7 @@ def chapters(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataF
         F.concat(F.lit("第"), number, F.lit("章 "), F.col("lang")).alias("title_cn"),
         F.when(F.col("quality") == 1, F.concat(F.lit("Chương "), number, F.lit(": "), F.col("lang"))).alias("title_vi"),
         "n_chars",
+        *(["number"] if numbered else []),
         *(["text"] if with_text else []),
     )
 

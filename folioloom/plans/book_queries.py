@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from folioloom.functions.blocks import html_meta
@@ -23,22 +25,28 @@ def _strip(x: str) -> str:
     return _STRIP.format(x=x)
 
 
-def _readable(spark, sf_dir):
+def _readable(spark, sf_dir, with_text=True, numbered=False):
     """Translated chapters with their texts."""
-    return ad.chapters(spark, sf_dir, with_text=True).filter("status = 'translated'")
+    return ad.chapters(spark, sf_dir, with_text, numbered).filter("status = 'translated'")
 
 
-def _books(spark, sf_dir):
-    """One row per book, from the facts of its documents."""
-    docs = ad.table(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("source").alias("book_id")).agg(
+def _books(spark, sf_dir, readable=False):
+    """One row per book, from the facts of its documents; all books or those to be read."""
+    docs = ad.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    status = F.lit(None)
+    if readable:
+        docs = docs.join(ad.table(spark, sf_dir, "labels"), "doc_id", "left")
+        status = ad.status_of(F.col("quality"), F.col("toxic"))
+    books = docs.groupBy(F.col("source").alias("book_id")).agg(
         F.min("lang").alias("title"),
         F.when(F.max("n_chars") % 2 == 0, F.concat(F.lit("Sách "), F.max("lang"))).otherwise(F.lit("")).alias("title_vi"),
         F.concat(F.lit("a & b "), F.min("n_chars").cast("string")).alias("author"),
         F.lit(None).cast("string").alias("author_vi"),
         F.lit("AI").alias("translator"),
         F.when(F.max("n_chars") % 3 == 0, F.lit('the "book"')).otherwise(F.lit("")).alias("description"),
+        F.count_if(status == "translated").alias("n_readable"),
     )
+    return (books.filter("n_readable > 0") if readable else books).drop("n_readable")
 
 
 _BOOKS = """(SELECT source AS book_id,
@@ -90,14 +98,17 @@ _HAS = f"book_id IN (SELECT book_id FROM {_C} WHERE status = 'translated')"
     f"""SELECT book_id, 0 AS part, 0 AS segment, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10)
           || '    <title>' || title || '</title>' || chr(10) || '    ' || {_META} || chr(10) || '</head>' || chr(10)
           || '<body>' || chr(10) || '<h1>' || title || '</h1>' || chr(10) || '<p>' || author || '</p>' || chr(10)
+          || CASE WHEN translator <> '' THEN '<p>' || translator || '</p>' || chr(10) ELSE '' END
           || '<ol>' || chr(10) AS html FROM {_BOOKS} WHERE {_HAS}
         UNION ALL SELECT book_id, 1, segment, toc || chr(10) FROM {_TOC}
-        UNION ALL SELECT book_id, 2, segment, html || chr(10) FROM {_SECTIONS}
-        UNION ALL SELECT book_id, 3, 0, '</body>' || chr(10) || '</html>' || chr(10) FROM {_BOOKS} WHERE {_HAS}"""
+        UNION ALL SELECT book_id, 2, 0, '</ol>' || chr(10) FROM {_BOOKS} WHERE {_HAS}
+        UNION ALL SELECT book_id, 3, segment, html || chr(10) FROM {_SECTIONS}
+        UNION ALL SELECT book_id, 4, 0, '</body>' || chr(10) || '</html>' || chr(10) FROM {_BOOKS} WHERE {_HAS}"""
 )
 def assemble_html(spark, sf_dir):
     """HTML documents of all books, in ordered segments."""
-    return asm.book_html(asm.book_metadata(_books(spark, sf_dir)), _readable(spark, sf_dir), SEGMENT)
+    books = asm.book_metadata(_books(spark, sf_dir, readable=True))
+    return asm.book_html(books, _readable(spark, sf_dir), SEGMENT, complete=True)
 
 
 _ESC = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -114,7 +125,7 @@ _XP = (
 
 @query(
     f"""SELECT book_id, 'OEBPS/chapters/chapter_' || lpad(CAST(number AS VARCHAR), 4, '0') || '.xhtml' AS path,
-               '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml">' || chr(10)
+               '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="vi">' || chr(10)
                || '<head>' || chr(10) || '    <title>' || label || '</title>' || chr(10)
                || '    <link rel="stylesheet" href="../styles.css"/>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
                || '<h2>' || label || '</h2>' || chr(10) || {_XP} || chr(10) || '</body>' || chr(10) || '</html>' AS content
@@ -124,8 +135,7 @@ _XP = (
 )
 def ebook_chapters(spark, sf_dir):
     """Chapter files of the e-books, renumbered over the chapters that have text."""
-    parts = asm.ebook_parts(asm.book_metadata(_books(spark, sf_dir)), _readable(spark, sf_dir), SEGMENT)
-    return parts.filter(F.col("path").startswith("OEBPS/chapters/")).select("book_id", "path", "content")
+    return asm.chapter_pages(_readable(spark, sf_dir, numbered=True)).select("book_id", "path", "content")
 
 
 _NL = "chr(10)"
@@ -139,7 +149,7 @@ _XML = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || "
 
 def _xhtml_sql(title: str, style: str, body: str) -> str:
     lines = [
-        "'<html xmlns=\"http://www.w3.org/1999/xhtml\">'",
+        "'<html xmlns=\"http://www.w3.org/1999/xhtml\" xml:lang=\"vi\">'",
         "'<head>'",
         f"'    <title>' || {title} || '</title>'",
         f"'    <link rel=\"stylesheet\" href=\"{style}\"/>'",
@@ -168,28 +178,35 @@ _COVER = f"""'<h1>' || t || '</h1>' || {_NL} || '<p class="author">' || a || '</
 @query(
     f"""SELECT book_id, 'OEBPS/chapters/chapter_' || name || '.xhtml' AS path, 0 AS segment,
                {_xhtml_sql("label", "../styles.css", _PAGE_BODY)} AS content FROM {_NUMBERED}
-        UNION ALL SELECT book_id, '{_OPF}', 0, {_XML} '<package version="2.0" unique-identifier="BookId">' || {_NL}
-          || '  <metadata><dc:title>' || t || '</dc:title><dc:creator>' || a || '</dc:creator><dc:identifier id="BookId">'
-          || uid || '</dc:identifier></metadata>' || {_NL} || '  <manifest>' FROM {_HEADS}
+        UNION ALL SELECT book_id, '{_OPF}', 0, {_XML} '<package xmlns="http://www.idpf.org/2007/opf" version="2.0" unique-identifier="BookId">' || {_NL}
+          || '  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>' || t || '</dc:title><dc:creator>' || a
+          || '</dc:creator><dc:language>vi</dc:language><dc:identifier id="BookId">' || uid || '</dc:identifier></metadata>'
+          || {_NL} || '  <manifest>'
+          || {_NL} || '    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+          || {_NL} || '    <item id="styles" href="styles.css" media-type="text/css"/>'
+          || {_NL} || '    <item id="titlepage" href="titlepage.xhtml" media-type="application/xhtml+xml"/>' FROM {_HEADS}
         UNION ALL {_listed_sql(_OPF, 1, _ITEM)}
         UNION ALL SELECT book_id, '{_OPF}', {1 << 40}, '  </manifest>' || {_NL} || '  <spine toc="ncx">' || {_NL}
           || '    <itemref idref="titlepage"/>' FROM {_HEADS}
         UNION ALL {_listed_sql(_OPF, (1 << 40) + 1, "'    <itemref idref=\"chapter' || name || '\"/>'")}
         UNION ALL SELECT book_id, '{_OPF}', {1 << 41}, '  </spine>' || {_NL} || '</package>' FROM {_HEADS}
-        UNION ALL SELECT book_id, '{_NCX}', 0, {_XML} '<ncx version="2005-1">' || {_NL}
+        UNION ALL SELECT book_id, '{_NCX}', 0, {_XML} '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">' || {_NL}
           || '  <head><meta name="dtb:uid" content="' || uid || '"/></head>' || {_NL} || '  <docTitle><text>' || t
           || '</text></docTitle>' || {_NL} || '  <navMap>' FROM {_HEADS}
         UNION ALL {_listed_sql(_NCX, 1, _POINT)}
         UNION ALL SELECT book_id, '{_NCX}', {1 << 41}, '  </navMap>' || {_NL} || '</ncx>' FROM {_HEADS}
         UNION ALL SELECT book_id, 'OEBPS/titlepage.xhtml', 0, {_xhtml_sql("t", "styles.css", _COVER)} FROM {_HEADS}
         UNION ALL SELECT book_id, 'META-INF/container.xml', 0, '<?xml version="1.0"?>' || {_NL}
-          || '<container version="1.0"><rootfiles><rootfile full-path="{_OPF}" media-type="application/oebps-package+xml"/></rootfiles></container>'
+          || '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="{_OPF}" media-type="application/oebps-package+xml"/></rootfiles></container>'
           FROM {_HEADS}
         UNION ALL SELECT book_id, 'OEBPS/styles.css', 0, 'p {{ text-indent: 1.5em; }}' FROM {_HEADS}"""
 )
 def ebook_parts(spark, sf_dir):
     """All files of the e-books."""
-    return asm.ebook_parts(asm.book_metadata(_books(spark, sf_dir)), _readable(spark, sf_dir), SEGMENT)
+    books = asm.book_metadata(_books(spark, sf_dir, readable=True))
+    listed = _readable(spark, sf_dir, with_text=False, numbered=True)
+    chapters = _readable(spark, sf_dir, numbered=True)
+    return asm.ebook_parts(books, chapters, SEGMENT, complete=True, listed=listed)
 
 
 @query(f"SELECT book_id, title FROM {_BOOKS} WHERE NOT {_HAS}")
@@ -201,11 +218,12 @@ def books_without_text(spark, sf_dir):
 
 @query(
     f"""SELECT book_id, index, right(p, 1000) AS previous_tail FROM (
-          SELECT book_id, index, lag(text) OVER (PARTITION BY book_id ORDER BY index) AS p FROM {_C})"""
+          SELECT book_id, index, lag(text) OVER (PARTITION BY book_id ORDER BY index) AS p FROM {_C}
+          WHERE status = 'translated')"""
 )
 def previous_chapter_tail(spark, sf_dir):
-    """The end of the chapter before each chapter."""
-    chapters = ad.chapters(spark, sf_dir, with_text=True).select("book_id", "index", "text")
+    """The end of the chapter before each translated chapter; their numbers have gaps."""
+    chapters = _readable(spark, sf_dir).select("book_id", "index", "text")
     return asm.previous_tail(chapters).select("book_id", "index", "previous_tail")
 
 
@@ -282,7 +300,7 @@ def align_paragraphs(spark, sf_dir):
 def _echo(main: str, context: str | None, state: dict | None) -> str:
     """A stand-in for a translator: its output depends on text, context and state."""
     seen = (state or {}).get("speaker", "-")
-    head = f"{len(main)}|{len(context or '')}|{seen}\n{main[:40]}"
+    head = f"{len(main)}|{len(context or '')}|{seen}\n{hashlib.md5(main.encode()).hexdigest()}"
     if len(main) % 4 == 0:
         return head
     return head + '\n---STATE---\n{"speaker": "s' + str(len(main) % 7) + '"}'
@@ -309,7 +327,7 @@ _FOLD_SQL = f"""
                               WHEN length(t.text) % 4 = 0 THEN w.failures + 1 ELSE 0 END AS failures,
                          length(t.text) || '|' || length(right(coalesce(w.translated, ''), 300)) || '|' ||
                            CASE WHEN w.tracking THEN coalesce(json_extract_string(w.state, '$.speaker'), '-') ELSE '-' END
-                           || chr(10) || left(t.text, 40) AS head
+                           || chr(10) || md5(t.text) AS head
                   FROM walk w JOIN turns t ON t.conv_id = w.conv_id AND t.k = w.k + 1))
     )
   SELECT conv_id, turn, translated, state AS state_json, 'ok' AS outcome FROM walk WHERE k > 0
