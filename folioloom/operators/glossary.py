@@ -85,7 +85,7 @@ def by_category(base: DataFrame, category: str) -> DataFrame:
     return base.filter(F.col("category") == category)
 
 
-def lookup(base: DataFrame, term: str) -> DataFrame:
+def lookup(base: DataFrame, term: str | Column) -> DataFrame:
     """The row of a term; of several the last one."""
     return (
         base.filter(F.col("term") == term)

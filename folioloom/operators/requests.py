@@ -18,7 +18,7 @@ from folioloom import fixed_values as fixed
 from folioloom.functions.blocks import glossary_block
 from folioloom.functions.replies import state_fields
 from folioloom.functions.text import non_empty
-from folioloom.operators.terms import annotate_chunks, is_small, relevant_terms
+from folioloom.operators.terms import annotate_chunks, relevant_terms
 
 SECTIONS = {
     "style": "## Style",
@@ -71,17 +71,17 @@ def build_requests(
     state_json: Column | None = None,
     annotate_limit: int = fixed.ANNOTATION_TERMS,
     glossary_limit: int = fixed.GLOSSARY_TERMS,
-    key: list[str] | None = None,
-    small: bool | None = None,
+    *,
+    key: list[str],
+    small: bool = False,
 ) -> DataFrame:
     """One request row per chunk: annotated text, glossary block and both prompts.
 
     Terms are chosen twice: from the plain chunk for the annotation, and from the annotated
     chunk for the glossary block.
     """
-    small = is_small(glossary) if small is None else small
     marked = annotate_chunks(chunks, glossary, annotate_limit, key=key, small=small)
-    chosen = relevant_terms(marked, glossary, glossary_limit, "annotated", "_terms", key, small)
+    chosen = relevant_terms(marked, glossary, glossary_limit, "annotated", "_terms", key=key, small=small)
     state = F.lit("{}") if state_json is None else state_json
     return (
         chosen.withColumn("glossary_block", glossary_block(F.col("_terms")))

@@ -1,11 +1,10 @@
 """Finding glossary terms in texts, scoring and ranking them, and annotating the texts.
 
-Two exact ways to find terms, chosen by the counted size of the glossary:
-
-* a small glossary becomes one constant array (a scalar subquery), and every text is
-  searched inside its own row: no join, no shuffle;
-* a larger one is joined on the first characters of the terms with the distinct character
-  sequences of the texts, an equi-join, and the pairs are then verified on the text.
+Terms are found by a join: the first characters of the terms with the distinct character
+sequences of the texts, an equi-join, and the pairs are then verified on the text.  This holds
+for glossaries of every size.  Who knows that a glossary is small may say so by ``small``: it
+then becomes one constant array (a scalar subquery), and every text is searched inside its own
+row, without join or shuffle.  Arguments and results are the same either way.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ SALTS = 16
 def is_small(glossary: DataFrame, limit: int = SMALL_GLOSSARY) -> bool:
     """True where the glossary has at most ``limit`` rows; reads no more than that.
 
-    This runs a job.  The functions below do it where they are not told; check the plain
-    glossary once and pass the answer on, also for the fitted glossary made from it.
+    This runs a job; no function here calls it.  Ask once for the plain glossary and pass the
+    answer on as ``small``, also for the fitted glossary made from it.
     """
     return glossary.limit(limit + 1).count() <= limit
 
@@ -58,9 +57,9 @@ def present(text: Column, entries: Column) -> Column:
     return F.filter(entries, lambda e: (e["term"] != "") & F.contains(text, e["term"]))
 
 
-def _grams(text: Column, size: int) -> Column:
+def _grams(text: Column, size: Column) -> Column:
     """All character sequences of a length, overlapping ones too."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size, F.lit("}))")), F.lit(1))
 
 
 def candidate_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -70,13 +69,15 @@ def candidate_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text:
     over several tasks.
     """
     terms = glossary.filter("term != ''").withColumn("_gram", F.left("term", F.lit(ANCHOR)))
-    sizes = [
-        r[0]
-        for r in terms.select(F.least(F.length("term"), F.lit(ANCHOR))).distinct().collect()
-    ]  # at most ANCHOR numbers
-    grams = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in sorted(sizes) or [ANCHOR]]))
+    # At most ANCHOR numbers, found when the query runs.
+    sizes = terms.agg(F.collect_set(F.length("_gram").cast("string"))).scalar()
+    grams = F.array_distinct(F.flatten(F.transform("_sizes", lambda n: _grams(F.col(text), n))))
     salt = F.pmod(F.xxhash64(*key), F.lit(SALTS))
-    spread = texts.select(*key, salt.alias("_salt"), F.explode(grams).alias("_gram"))
+    spread = (
+        texts.select(*key, text)
+        .withColumn("_sizes", sizes)
+        .select(*key, salt.alias("_salt"), F.explode(grams).alias("_gram"))
+    )
     copies = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     return spread.join(copies, ["_gram", "_salt"]).drop("_gram", "_salt")
 
@@ -97,11 +98,11 @@ def term_match(
     glossary: DataFrame,
     key: list[str],
     text: str = "main_text",
-    small: bool | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """One row per text and entry whose term occurs in it, with tf, the occurrences counted
     without overlap."""
-    if not (is_small(glossary) if small is None else small):
+    if not small:
         return verified_pairs(texts, glossary, key, text)
     listed = with_entries(texts.select(*key, F.col(text).alias("_text")), glossary)
     found = listed.withColumn("_hits", present(F.col("_text"), F.col("_entries")))
@@ -120,10 +121,10 @@ def term_match(
 
 
 def fit_terms(
-    docs: DataFrame, glossary: DataFrame, key: str, text: str = "text", small: bool | None = None
+    docs: DataFrame, glossary: DataFrame, key: str, text: str = "text", small: bool = False
 ) -> DataFrame:
     """The glossary with df, n_docs and idf.  A term found in no document has idf 0."""
-    if is_small(glossary) if small is None else small:
+    if small:
         hits = present(F.col(text), F.col("_entries"))
         found = with_entries(docs.select(text), glossary).select(
             F.explode(F.transform(hits, lambda e: e["term"])).alias("term")
@@ -193,26 +194,27 @@ def relevant_terms(
     limit: int = fixed.GLOSSARY_TERMS,
     text: str = "main_text",
     name: str = "terms",
-    key: list[str] | None = None,
-    small: bool | None = None,
+    *,
+    key: list[str],
+    small: bool = False,
     scorer: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Add the array of the most relevant entries of each chunk.
+    """Add the array of the most relevant entries of each chunk; ``key`` identifies chunks.
 
-    A fitted glossary (with df and idf) ranks by score, any other by category.  For a
-    large glossary the key columns of the chunks have to be given.  For a small one
-    ``scorer`` may replace the ranking: it makes the sorted array of present entries from
-    the text and the entries, as ``scored`` and ``by_priority`` do.
+    A fitted glossary (with df and idf) ranks by score, any other by category; terms of a
+    fitted glossary that no document has are left out.  ``scorer`` replaces the ranking for
+    glossaries of every size: from an entry and its tf it makes a score, the highest comes
+    first, ties are in glossary order.  It sees one row per pair, so any function may be used.
     """
     fitted = "idf" in glossary.columns
-    if is_small(glossary) if small is None else small:
-        rank = scorer or (scored if fitted else by_priority)
+    if small and scorer is None:
+        rank = scored if fitted else by_priority
         ranked = F.slice(rank(F.col(text), F.col("_entries")), 1, limit)
         return with_entries(chunks, glossary).withColumn(name, ranked).drop("_entries")
-    if not key:
-        raise ValueError("a glossary of this size needs the key columns of the chunks")
-    pairs = verified_pairs(chunks, glossary.filter("df > 0") if fitted else glossary, key, text)
-    if fitted:
+    pairs = term_match(chunks, glossary.filter("df > 0") if fitted else glossary, key, text, small)
+    if scorer is not None:
+        first, label = -scorer(F.struct(*glossary.columns), F.col("tf")), "neg_score"
+    elif fitted:
         first, label = -(F.col("tf") * F.col("idf")), "neg_score"
     else:
         first, label = category_priority(F.col("category")), "priority"
@@ -259,9 +261,10 @@ def annotate_chunks(
     limit: int = fixed.ANNOTATION_TERMS,
     text: str = "main_text",
     name: str = "annotated",
-    key: list[str] | None = None,
-    small: bool | None = None,
+    *,
+    key: list[str],
+    small: bool = False,
 ) -> DataFrame:
     """Add the chunk text annotated with its most relevant terms."""
-    ranked = relevant_terms(chunks, glossary, limit, text, "_relevant", key, small)
+    ranked = relevant_terms(chunks, glossary, limit, text, "_relevant", key=key, small=small)
     return ranked.withColumn(name, annotate(F.col(text), F.col("_relevant"))).drop("_relevant")

@@ -133,11 +133,7 @@ def by_category(spark, sf_dir):
 def lookup_term(spark, sf_dir):
     """The row of one term; of several the last."""
     rows = _extracted(spark, sf_dir).withColumnRenamed("seq", "ordinal")
-    first = rows.agg(F.min("term")).scalar()
-    wanted = rows.filter(F.col("term") == first)
-    return wanted.groupBy("term").agg(
-        F.max_by(F.struct("target", "category", "notes", "ordinal"), "ordinal").alias("row")
-    ).select("term", "row.*")
+    return gl.lookup(rows, rows.agg(F.min("term")).scalar())
 
 
 @query(f"SELECT *, {_PRIORITY} AS priority FROM {_G} ORDER BY priority, ordinal LIMIT 40")
@@ -294,7 +290,31 @@ def large_glossary_terms(spark, sf_dir):
         "ordinal",
     )
     docs = ad.documents(spark, sf_dir)
-    ranked = terms.relevant_terms(docs, words, 5, "text", key=["doc_id"], small=False)
+    ranked = terms.relevant_terms(docs, words, 5, "text", key=["doc_id"])
     return ranked.select("doc_id", F.posexplode(each("terms")).alias("place", "t")).select(
         "doc_id", (F.col("place") + 1).cast("long").alias("rank"), "t.term"
     )
+
+
+@query(
+    f"""SELECT doc_id, rank, term, tf FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf * length(term) DESC, ordinal) AS rank FROM (
+            SELECT d.doc_id, t.term, t.ordinal,
+                   CAST((strlen(d.text) - strlen(replace(d.text, t.term, ''))) // strlen(t.term) AS BIGINT) AS tf
+            FROM documents d JOIN (SELECT left(term, 1 + length(term) % 12) AS term, min(seq) AS ordinal
+                                   FROM {_X} GROUP BY 1) t ON contains(d.text, t.term))) WHERE rank <= 5"""
+)
+def own_scorer_terms(spark, sf_dir):
+    """The terms that cover most of every document, from a glossary of terms of 1 to 12 characters."""
+    words = ad.tokens(ad.table(spark, sf_dir, "benchmark"), "item_id")
+    term = F.substring("term", F.lit(1), F.length("term") % 12 + 1)
+    listed = words.groupBy(term.alias("term")).agg(F.min("seq").alias("ordinal"))
+    glossary = listed.select(
+        "term", F.upper("term").alias("target"), F.lit("item").alias("category"), F.lit("").alias("notes"), "ordinal"
+    )
+    ranked = terms.relevant_terms(
+        ad.documents(spark, sf_dir), glossary, 5, "text", key=["doc_id"], scorer=lambda e, tf: tf * F.length(e["term"])
+    )
+    return ranked.select("doc_id", F.posexplode(each("terms")).alias("place", "t")).select(
+        "doc_id", (F.col("place") + 1).cast("long").alias("rank"), "t.term", "t.tf"
+    )

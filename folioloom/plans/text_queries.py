@@ -214,7 +214,7 @@ def ngram_term_match(spark, sf_dir):
 def tfidf_scores(spark, sf_dir):
     """TF-IDF of every listed term in every chunk."""
     limit = len(ad.TERMS)
-    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), limit, small=SMALL)
+    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), limit, key=["doc_id", "chunk_idx"], small=SMALL)
     return ranked.select("doc_id", "chunk_idx", F.inline(each("terms"))).select(
         "doc_id", "chunk_idx", "term", "tf", F.round(-F.col("neg_score"), 6).alias("score")
     )
@@ -231,7 +231,7 @@ def tfidf_scores(spark, sf_dir):
 )
 def chunk_topk_terms(spark, sf_dir):
     """The five most relevant terms of every chunk."""
-    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), 5, small=SMALL)
+    ranked = terms.relevant_terms(_chunks(spark, sf_dir), _fitted(spark, sf_dir), 5, key=["doc_id", "chunk_idx"], small=SMALL)
     return ranked.select("doc_id", "chunk_idx", F.posexplode(each("terms")).alias("place", "t")).select(
         "doc_id",
         "chunk_idx",
@@ -257,7 +257,7 @@ _PRIORITY = (
 )
 def present_terms_priority(spark, sf_dir):
     """Terms of every document by category order, the way without scores."""
-    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 6, "text", small=SMALL)
+    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 6, "text", key=["doc_id"], small=SMALL)
     return ranked.select("doc_id", F.posexplode(each("terms")).alias("place", "t")).select(
         "doc_id", (F.col("place") + 1).cast("long").alias("rank"), "t.term"
     )
@@ -283,7 +283,7 @@ _BLOCK_SQL = f"""
 )
 def term_block(spark, sf_dir):
     """Terms of every document as a block of text, grouped by category."""
-    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 100, "text", small=SMALL)
+    ranked = terms.relevant_terms(_docs(spark, sf_dir, "text"), ad.watch_list(spark), 100, "text", key=["doc_id"], small=SMALL)
     return ranked.select("doc_id", glossary_block(F.col("terms")).alias("block"))
 
 
@@ -332,7 +332,7 @@ _ANNOTATED_SQL = f"""
 @query(_ANNOTATED_SQL)
 def annotate_terms(spark, sf_dir):
     """Texts with their terms annotated where they stand free, five times at most."""
-    done = terms.annotate_chunks(_docs(spark, sf_dir, "text"), ad.watch_list(spark), text="text", small=SMALL)
+    done = terms.annotate_chunks(_docs(spark, sf_dir, "text"), ad.watch_list(spark), text="text", key=["doc_id"], small=SMALL)
     return done.select("doc_id", "annotated")
 
 
@@ -378,7 +378,7 @@ def translation_requests(spark, sf_dir):
         F.concat(F.lit('{"speaker":"s'), F.col("chunk_idx").cast("string"), F.lit('"}')),
     ).otherwise(F.lit("{}"))
     rows = build_requests(
-        _chunks(spark, sf_dir), _fitted(spark, sf_dir), F.lit("**Plain**\n"), state, small=SMALL
+        _chunks(spark, sf_dir), _fitted(spark, sf_dir), F.lit("**Plain**\n"), state, key=["doc_id", "chunk_idx"], small=SMALL
     )
     return rows.select("doc_id", "chunk_idx", "glossary_block", "system_prompt", "user_prompt")
 
