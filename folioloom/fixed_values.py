@@ -102,3 +102,6 @@ KNOWN_TERMS_SHOWN = 200
 RECENT_EVENTS = 201
 SCORER_REFRESH_VERSIONS = 5
 CHAPTER_WORD = "Chương"
+
+# Events after which a job has no others.
+LAST_EVENTS = ["job_completed", "job_failed", "job_cancelled"]

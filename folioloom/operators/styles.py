@@ -66,7 +66,8 @@ def search(styles: DataFrame, query: str) -> DataFrame:
 def check_changes(changes: DataFrame, builtin: DataFrame, custom: DataFrame) -> DataFrame:
     """Changes (seq, op, name, new_name, fields) with ``accepted`` and the name they act on.
 
-    create needs a free name; update and delete need a custom row; duplicate needs a source.
+    create needs a free name, update a custom row or a free name, delete a custom row, duplicate
+    a source.  All are judged by the state before the set.
     """
     marks = (
         builtin.select("name", F.lit(True).alias("_b"), F.lit(False).alias("_c"))

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
@@ -95,12 +95,17 @@ def read_glossary_csv(spark: SparkSession, path: str, empty_notes: bool = False)
         return F.coalesce(F.col(name), F.lit("")) if name in rows.columns else default
 
     notes = column("notes", F.lit(""))
-    return rows.select(
+    # A quoted cell may hold line ends, so a file is read by one task and keeps its order there.
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    names = spark.read.format("binaryFile").load(path).select("_metadata.file_path")
+    files = names.select("file_path", F.row_number().over(Window.orderBy("file_path")).alias("_file"))
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file_path"), inside.alias("_inside"))
+    return placed.join(files, "file_path").select(
         F.coalesce("chinese", F.lit("")).alias("term"),
         F.coalesce("vietnamese", F.lit("")).alias("target"),
         column("category", F.lit(fixed.DEFAULT_CATEGORY)).alias("category"),
         (notes if empty_notes else non_empty(notes)).alias("notes"),
-        F.monotonically_increasing_id().alias("ordinal"),
+        (F.shiftleft((F.col("_file") - 1).cast("long"), 33) + F.col("_inside")).alias("ordinal"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioloom import fixed_values as fixed
 from folioloom.operators.events import event_filter
 from folioloom.streaming.tables import start
 
@@ -26,8 +27,9 @@ def run_event_log(
 def heartbeats(events: DataFrame, idle_seconds: int = 30) -> DataFrame:
     """A heartbeat row for every job that has had no event for a while.
 
-    Only the job id goes through the shuffle, once per job and Arrow batch, and one number
-    is kept per job.
+    Only the job id and whether the job ends go through the shuffle, once per job and Arrow
+    batch, and one number is kept per job.  The state of a job goes with its end; it beats no
+    more until it has another event.
     """
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,15 +43,19 @@ def heartbeats(events: DataFrame, idle_seconds: int = 30) -> DataFrame:
         if state.hasTimedOut:
             sent += 1
             yield pd.DataFrame({"job_id": [key[0]], "type": ["heartbeat"], "number": [sent]})
-        else:
-            for _ in batches:
-                pass
+        elif any([batch["ends"].any() for batch in batches]):
+            if state.exists:
+                state.remove()
+            return
         state.update((sent,))
         state.setTimeoutDuration(idle_seconds * 1000)
 
     return (
-        events.select(F.col("job_id").cast("string").alias("job_id"))
-        .mapInPandas(once, "job_id string")
+        events.select(
+            F.col("job_id").cast("string").alias("job_id"),
+            F.coalesce(F.col("type").isin(*fixed.LAST_EVENTS), F.lit(False)).alias("ends"),
+        )
+        .mapInPandas(once, "job_id string, ends boolean")
         .groupBy("job_id")
         .applyInPandasWithState(
             beat,

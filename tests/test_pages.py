@@ -1,28 +1,31 @@
 """Pages, bytes, files and assembled books."""
 
 import json
+import os
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioloom.operators import assemble, pages
+from folioloom.plans.catalog import QUERIES
 from folioloom.sources import decode, readers, writers
 
 PAGE = "page_id long, url string, html string"
 
 
 def test_links_of_a_list(spark):
-    html = """<div class="centent"><ul><li><a href="001.html">Chapter 1</a></li><li><a href="002.html"> <b>Chapter</b> 2</a>
-      <li><a href="#top">x</a><a href="javascript:void(0)">y</a><a>z</a><a href="./001.html">again</a>
-      <li><a href="003.html">Chapter 3</a></ul></div><a href="004.html">outside</a>"""
-    rows = spark.createDataFrame([(1, "http://example.com/", html)], PAGE)
-    got = [tuple(r) for r in pages.extract_links(rows, ".centent a").orderBy("index").collect()]
+    html = """<section class="parts"><p><a href="27.html">Dawn 1</a></p><p><a href="28.html"> <i>Noon</i> 2</a>
+      <p><a href="#up">x</a><a href="javascript:void(0)">y</a><a>z</a><a href="./27.html">once more</a>
+      <p><a href="31.html">Dusk 3</a></section><a href="40.html">elsewhere</a>"""
+    rows = spark.createDataFrame([(1, "http://tales.test/", html)], PAGE)
+    got = [tuple(r) for r in pages.extract_links(rows, ".parts a").orderBy("index").collect()]
     assert got == [
-        (1, 1, "001", "Chapter 1", "http://example.com/001.html"),
-        (1, 2, "002", "Chapter2", "http://example.com/002.html"),
-        (1, 3, "003", "Chapter 3", "http://example.com/003.html"),
+        (1, 1, "27", "Dawn 1", "http://tales.test/27.html"),
+        (1, 2, "28", "Noon2", "http://tales.test/28.html"),
+        (1, 3, "31", "Dusk 3", "http://tales.test/31.html"),
     ]
-    assert pages.extract_links(rows, "div.centent li a, #none a").count() == 3
+    assert pages.extract_links(rows, "section.parts p a, #none a").count() == 3
 
 
 LONG = "这是一段足够长的正文内容。" * 12
@@ -97,6 +100,12 @@ def test_glossary_csv_round_trip(spark, tmp_path):
     writers.write_glossary_csv(read, str(tmp_path / "out"))
     again = readers.read_glossary_csv(spark, str(tmp_path / "out"), empty_notes=True)
     assert [tuple(r)[:4] for r in again.orderBy("ordinal").collect()] == [(*r[:3], r[3] or "") for r in first]
+    folder = tmp_path / "several"
+    folder.mkdir()
+    (folder / "a.csv").write_text("chinese,vietnamese\na0,x\n", encoding="utf-8")
+    (folder / "b.csv").write_text("chinese,vietnamese\n" + "".join(f"b{i},x\n" for i in range(50)), encoding="utf-8")
+    several = readers.read_glossary_csv(spark, str(folder)).orderBy("ordinal").collect()
+    assert [r.term for r in several] == ["a0"] + [f"b{i}" for i in range(50)]
     short = tmp_path / "s.csv"
     short.write_text("chinese,vietnamese\na,b\n", encoding="utf-8")
     assert readers.read_glossary_csv(spark, str(short)).first().category == "general"
@@ -126,6 +135,9 @@ def test_book_html_in_segments(spark, size):
     html = "".join(r.html for r in parts)
     assert html.startswith("<!DOCTYPE html>") and html.endswith("</html>\n")
     assert '<meta name="description" content="a &quot;b&quot;">' in html
+    assert "<p>AI</p>" in html and html.count("<ol>") == html.count("</ol>") == 1
+    assert html.index("</ol>") < html.index("<section")
+    assert assemble.book_html(books.filter("book_id = 'b'"), chapters, size, complete=True).orderBy("part", "segment").collect() == parts
     toc = ['<li><a href="#chapter-1">Giới thiệu</a></li>', '<li><a href="#chapter-3">Ba</a></li>', '<li><a href="#chapter-7">Chương 7</a></li>']
     assert "\n".join(toc) in html
     assert html.index('id="chapter-1"') < html.index('id="chapter-3"') < html.index('id="chapter-7"')
@@ -144,6 +156,31 @@ def test_ebook_parts(spark, size):
     assert "Sách &lt;1&gt;" in opf and opf.index('item id="chapter0003"') < opf.index('itemref idref="chapter0001"')
     assert opf.endswith("</package>") and files["OEBPS/toc.ncx"].count("<navPoint") == 3
     assert "META-INF/container.xml" in files and "OEBPS/titlepage.xhtml" in files
+    check_ebook(files)
+
+
+def check_ebook(files):
+    """Every part parses, every reference has its item, and every item its file."""
+    trees = {p: ElementTree.fromstring(text.encode()) for p, text in files.items() if not p.endswith(".css")}
+    opf = trees["OEBPS/content.opf"]
+    found = lambda name, key: [e.get(key) for e in opf.iter() if e.tag.endswith("}" + name)]
+    ids, places = found("item", "id"), found("item", "href")
+    assert len(set(ids)) == len(ids) and set(found("itemref", "idref") + found("spine", "toc")) <= set(ids)
+    assert {f"OEBPS/{p}" for p in places} == set(files) - {"OEBPS/content.opf", "META-INF/container.xml"}
+    assert opf.find(".//{http://purl.org/dc/elements/1.1/}language").text == "vi"
+    points = [e.get("src") for e in trees["OEBPS/toc.ncx"].iter() if e.tag.endswith("}content")]
+    assert points and set(points) <= set(places)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_ebooks_of_the_tables(spark):
+    books = {}
+    for r in QUERIES["ebook_parts"](spark, "/root/testdata/sf0.001").orderBy("book_id", "path", "segment").collect():
+        files = books.setdefault(r.book_id, {})
+        files[r.path] = files[r.path] + "\n" + r.content if r.path in files else r.content
+    assert books
+    for files in books.values():
+        check_ebook(files)
 
 
 def test_written_chapters(spark, tmp_path):
@@ -155,7 +192,7 @@ def test_written_chapters(spark, tmp_path):
     assert {r.file_name for r in spark.read.parquet(str(tmp_path / "vi")).collect()} == {"1.txt", "3.txt", "7.txt"}
     books, chapters = books_and_chapters(spark)
     writers.write_parts(assemble.book_html(books, chapters), str(tmp_path / "html"))
-    assert spark.read.parquet(str(tmp_path / "html")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "html")).count() == 5
 
 
 def test_aligned_paragraphs_and_tails(spark):
@@ -163,6 +200,5 @@ def test_aligned_paragraphs_and_tails(spark):
     got = assemble.align_paragraphs(pairs, "s", "t", ["id"]).orderBy("position").collect()
     assert [tuple(r) for r in got] == [(1, 0, "a", "x"), (1, 1, "b", "")]
     _, chapters = books_and_chapters(spark)
-    shifted = chapters.filter("index < 7").withColumn("index", F.when(F.col("index") == 3, 2).otherwise(1).cast("long"))
-    tails = assemble.previous_tail(shifted, size=2).orderBy("index").collect()
-    assert [r.previous_tail for r in tails] == [None, "ây"]
+    tails = assemble.previous_tail(chapters, size=2).orderBy("index").collect()
+    assert [(r["index"], r.previous_tail) for r in tails] == [(1, None), (3, "ây"), (7, "ba")]

@@ -12,7 +12,7 @@ def test_prompt_sections(spark):
     glossary = spark.createDataFrame([("王林", "Vương Lâm", "character", None, 0)], "term string, target string, category string, notes string, ordinal long")
     state = F.when(F.col("chunk_idx") == 0, "{}").otherwise('{"speaker": "A", "pronouns": {"他": "hắn"}, "other": 1}')
     fitted = terms.fit_terms(chunks.select("doc_id", F.col("main_text").alias("text")), glossary, "doc_id")
-    first, second = rq.build_requests(chunks, fitted, F.lit("S"), state).orderBy("chunk_idx").collect()
+    first, second = rq.build_requests(chunks, fitted, F.lit("S"), state, key=["chunk_idx"]).orderBy("chunk_idx").collect()
     assert first.annotated == "王林<Vương Lâm> 走"
     assert first.user_prompt == "## Terms\n### Nhân vật\n- 王林 → Vương Lâm\n\n\n## Text\n王林<Vương Lâm> 走"
     assert first.system_prompt == "## Style\nS"

@@ -91,7 +91,7 @@ def test_first_glossary_is_made_once(spark):
 
 def test_event_log_and_heartbeats(spark, tmp_path):
     source = str(tmp_path / "events")
-    data = [("j", "progress", 1), ("j", "heartbeat", 2), ("k", "job_started", 3)]
+    data = [("j", "progress", 1), ("j", "heartbeat", 2), ("k", "job_started", 3), ("m", "progress", 4), ("m", "job_completed", 5)]
     spark.createDataFrame(data, "job_id string, type string, event_id long").coalesce(1).write.parquet(source)
     feeds.run_event_log(read_stream(spark, source), str(tmp_path / "log"), str(tmp_path / "cp1"), "j").awaitTermination()
     assert [r.event_id for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [1]

@@ -98,14 +98,14 @@ def test_annotation_equals_model(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fitted = terms.fit_terms(docs, spark.createDataFrame(ENTRIES, GLOSSARY), "doc_id")
     idf, df = model_stats(texts, [e[0] for e in ENTRIES])
-    for r in terms.annotate_chunks(docs, fitted, 4, "text").collect():
+    for r in terms.annotate_chunks(docs, fitted, 4, "text", key=["doc_id"]).collect():
         chosen = model_relevant(texts[r.doc_id], ENTRIES, idf, df, 4)
         assert r.annotated == model_annotate(texts[r.doc_id], chosen), texts[r.doc_id]
 
 
 def test_glossary_block(spark):
     docs = spark.createDataFrame([(1, "王林 an 林"), (2, "x")], "doc_id long, text string")
-    ranked = terms.relevant_terms(docs, spark.createDataFrame(ENTRIES, GLOSSARY), 10, "text")
+    ranked = terms.relevant_terms(docs, spark.createDataFrame(ENTRIES, GLOSSARY), 10, "text", key=["doc_id"])
     got = {r.doc_id: r.b for r in ranked.select("doc_id", glossary_block(F.col("terms")).alias("b")).collect()}
     assert got[1] == (
         "### Nhân vật\n- 王林 → Vương Lâm (chính)\n\n### Cảnh giới\n- an → an\n\n### Thuật ngữ chung\n- 王 → Vương\n"
@@ -139,11 +139,22 @@ def test_own_scorer_and_size_guard(spark):
     docs = spark.createDataFrame([(1, "王林 an 林")], "doc_id long, text string")
     glossary = spark.createDataFrame(ENTRIES, GLOSSARY)
 
-    def by_length(text, entries):
-        found = terms.present(text, entries)
-        return F.array_sort(F.transform(found, lambda e: F.struct(-F.length(e["term"]), e["ordinal"], e["term"].alias("term"))))
-
-    got = terms.relevant_terms(docs, glossary, 2, "text", scorer=by_length).first()
+    def by_length(entry, tf):
+        return F.length(entry["term"])
+
+    @F.udf("long")
+    def length(term):
+        return len(term)
+
+    for small in (True, False):
+        for scorer in (by_length, lambda e, tf: length(e["term"])):
+            got = terms.relevant_terms(docs, glossary, 2, "text", key=["doc_id"], small=small, scorer=scorer).first()
+            assert [t.term for t in got.terms] == ["王林", "an"]
+    wide = spark.range(300).select(
+        F.concat(F.lit("x"), F.col("id")).alias("term"), F.lit("t").alias("target"), F.lit("item").alias("category"),
+        F.lit("").alias("notes"), (F.col("id") + 100).alias("ordinal"),
+    )
+    got = terms.relevant_terms(docs, glossary.select(wide.columns).union(wide), 2, "text", key=["doc_id"], scorer=by_length).first()
     assert [t.term for t in got.terms] == ["王林", "an"]
     many = spark.range(300).select(F.col("id").cast("string").alias("term"), F.col("id").alias("ordinal"))
     assert not terms.is_small(many)
