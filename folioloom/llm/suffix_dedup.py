@@ -4,7 +4,9 @@ Of the suffixes of all texts only those are kept that begin at minimiser positio
 whose run of ``GRAM`` words has the smallest hash of a window of such runs.  A passage of
 ``MIN_WORDS`` words holds at least one, and the same ones wherever it occurs.  Suffixes are
 sorted by their first run, the words that follow and those before; neighbours are compared by
-hashes of these; where a match begins or ends, the words beside it are compared.
+hashes of these; where a match begins or ends, the words beside it are compared.  Order settles
+only runs that occur twice: of runs that occur more often, all passages of ``MIN_WORDS`` words
+whose minimiser they are get counted by hash.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import WORD, settle, whole_text
@@ -40,21 +42,22 @@ def sliding(values: np.ndarray, size: int, pick: np.ufunc, fill: np.uint64) -> n
     return pick(behind[:n], ahead[size - 1 : size - 1 + n])
 
 
-def sampled(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of words, and which of them are minimisers.
+def sampled(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every run of words, which of them are minimisers, and the least run of every
+    passage of ``MIN_WORDS`` words, 0 where the text ends before.
 
     ``first`` tells where the texts begin; windows do not cross their borders."""
     runs = grams(hashes, GRAM)
     chosen = np.zeros(len(runs), dtype=bool)
     if len(runs) < WINDOW:
-        return runs, chosen
+        return runs, chosen, np.zeros(0, dtype=np.uint64)
     least = sliding(runs, WINDOW, np.minimum, MOST)
     room = np.repeat(first[1:], np.diff(first))[: len(least)] - np.arange(len(least))
     least = np.where(room >= MIN_WORDS, least, np.uint64(0))
     # A run is chosen if it is the least of a window that holds it: least of windows, at most.
     around = np.zeros(len(runs) + WINDOW - 1, dtype=np.uint64)
     around[WINDOW - 1 : WINDOW - 1 + len(least)] = least
-    return runs, (sliding(around, WINDOW, np.maximum, np.uint64(0)) == runs) & (runs > 0)
+    return runs, (sliding(around, WINDOW, np.maximum, np.uint64(0)) == runs) & (runs > 0), least
 
 
 SAMPLES = "h long, r10 int, r20 int, r30 int, l5 int, l15 int, l32 int, key long, pos int, r1 int, l1 int"
@@ -71,9 +74,12 @@ def samples(docs: DataFrame) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            once = np.unique(batch.column(0).to_numpy(), return_index=True)[1]
+            if len(once) < batch.num_rows:
+                batch = batch.take(pa.array(np.sort(once)))
             keys = batch.column(0).to_numpy()
             for at, hashes, _, first in hashed_texts(batch.column(1)):
-                runs, chosen = sampled(hashes, first)
+                runs, chosen, _ = sampled(hashes, first)
                 place = np.flatnonzero(chosen)
                 if not len(place):
                     continue
@@ -169,27 +175,56 @@ def neighbours(sorted_samples: DataFrame, numbers: int = 0) -> DataFrame:
     return sorted_samples.mapInArrow(compare, NEAR)
 
 
-CONTEXT = "match long, side int, key long, begin int, end int, before binary, after binary"
+CONTEXT = "match long, side int, key long, begin int, end int, before binary, after binary, hash long"
+
+
+def passages(hashes: np.ndarray, first: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where passages of ``MIN_WORDS`` words begin whose minimiser is in ``often`` or next to
+    such a one, and their hashes.
+
+    Next to it, because a match is not extended from minimisers inside it, and those beside
+    may have been compared with others."""
+    runs, chosen, least = sampled(hashes, first)
+    place = np.flatnonzero(chosen)
+    hit = np.isin(runs[place], often)
+    near = hit.copy()
+    near[1:] |= hit[:-1]
+    near[:-1] |= hit[1:]
+    begin = np.flatnonzero(np.isin(least, runs[place[near]]) & (least > 0))
+    return begin, Ranges(hashes).hash(begin, begin + MIN_WORDS).view(np.int64)
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """The words beside each open-ended match: ``texts`` has ``key, text, wanted``."""
+    """The words beside each open-ended match, and with null ``match`` the passages of frequent
+    runs with their hash: ``texts`` has ``key, text, wanted, often``."""
+    names = [part.split()[0] for part in CONTEXT.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split()[0] for part in CONTEXT.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            keys, wanted = batch.column("key").to_pylist(), batch.column("wanted").to_pylist()
+            keys, often = batch.column("key").to_numpy(), batch.column("often")
             for at, hashes, _, first in hashed_texts(batch.column("text")):
                 short, out = (hashes >> np.uint64(32)).astype(np.uint32), []
+                wanted = batch.column("wanted").slice(at, len(first) - 1).to_pylist()
                 for k in range(len(first) - 1):
                     own = short[first[k] : first[k + 1]]
-                    for w in wanted[at + k]:
+                    for w in wanted[k]:
                         begin, end = w["begin"], w["end"]
                         before = own[max(0, begin - BESIDE) : begin][::-1].tobytes()
-                        out.append((w["match"], w["side"], keys[at + k], begin, end, before, own[end : end + BESIDE].tobytes()))
+                        after = own[end : end + BESIDE].tobytes()
+                        out.append((w["match"], w["side"], int(keys[at + k]), begin, end, before, after, None))
                 columns = list(zip(*out, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                runs = often.slice(at, len(first) - 1).flatten().to_numpy().view(np.uint64)
+                if not len(runs):
+                    continue
+                begin, found = passages(hashes, first, runs)
+                owner = np.searchsorted(first, begin, side="right") - 1
+                begin = (begin - first[owner]).astype(np.int32)
+                arrays = [pa.nulls(len(begin), kind) for kind in kinds]
+                arrays[2:5] = pa.array(keys[at + owner]), pa.array(begin), pa.array(begin + np.int32(MIN_WORDS))
+                arrays[7] = pa.array(found)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return texts.mapInArrow(look, CONTEXT)
 
@@ -225,6 +260,33 @@ def extended(sides: DataFrame) -> DataFrame:
     return dealt.mapInArrow(extend, "key long, begin int, end int")
 
 
+def united(spans: DataFrame) -> DataFrame:
+    """``key, begin, end`` with spans of a text that overlap or touch made one."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["key", "begin", "end"], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, begin, end = (np.append(np.array(held[k : k + 1], dtype=np.int64), batch.column(k).to_numpy()) for k in range(3))
+            fresh = np.append(True, key[1:] != key[:-1])
+            # Ends so far within a text: texts are set apart by more than any text's length.
+            apart = (np.cumsum(fresh) - 1) << 32
+            reach = np.maximum.accumulate(end + apart)
+            heads = np.flatnonzero(np.append(True, (begin + apart)[1:] > reach[:-1]) | fresh)
+            ends = (reach - apart)[np.append(heads[1:], len(key)) - 1]
+            key, begin = key[heads], begin[heads]
+            held = [int(x[-1]) for x in (key, begin, ends)]
+            arrays = [pa.array(key[:-1]), pa.array(begin[:-1].astype(np.int32)), pa.array(ends[:-1].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        if held:
+            arrays = [pa.array([x], kind) for x, kind in zip(held, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    dealt = spans.repartition("key").sortWithinPartitions("key", "begin")
+    return dealt.mapInArrow(unite, "key long, begin int, end int")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Documents with passages of ``MIN_WORDS`` words or more that occur elsewhere, in the same
     document or another: ``doc_id, n_words, n_spans, n_repeated_words, spans``.
@@ -233,30 +295,39 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     are runs of characters other than ASCII white space.  Documents without such a passage
     have no row; null and empty texts never have one.  Repeated rows repeat each other in
     full; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are
-    not looked at.  A row's key is a 64-bit hash of its id and text.
+    not looked at.  A row's key is a 64-bit hash of its text: copies are looked at once.
     """
     rows = docs.select("doc_id", whole_text().alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
     kept = settle(samples(rows.select("key", "text")), "suffixes")
     near = settle(neighbours(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)), "neighbours")
     # Two suffixes for each partition.
     edges = near.where(F.col("edge").isNotNull()).select("edge.*").coalesce(1).sortWithinPartitions(*ORDER)
     near = near.union(settle(neighbours(edges, 1 << 60), "edges")).where(F.col("edge").isNull())
 
-    open_ended = F.collect_list(F.struct("match", "side", "begin", "end"))
-    wanted = near.where(F.col("match").isNotNull()).groupBy("key").agg(open_ended.alias("wanted"))
+    open_ended = F.struct("match", "side", "begin", "end")
+    several = (F.count(F.lit(1)) > 2) & ((F.min("key") < F.max("key")) | (F.min("pos") < F.max("pos")))
+    # Settled, so that a frequent run is split where it is joined back.
+    often = settle(kept.groupBy("h").agg(several.alias("several")).where("several").select("h"), "often")
+    wanted = near.where(F.col("match").isNotNull()).select("key", open_ended.alias("match"), F.lit(None).cast("long").alias("h"))
+    runs = kept.select("h", "key").join(often, "h").select("key", F.lit(None).cast(wanted.schema["match"].dataType).alias("match"), "h")
+    wanted = wanted.union(runs).groupBy("key").agg(F.collect_list("match").alias("wanted"), F.collect_set("h").alias("often"))
     texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
+    looked = settle(contexts(texts), "contexts")
+    counted = looked.where(F.col("match").isNull()).select("hash", "key", "begin")
+    again = counted.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash")
+    again = settle(again, "again")
     lengths = rows.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("int").alias("n_words"))
     repeated = lengths.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("end"))
     repeated = repeated.where((F.col("n") > 1) & (F.col("end") >= MIN_WORDS))
-    found = (
+    found = united(
         near.where(F.col("match").isNull())
         .select("key", "begin", "end")
-        .union(extended(contexts(texts)))
+        .union(extended(looked.where(F.col("match").isNotNull()).drop("hash")))
+        .union(counted.join(again, "hash").select("key", "begin", (F.col("begin") + MIN_WORDS).alias("end")))
         .union(repeated.select("key", F.lit(0).alias("begin"), "end"))
-        .groupBy("key")
-        .agg(_united(F.sort_array(F.collect_set(F.struct("begin", "end")))).alias("_spans"))
     )
+    found = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
     length = lambda s: (s["end"] - s["begin"]).cast("long")
     listed = F.transform("_spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string")))
     return lengths.join(found, "key").select(
@@ -266,18 +337,3 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + length(s)).alias("n_repeated_words"),
         F.array_join(listed, ",").alias("spans"),
     )
-
-
-def _united(spans: Column) -> Column:
-    """Sorted spans, those that overlap or touch united."""
-    none = F.array().cast("array<struct<begin:int,end:int>>")
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
-        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["end"] < span["begin"])
-        return F.when(apart, F.concat(done, F.array(span))).otherwise(
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))
-        )
-
-    return F.aggregate(spans, none, add)

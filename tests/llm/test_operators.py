@@ -270,6 +270,23 @@ def test_repeated_passages(spark, texts):
     assert [r.n_spans for r in suffix_dedup.repeated_passages(twice).collect()] == [1, 1]
 
 
+def test_passages_around_a_frequent_run(spark):
+    # Twenty pairs share 15 words before a run of 40, which 600 texts end differently after.
+    rng = random.Random(11)
+    licence, texts = sentence(rng, 40), []
+    for k in range(300):
+        own = sentence(rng, 15)
+        for _ in range(2):
+            if k >= 20:
+                own = sentence(rng, 15)
+            texts.append(f"{sentence(rng, rng.randint(3, 40))} {own} {licence} {sentence(rng, rng.randint(3, 40))}")
+    found = {}
+    for r in suffix_dedup.repeated_passages(table(spark, texts)).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",")]
+        found[r.doc_id] = {k for a, b in spans for k in range(a, b)}
+    assert len(found) == 40 and found == dict(models.repeats(dict(enumerate(texts))))
+
+
 def test_mixing(spark, texts):
     sources = [None if k % 7 == 0 else f"s{k % 5}" for k in range(len(texts))]
     rows = mixing.mix(table(spark, texts, sources)).collect()
