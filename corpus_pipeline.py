@@ -26,8 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source."""
-    cleaned = clean_lines(docs.select(*COLUMNS), "source")
+    """All documents, without the lines that are boilerplate of their source.
+
+    Copies of a text count as one page: they only go in the next stage."""
+    cleaned = clean_lines(docs.select(*COLUMNS), "source", copies=False)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*COLUMNS)
 

@@ -139,6 +139,13 @@ def test_lines(spark):
     assert rows[0].kept == "x" and rows[0].key == "x"
 
 
+def test_lines_of_copies(spark):
+    texts = ["one\ntwo"] * 5 + [f"menu\nown {k}" for k in range(10)]
+    docs = table(spark, texts, ["a"] * 15)
+    rows = {r.doc_id: r.text for r in line_dedup.clean_lines(docs, "source", copies=False).collect()}
+    assert [rows[k] for k in range(15)] == ["one\ntwo"] * 5 + [f"own {k}" for k in range(10)]
+
+
 def test_lists(spark):
     day = "2024-01-%02d %02d:00:00"
     entries = [
