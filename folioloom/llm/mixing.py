@@ -2,12 +2,16 @@
 
 Each source has a budget of words.  Whole rounds of the source come first; the rest of the
 budget is fitted on counts of documents by exact length: an even share of every length, then
-a bounded knapsack over what is left.  Which documents of a length are taken is a matter of a
+a bounded knapsack over what is left; where that misses the budget, a knapsack over all of it
+finds the nearest sum on either side.  Which documents of a length are taken is a matter of a
 seeded hash, numbered without ever holding a source or a length in one task.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +21,7 @@ from folioloom.llm.common import WORD, ranked, settle, whole_text
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
-#: Words that the knapsack fits exactly; budgets above are first brought down to it.
+#: Words that the first knapsack fits; budgets above are first brought down to it.
 KNAPSACK_WORDS = 20_000
 
 
@@ -74,6 +78,63 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, times: int =
     return taken
 
 
+def nearest(lengths: list[int], available: list[int], budget: int) -> list[int]:
+    """How many documents of each length to take, for a sum as near to ``budget`` as can be.
+
+    The least sum above the budget is less than the longest document above it.  For each sum
+    the step that first reached it is kept, in four bytes, whatever the number of steps."""
+    unit = math.gcd(*lengths) or 1
+    budget, rest = divmod(budget, unit)
+    lengths = [length // unit for length in lengths]
+    top = budget + max(lengths) + 1
+    reach, mask, steps = 1, (1 << (top + 1)) - 1, []
+    since = np.zeros(top + 1, dtype=np.int32)
+    for k, (length, n) in enumerate(zip(lengths, available, strict=True)):
+        n, part = min(n, top // length) if length else 0, 1
+        while n > 0 and (rest or not reach >> budget & 1):
+            part = min(part, n)
+            new = (reach << (part * length)) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), dtype=np.uint8)
+                since[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: top + 1])] = len(steps)
+                steps.append((k, part))
+                reach |= new
+            n, part = n - part, 2 * part
+    at = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    if above:
+        least = budget + (above & -above).bit_length()
+        if least * unit - (budget * unit + rest) < budget * unit + rest - at * unit:
+            at = least
+    taken = [0] * len(lengths)
+    while at:
+        k, part = steps[since[at]]
+        taken[k] += part
+        at -= part * lengths[k]
+    return taken
+
+
+def fit_nearest(lengths: list[int], counts: list[int], budget: int, times: int = 1) -> list[int]:
+    """As ``fit_budget``, but where that leaves words, the nearest sum below or above: of
+    documents taken once, or if it is far from the budget, up to ``times`` times."""
+    if budget <= 0 or not any(lengths):
+        return [0] * len(lengths)
+
+    def off(taken: list[int]) -> int:
+        return abs(budget - sum(a * b for a, b in zip(lengths, taken, strict=True)))
+
+    best = [0] * len(lengths)
+    for most in sorted({1, times}):
+        available = [n * most for n in counts]
+        taken = fit_budget(lengths, available, budget)
+        if off(taken):
+            taken = nearest(lengths, available, budget)
+        best = min(best, taken, key=off)
+        if off(best) <= budget // 1000:
+            break
+    return best
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``source, source_no, source_size, target`` of every source.
 
@@ -108,18 +169,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return known.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, carried: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
 
     ``size`` is the number of words, 0 for a null text; ``copies`` is how often the mix takes
     the document, at most 3, and ``taken = size * copies``.  A null source is a source.
     Documents without words are never taken.  Rows with equal id are taken by the same rule;
     a rerun takes the same.  An empty table gives an empty result; columns other than
-    ``doc_id, text, source`` are not looked at.
+    ``doc_id, text, source`` are not looked at; those ``carried`` come first in the result.
     """
     size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(whole_text()))
-    sizes = settle(docs.select("doc_id", "source", size.alias("size"), order.alias("_order")), "mix-sizes")
+    sizes = settle(docs.select(*carried, "doc_id", "source", size.alias("size"), order.alias("_order")), "mix-sizes")
     targets = settle(source_targets(sizes, weights), "mix-targets")
     goal = F.round("target").cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
@@ -138,7 +201,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -
         # Counts of one source by exact length: 10^12 words have at most 1.4 million lengths.
         part = part.sort_values("size")
         budget, rounds = int(part["_budget"].iloc[0]), int(part["_rounds"].iloc[0])
-        taken = fit_budget(part["size"].tolist(), part["n"].tolist(), budget, max(1, MOST - rounds))
+        taken = fit_nearest(part["size"].tolist(), part["n"].tolist(), budget, max(1, MOST - rounds))
         return pd.DataFrame({"source_no": part["source_no"], "size": part["size"], "_of": part["n"], "_take": taken})
 
     takes = counts.groupBy("source_no").applyInPandas(fitted, "source_no long, size long, _of long, _take long")
@@ -148,5 +211,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -
     copies = F.when(F.col("size") > 0, F.col("_rounds") + extra).otherwise(0).cast("long")
     mixed = placed.join(takes, ["source_no", "size"]).withColumn("copies", copies)
     return mixed.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        *carried, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )

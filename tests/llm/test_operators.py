@@ -327,6 +327,28 @@ def test_budget_is_fitted(parts, data):
     assert sum(a * b for a, b in zip(lengths, fitted, strict=True)) <= budget
 
 
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 3)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.data())
+@settings(max_examples=60, deadline=None)
+def test_nearest_sum(parts, data):
+    lengths, counts = map(list, zip(*parts, strict=True))
+    budget = data.draw(st.integers(1, sum(a * b for a, b in parts)))
+    sums = {0}
+    for length, n in parts:
+        sums = {s + length * k for s in sums for k in range(n + 1)}
+    for fit in (mixing.nearest, mixing.fit_nearest):
+        taken = fit(lengths, counts, budget)
+        assert all(0 <= t <= n for t, n in zip(taken, counts, strict=True))
+        assert abs(sum(a * b for a, b in zip(lengths, taken, strict=True)) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_long_documents_and_sums_above(spark):
+    assert mixing.fit_nearest([24_000, 26_000], [2, 2], 48_000) == [2, 0]
+    assert mixing.fit_nearest([1000], [1], 999) == [1] and mixing.fit_nearest([1000], [1], 900, 2) == [1]
+    rows = mixing.mix(table(spark, ["a " * 1000, "b " * 1990], ["x", "y"])).collect()
+    # The target of x is 997 words.
+    assert {r.source: r.copies for r in rows} == {"x": 1, "y": 1}
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
