@@ -7,10 +7,10 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import settle
+from folioloom.llm.common import WORD, settle, whole_text
 from folioloom.llm.jaccard_join import join_near
 from folioloom.llm.line_dedup import clean_lines
 from folioloom.llm.mixing import mix
@@ -20,6 +20,12 @@ from folioloom.llm.quality_rules import good_documents
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def row_key() -> Column:
+    """A row's key, from all its columns with their nulls: only the very same rows share one."""
+    parts = [part for c in COLUMNS for part in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(*parts)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return good_documents(docs.select(*COLUMNS))
@@ -35,17 +41,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of similar documents the one with the smallest id."""
-    found = join_near(docs)
-    first = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(settle(first, "firsts"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of every class of similar documents the one with the smallest id, an id before none;
+    rows without words are all kept."""
+    keyed = docs.select(*COLUMNS, row_key().alias("_row"))
+    has_words = whole_text().rlike(WORD)
+    worded = keyed.where(has_words)
+    found = join_near(worded.select(F.col("_row").alias("doc_id"), "text"))
+    classes = found.select(F.col("doc_id").alias("_row"), "class_id").distinct()
+    ids = worded.select("_row", "doc_id").distinct().join(classes, "_row")
+    first = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    firsts = settle(first.select("first._row"), "firsts")
+    kept = worded.join(firsts, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.unionByName(keyed.where(~has_words)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as it takes them."""
-    copies = settle(mix(docs).where(F.col("copies") > 0).select("doc_id", "copies"), "copies")
-    taken = docs.join(copies, "doc_id")
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, row_key().alias("_row"))
+    copies = mix(keyed, carried=("_row",)).groupBy("_row").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    taken = keyed.join(settle(copies.where(F.col("copies") > 0), "copies"), "_row")
+    # The copies of rows that are the same come from one of them.
+    taken = taken.where(F.col("n") == 1).union(taken.where(F.col("n") > 1).dropDuplicates(["_row"]))
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

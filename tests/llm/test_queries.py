@@ -40,3 +40,26 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, DATA)
     assert pieces.columns == docs.columns and pieces.count() == kept[4]
     assert docs.select("sequence_id", "offset").distinct().count() == kept[4]
+
+
+def documents(spark, rows):
+    rows = [(i, text, "en", source, len(text)) for i, text, source in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_rows_with_no_or_equal_ids(spark):
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    # Two rows without id, two texts of one id, one of them a near copy of a smaller id's.
+    rows = [(None, words[0], "s"), (None, words[1], "s"), (2, words[2], "s"), (5, words[2] + " x", "s"), (5, words[3], "s")]
+    rows += [(None, words[3], "s"), (7, words[4], "s"), (7, words[4], "s"), (None, " ", "s"), (None, " ", "s")]
+    kept = corpus_pipeline.jaccard_join(spark, documents(spark, rows), DATA).collect()
+    want = [(None, words[0]), (None, words[1]), (2, words[2]), (5, words[3]), (7, words[4]), (None, " "), (None, " ")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, want))
+
+
+def test_mix_of_rows_with_no_or_equal_ids(spark):
+    text = " ".join(["a"] * 10)
+    rows = [(None, text, "s"), (1, text, "s"), (1, text, "s"), (1, text + " b b", "s")]
+    # One source: its target is its size, every row once.
+    mixed = corpus_pipeline.mixing(spark, documents(spark, rows), DATA).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in mixed))) == sorted(str(r[:2]) for r in rows)
