@@ -1,20 +1,16 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import random
-import sys
 import zlib
-from pathlib import Path
 
+import llm_models as models
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-sys.path.insert(0, str(Path(__file__).parent))
-import models  # noqa: E402
-
-from folioloom.llm import (  # noqa: E402
+from folioloom.llm import (
     exact_dedup,
     jaccard_join,
     line_dedup,
@@ -26,7 +22,7 @@ from folioloom.llm import (  # noqa: E402
     token_counts,
     url_lists,
 )
-from folioloom.llm.components import components  # noqa: E402
+from folioloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, kept string, n_words string, key string, size string, n string"
 MODEL = public_tokenizers.path("word_bpe_49k.json")

@@ -1,16 +1,12 @@
 """Registered queries against SQL, and the pipeline's stages, on the smallest data."""
 
 import os
-import sys
-from pathlib import Path
 
+import corpus_pipeline
 import duckdb
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[2]))
-import corpus_pipeline  # noqa: E402
-
-from folioloom.llm.queries import ORACLES, QUERIES  # noqa: E402
+from folioloom.llm.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
