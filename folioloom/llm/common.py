@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,3 +64,15 @@ def in_worker(key: str, make: Callable[[], Any]) -> Any:
     if not hasattr(store, key):
         setattr(store, key, make())
     return getattr(store, key)
+
+
+def chunked(batch: pa.RecordBatch, texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text each; a longer text by itself."""
+    begin = held = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + (n or 0) > size:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += n or 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
