@@ -24,12 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = found
         # Large star: larger neighbours of a node link to the smallest of it and its neighbours.
-        least = ordered.groupBy("u").agg(F.min("v").alias("m"))
+        # They are written first: a join on an aggregate's own shuffle couldn't split a node of many edges.
+        least = settle(ordered.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = ordered.select(F.col("u").alias("x"), F.col("v").alias("u")).join(least, "u", "left")
         linked = large.select(F.col("x").alias("u"), F.coalesce(F.least("m", "u"), "u").alias("v"))
         # Small star: smaller neighbours, and the node, link to the smallest of them.
         linked = settle(linked.distinct(), "edges")
-        least = linked.groupBy("u").agg(F.min("v").alias("m"))
+        least = settle(linked.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = linked.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         ordered = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     labels = ordered.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -15,8 +15,10 @@ from folioloom.llm import (
     line_dedup,
     mixing,
     packing,
+    periodic_runs,
     pii_crf,
     quality_rules,
+    simhash_anchors,
     suffix_dedup,
     token_counts,
     url_lists,
@@ -152,3 +154,15 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 @query(EXACT_SQL)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, of which one text in ten is made periodic from some word on."""
+    docs = periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
+@query()
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.near_documents(_table(spark, sf_dir, "documents"))
