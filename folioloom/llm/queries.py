@@ -20,6 +20,7 @@ from folioloom.llm import (
     quality_rules,
     simhash_anchors,
     suffix_dedup,
+    token_alignment,
     token_counts,
     url_lists,
 )
@@ -163,6 +164,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(docs))
 
 
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_tokens(_table(spark, sf_dir, "documents"), *models)
+
+
 @query()
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_documents(_table(spark, sf_dir, "documents"))
