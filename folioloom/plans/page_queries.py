@@ -74,11 +74,11 @@ _BODY = f"regexp_replace({_BODY}, '<h1>.*?</h1>', '', 's')"
 _BODY = f"regexp_replace({_BODY}, '<article>\\s*<p>', '')"
 
 
-@query(
-    f"""SELECT page_id, {PLAIN_TITLE} AS title, array_to_string(list_filter(string_split(body, chr(10) || chr(10)),
-               lambda l: length(l) >= 10), chr(10) || chr(10)) AS text, false AS from_content
-        FROM (SELECT page_id, html, {_plain(_BODY)} AS body FROM pages)"""
-)
+BODY_LINES = f"""array_to_string(list_filter(string_split({_plain(_BODY)}, chr(10) || chr(10)),
+               lambda l: length(l) >= 10), chr(10) || chr(10))"""
+
+
+@query(f"SELECT page_id, {PLAIN_TITLE} AS title, {BODY_LINES} AS text, false AS from_content FROM pages")
 def main_text_fallback(spark, sf_dir):
     """Text of every page by the way for pages without a content element."""
     pages = ad.pages(spark, sf_dir, "html")

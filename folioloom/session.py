@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app_name: str = "folioloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -24,9 +26,7 @@ def build_session(app_name: str = "folioloom", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # States of streams may outgrow the memory of an executor.
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         **conf,
     }
     for key, value in settings.items():

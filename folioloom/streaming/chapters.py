@@ -30,6 +30,15 @@ def page_texts(pages: DataFrame, content: str, title: str, remove: list[str]) ->
     return texts.select("page_id", "title", "text", status.alias("status"))
 
 
+def once_done(texts: DataFrame) -> DataFrame:
+    """Every page that is done once, every page in error once, whatever arrives again.
+
+    The keys are in the stream's own state, so a batch costs the same however many came before
+    it, and a restart on the checkpoint knows them.
+    """
+    return texts.dropDuplicates(["page_id", "status"])
+
+
 def run_pages(
     pages: DataFrame,
     path: str,
@@ -39,24 +48,27 @@ def run_pages(
     remove: list[str],
     chunk: dict | None = None,
     seconds: int | None = None,
+    between: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
     """Turn a stream of pages into texts and chunks, tables under ``path``.
 
-    A page that was done in an earlier batch is skipped; one in error is taken again when it
-    arrives again.
+    A page that is done is skipped when it arrives again; one in error is taken again, and its
+    text then goes before the error.  ``between`` is called with the batch's number after its
+    texts and before its chunks are written.
     """
     spark = pages.sparkSession
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        done = read_batches(spark, f"{path}/texts", TEXTS, before=batch_id).filter("status = 'crawled'")
-        fresh = batch.dropDuplicates(["page_id"]).join(done.select("page_id"), "page_id", "left_anti")
-        write_batch(page_texts(fresh, content, title, remove), f"{path}/texts", batch_id)
+        write_batch(batch, f"{path}/texts", batch_id)
+        if between:
+            between(batch_id)
         # Chunks are cut from the written texts: the pages are not parsed a second time.
         texts = spark.read.schema(TEXTS).parquet(f"{path}/texts/batch_id={batch_id}")
         ready = texts.filter("status = 'crawled'").select("page_id", "text")
         write_batch(chunk_documents(ready, **(chunk or {})), f"{path}/chunks", batch_id)
 
-    return start(pages.writeStream.foreachBatch(save), checkpoint, seconds)
+    texts = once_done(page_texts(pages, content, title, remove))
+    return start(texts.writeStream.foreachBatch(save), checkpoint, seconds)
 
 
 def observed(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
@@ -71,19 +83,9 @@ def remaining(pages: DataFrame, done: DataFrame, key: str = "page_id") -> DataFr
     return pages.join(done.select(key), key, "left_anti")
 
 
-def run_step(
-    rows: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, seconds: int | None = None
-) -> StreamingQuery:
-    """Any further step on a stream, one overwritable folder per batch."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        write_batch(step(batch), path, batch_id)
-
-    return start(rows.writeStream.foreachBatch(save), checkpoint, seconds)
-
-
 def latest_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One text per page, the newest."""
+    """One text per page: the newest that is done, else the newest error."""
     rows = read_batches(spark, f"{path}/texts", TEXTS)
-    newest = F.max_by(F.struct("title", "text", "status"), "batch_id")
+    done = F.col("status") == "crawled"
+    newest = F.max_by(F.struct("title", "text", "status"), F.struct(done, "batch_id"))
     return rows.groupBy("page_id").agg(newest.alias("_t")).select("page_id", "_t.*")

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from folioloom import fixed_values as fixed
 from folioloom.operators.events import event_filter
+from folioloom.session import ROCKSDB
 from folioloom.streaming.tables import start
 
 
@@ -24,32 +25,63 @@ def run_event_log(
     return start(writer, checkpoint, seconds)
 
 
-def heartbeats(events: DataFrame, idle_seconds: int = 30) -> DataFrame:
-    """A heartbeat row for every job that has had no event for a while.
+BEATS = T.StructType(
+    [T.StructField("job_id", T.StringType()), T.StructField("type", T.StringType()), T.StructField("number", T.LongType())]
+)
+
+
+class Beats(StatefulProcessor):
+    """Per job: how many heartbeats it had since its last event, and when that was."""
+
+    def __init__(self, idle: int, forget: int):
+        self.idle, self.forget = idle, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # A job that is silent for so long leaves the state by itself.
+        self.state = handle.getValueState("beats", "sent long, since long", self.forget)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ended = any([batch["ends"].any() for batch in rows])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if ended:
+            self.state.clear()
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self.state.update((0, now))
+            self.handle.registerTimer(now + self.idle)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        kept = self.state.get() if self.state.exists() else None
+        if kept is None or now - kept[1] >= self.forget:
+            self.state.clear()
+            return
+        self.state.update((kept[0] + 1, kept[1]))
+        self.handle.registerTimer(now + self.idle)
+        yield pd.DataFrame({"job_id": [key[0]], "type": ["heartbeat"], "number": [kept[0] + 1]})
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeats(events: DataFrame, idle_seconds: int = 30, forget_seconds: int = 24 * 3600) -> DataFrame:
+    """A heartbeat row for every job that has had no event for a while, and again after each
+    such while, until its next event, its end, or ``forget_seconds``.
 
     Only the job id and whether the job ends go through the shuffle, once per job and Arrow
-    batch, and one number is kept per job.  The state of a job goes with its end; it beats no
-    more until it has another event.
+    batch.  A timer and two numbers are kept per job; they go with its end.
     """
+    spark = events.sparkSession
+    # The operator needs a store with column families, whatever the session was built with.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.drop_duplicates()
 
-    def beat(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        sent = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            sent += 1
-            yield pd.DataFrame({"job_id": [key[0]], "type": ["heartbeat"], "number": [sent]})
-        elif any([batch["ends"].any() for batch in batches]):
-            if state.exists:
-                state.remove()
-            return
-        state.update((sent,))
-        state.setTimeoutDuration(idle_seconds * 1000)
-
     return (
         events.select(
             F.col("job_id").cast("string").alias("job_id"),
@@ -57,11 +89,10 @@ def heartbeats(events: DataFrame, idle_seconds: int = 30) -> DataFrame:
         )
         .mapInPandas(once, "job_id string, ends boolean")
         .groupBy("job_id")
-        .applyInPandasWithState(
-            beat,
-            "job_id string, type string, number long",
-            "sent long",
-            "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+        .transformWithStateInPandas(
+            Beats(idle_seconds * 1000, forget_seconds * 1000),
+            outputStructType=BEATS,
+            outputMode="append",
+            timeMode="ProcessingTime",
         )
     )

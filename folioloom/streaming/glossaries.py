@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from folioloom import fixed_values as fixed
 from folioloom.functions.text import word_tokens
 from folioloom.operators.glossary import grow_glossary
-from folioloom.operators.terms import fit_terms
+from folioloom.operators.terms import fit_terms, refit_terms
 from folioloom.streaming.tables import exists, read_batches, start, write_batch
 
 TERMS = T.StructType(
@@ -58,7 +58,7 @@ def run_growth(
     checkpoint: str,
     base: DataFrame,
     extract: Extractor = frequent_words,
-    all_docs: DataFrame | None = None,
+    all_docs: DataFrame | Callable[[], DataFrame] | None = None,
     refresh: int = fixed.SCORER_REFRESH_VERSIONS,
     seconds: int | None = None,
 ) -> StreamingQuery:
@@ -66,7 +66,7 @@ def run_growth(
 
     The table ``terms`` has one folder per batch; every batch with new terms is a version.
     When ``refresh`` versions have passed since the last fit, term statistics over
-    ``all_docs`` are written anew under ``stats/version=N``.
+    ``all_docs``, as it is then, are written under ``stats/version=N``.
     """
     spark = docs.sparkSession
 
@@ -78,21 +78,39 @@ def run_growth(
             return
         current = version(spark, path)
         if current - last_fit(spark, path) >= refresh:
-            write_stats(known_terms(spark, path, base), all_docs, path, current)
+            library = all_docs() if callable(all_docs) else all_docs
+            write_stats(known_terms(spark, path, base), library, path, current)
 
     return start(docs.writeStream.foreachBatch(save), checkpoint, seconds)
 
 
-def last_fit(spark: SparkSession, path: str) -> int:
+def last_fit(spark: SparkSession, path: str, before: int | None = None) -> int:
     """Version of the newest statistics, 0 where there are none; it outlives a restart."""
     if not exists(spark, f"{path}/stats"):
         return 0
-    return spark.read.parquet(f"{path}/stats").agg(F.max("version")).first()[0]
+    fits = spark.read.parquet(f"{path}/stats")
+    fits = fits if before is None else fits.filter(F.col("version") < before)
+    return fits.agg(F.max("version")).first()[0] or 0
 
 
 def write_stats(glossary: DataFrame, docs: DataFrame, path: str, number: int) -> None:
-    """Term statistics of a glossary version over all documents."""
-    fit_terms(docs, glossary, "doc_id").write.mode("overwrite").parquet(f"{path}/stats/version={number}")
+    """Term statistics of a glossary version over all documents.
+
+    They go on from the version before: documents that it counted are searched for new terms
+    alone, and new documents for all.  The ids that a version counted first are its folder of
+    ``counted``.
+    """
+    spark, last = glossary.sparkSession, last_fit(glossary.sparkSession, path, before=number)
+    if last:
+        previous = spark.read.parquet(f"{path}/stats/version={last}")
+        ids = spark.read.option("basePath", f"{path}/counted").parquet(f"{path}/counted")
+        ids = ids.filter(F.col("version") <= last).select("doc_id")
+        added = docs.join(ids, "doc_id", "left_anti")
+        fitted = refit_terms(previous, docs.join(ids, "doc_id", "left_semi"), added, glossary, "doc_id")
+    else:
+        added, fitted = docs, fit_terms(docs, glossary, "doc_id")
+    fitted.write.mode("overwrite").parquet(f"{path}/stats/version={number}")
+    added.select("doc_id").write.mode("overwrite").parquet(f"{path}/counted/version={number}")
 
 
 def first_glossary(

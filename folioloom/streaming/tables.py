@@ -6,6 +6,7 @@ run again after a failure leaves the same rows once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,13 @@ def read_batches(
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    try:
+        spark.read.format("text").load(path).schema  # noqa: B018
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def start(writer: DataStreamWriter, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
@@ -50,3 +56,23 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     folder, _, name = path.rpartition("/")
     return reader.parquet(f"{folder}/{{{name}}}")
+
+
+def landed(spark: SparkSession, path: str, landing: str, batches: int = 5) -> tuple[str, int]:
+    """Where to read a parquet table as a stream of several batches, and its number of files.
+
+    Files are read where they lie; a table of fewer files than batches is small, and is written
+    to ``landing`` in as many.
+    """
+    table = spark.read.parquet(path)
+    n_files = len(table.inputFiles())
+    if n_files >= batches:
+        return path, n_files
+    table.repartition(batches).write.parquet(landing)
+    return landing, batches
+
+
+def arrivals(spark: SparkSession, path: str, landing: str, batches: int = 5, most: int = 1000) -> DataFrame:
+    """A parquet table as a stream of several batches, of ``most`` files each at most."""
+    place, n_files = landed(spark, path, landing, batches)
+    return read_stream(spark, place, min(most, -(-n_files // batches)))
