@@ -20,7 +20,7 @@ from folioloom.operators.ordering import first_rows
 
 SMALL_GLOSSARY = 256
 ANCHOR = 6
-SALTS = 16
+FILTER_BITS = 1 << 22
 
 
 def is_small(glossary: DataFrame, limit: int = SMALL_GLOSSARY) -> bool:
@@ -57,29 +57,52 @@ def present(text: Column, entries: Column) -> Column:
     return F.filter(entries, lambda e: (e["term"] != "") & F.contains(text, e["term"]))
 
 
-def _grams(text: Column, size: Column) -> Column:
+def _grams(text: Column, size: int) -> Column:
     """All character sequences of a length, overlapping ones too."""
-    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size, F.lit("}))")), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _bit(gram: Column) -> tuple[Column, Column]:
+    """The place of a sequence in the anchor filter: number of a long, and a bit of it."""
+    place = F.pmod(F.xxhash64(gram), F.lit(FILTER_BITS)).cast("int")
+    return F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)))
+
+
+def anchor_filter(anchors: DataFrame) -> Column:
+    """A Bloom filter of the column ``_gram`` with one hash, as an array of longs.
+
+    It always takes half a megabyte.  Sequences that aren't in it are no anchor; of others
+    about one in ``FILTER_BITS`` / anchors isn't either.
+    """
+    word, bit = _bit(F.col("_gram"))
+    words = anchors.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    every = anchors.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("_word"))
+    dense = every.join(words, "_word", "left").select("_word", F.coalesce("_bits", F.lit(0)).alias("_bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("_word", "_bits")))
+    return dense.agg(F.transform(ordered, lambda x: x["_bits"])).scalar()
 
 
 def candidate_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, entry) pairs where the first characters of a term occur in a text.
 
-    Both sides are salted by the text key, so that a sequence found in every text is spread
-    over several tasks.
+    A text's sequences go through the anchor filter before they leave their task, so what is
+    shuffled grows with the matches, not with the characters.  A sequence found in every text
+    makes a skewed join, which Spark splits.
     """
     terms = glossary.filter("term != ''").withColumn("_gram", F.left("term", F.lit(ANCHOR)))
     # At most ANCHOR numbers, found when the query runs.
-    sizes = terms.agg(F.collect_set(F.length("_gram").cast("string"))).scalar()
-    grams = F.array_distinct(F.flatten(F.transform("_sizes", lambda n: _grams(F.col(text), n))))
-    salt = F.pmod(F.xxhash64(*key), F.lit(SALTS))
-    spread = (
-        texts.select(*key, text)
-        .withColumn("_sizes", sizes)
-        .select(*key, salt.alias("_salt"), F.explode(grams).alias("_gram"))
-    )
-    copies = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return spread.join(copies, ["_gram", "_salt"]).drop("_gram", "_salt")
+    sizes = terms.agg(F.collect_set(F.length("_gram"))).scalar()
+    known = texts.select(*key, text).withColumn("_sizes", sizes)
+
+    def of_size(n: int) -> Column:
+        return F.when(F.array_contains("_sizes", n), _grams(F.col(text), n)).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.concat(*[of_size(n) for n in range(1, ANCHOR + 1)]))
+    every = known.select(*key, F.explode(grams).alias("_gram"))
+    word, bit = _bit(F.col("_gram"))
+    # The filter is a constant of the condition; as a column, every row would carry it.
+    likely = every.filter(F.get(anchor_filter(terms), word).bitwiseAND(bit) != 0)
+    return likely.join(terms, "_gram").drop("_gram")
 
 
 def verified_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -146,6 +169,34 @@ def fit_terms(
     )
 
 
+def refit_terms(
+    previous: DataFrame, counted: DataFrame, added: DataFrame, glossary: DataFrame, key: str, text: str = "text"
+) -> DataFrame:
+    """The statistics of a glossary over ``counted`` and ``added`` documents, from those that
+    ``previous`` has for some of its terms over the counted ones.
+
+    Only added documents are searched for all terms, and only added terms in all documents;
+    the result is that of ``fit_terms`` over all of them.
+    """
+    known = previous.groupBy("term").agg(F.max("df").alias("_df"))
+    new_terms = glossary.join(known, "term", "left_anti")
+    listed = [verified_pairs(added, glossary, [key], text), verified_pairs(counted, new_terms, [key], text)]
+    found = listed[0].select("term").unionAll(listed[1].select("term"))
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("_pairs"))
+    copies = glossary.groupBy("term").agg(F.count(F.lit(1)).alias("_copies"))
+    n_docs = counted.select(key).unionAll(added.select(key)).agg(F.count(F.lit(1))).scalar()
+    more = F.coalesce(F.floor(F.col("_pairs") / F.col("_copies")), F.lit(0))
+    return (
+        glossary.join(copies, "term")
+        .join(counts, "term", "left")
+        .join(known, "term", "left")
+        .withColumn("df", (F.coalesce("_df", F.lit(0)) + more).cast("long"))
+        .withColumn("n_docs", n_docs)
+        .withColumn("idf", idf(F.col("df"), F.col("n_docs")))
+        .drop("_pairs", "_copies", "_df")
+    )
+
+
 def idf(df: Column, n_docs: Column) -> Column:
     return F.when(df > 0, F.log((n_docs + 1) / (df + 1)) + 1).otherwise(F.lit(0.0))
 
