@@ -2,8 +2,10 @@
 
 A group here may hold a large share of all rows.  Rows are therefore ordered inside cells
 of the order column: a cell covers ``width`` consecutive integers, so with an order column
-that is unique inside its group no cell has more than ``width`` rows.  What has to pass
-from one cell to the next is a single number per cell.
+that is unique inside its group no cell has more than ``width`` rows.  Where numbers are far
+apart, as hashes are, such cells would hold a row each; ``sparse`` cuts a group at quantiles
+of the order column instead.  What has to pass from one cell to the next is a single number
+per cell.
 """
 
 from __future__ import annotations
@@ -14,8 +16,32 @@ from pyspark.sql import functions as F
 CELL_WIDTH = 1 << 18
 
 
-def _cell(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("long")
+#: Cells of a group that is cut at quantiles; a power of two.
+RANKED_CELLS = 256
+
+
+def with_cells(df: DataFrame, group: str, order: str, width: int, sparse: bool) -> DataFrame:
+    """Add ``_cell``, which rises with the order column inside a group.
+
+    Sparse groups of more than ``width`` rows get ``RANKED_CELLS`` cells of nearly as many
+    rows each, others one.  Borders are found by a mergeable sketch and are few, so they are
+    joined to the rows, which find their cell by halving.
+    """
+    if not sparse:
+        return df.withColumn("_cell", F.floor(F.col(order) / F.lit(width)).cast("long"))
+    shares = F.array(*[F.lit(k / RANKED_CELLS) for k in range(1, RANKED_CELLS)])
+    found = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, shares, F.lit(100 * RANKED_CELLS)).alias("_borders")
+    )
+    borders = found.filter(F.col("_n") > width).select(F.col(group).alias("_group"), "_borders")
+    joined = df.join(borders, F.col(group).eqNullSafe(F.col("_group")), "left")
+    halves = F.array(*[F.lit(RANKED_CELLS >> k) for k in range(1, RANKED_CELLS.bit_length())])
+
+    def halve(cell: Column, half: Column) -> Column:
+        return cell + F.when(F.get("_borders", cell + half - 1) <= F.col(order), half).otherwise(F.lit(0))
+
+    cell = F.aggregate(halves, F.lit(0), halve).cast("long")
+    return joined.withColumn("_cell", cell).drop("_group", "_borders")
 
 
 def number_rows(
@@ -25,6 +51,7 @@ def number_rows(
     name: str = "index",
     width: int = CELL_WIDTH,
     among: dict[str, Column] | None = None,
+    sparse: bool = False,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, by a unique integer column.
 
@@ -33,7 +60,7 @@ def number_rows(
     """
     wanted = {name: F.lit(True), **(among or {})}
     marks = {f"_mark{i}": F.when(condition, 1).otherwise(0) for i, condition in enumerate(wanted.values())}
-    cells = df.withColumn("_cell", _cell(order, width)).withColumns(marks)
+    cells = with_cells(df, group, order, width, sparse).withColumns(marks)
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cells.groupBy(group, "_cell")
@@ -57,14 +84,13 @@ def nearest_marked(
     previous: str = "previous",
     following: str = "following",
     width: int = CELL_WIDTH,
+    sparse: bool = False,
 ) -> DataFrame:
     """Add the nearest order value before and after each row among the marked rows.
 
     What follows is read in falling order, so that every window grows by a row at a time.
     """
-    cells = df.withColumn("_cell", _cell(order, width)).withColumn(
-        "_mark", F.when(marked, F.col(order))
-    )
+    cells = with_cells(df, group, order, width, sparse).withColumn("_mark", F.when(marked, F.col(order)))
     earlier = Window.unboundedPreceding, -1
     ordered = Window.partitionBy(group).orderBy("_cell").rowsBetween(*earlier)
     reversed_cells = Window.partitionBy(group).orderBy(F.desc("_cell")).rowsBetween(*earlier)

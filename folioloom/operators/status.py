@@ -51,10 +51,6 @@ def in_chapter_range(index: Column, spec: str, last: Column) -> Column:
     return found
 
 
-def valid_status(status: Column) -> Column:
-    return status.isin(*fixed.STATUSES)
-
-
 def phase_of(status: Column) -> Column:
     """The phase a chapter waits for: crawl, translate or format; null for none."""
     phases = F.create_map(*[F.lit(x) for phase, s in fixed.PHASE_STATUS.items() for x in (s, phase)])
@@ -235,14 +231,19 @@ def apply_chapter_updates(
     updates: DataFrame,
     now: Column,
     key: tuple[str, str] = ("book_id", "index"),
-    order: str = "title_vi",
+    order: str | None = None,
 ) -> DataFrame:
     """Chapters with the titles of the updates; an updated chapter is translated, without error.
 
     ``updates`` has the key, title_vi and title_cn (null where no numbering is wanted).  Of
-    several updates of a chapter the last one by the column ``order`` holds.
+    several updates of a chapter the last one by the column ``order`` holds; without it a
+    chapter may have one update, and a second one is an error.
     """
-    last = F.max_by(F.struct("title_vi", "title_cn"), F.col(order)).alias("_last")
+    if order is None:
+        again = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several updates of a chapter: name their order")))
+        last = F.coalesce(again, F.first(F.struct("title_vi", "title_cn"))).alias("_last")
+    else:
+        last = F.max_by(F.struct("title_vi", "title_cn"), F.col(order)).alias("_last")
     latest = updates.groupBy(*key).agg(last).select(*key, "_last.*")
     changes = latest.select(
         *key, normalize_title(F.col("title_vi"), F.col("title_cn")).alias("_title")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.operators.ordering import keep_first
 from folioloom.schemas import STYLE
+from folioloom.session import work_folder
 
 _FIELDS = ["description", "tone", "guidelines", "vocabulary", "examples"]
 
@@ -113,10 +114,111 @@ def apply_changes(
     )
 
 
-def type_of(layers: Column) -> Column:
-    """Style type from the array of layers a name occurs in."""
-    return (
-        F.when(F.array_contains(layers, "builtin") & F.array_contains(layers, "custom"), "shadow")
-        .when(F.array_contains(layers, "builtin"), "builtin")
-        .otherwise("custom")
+def check_in_order(changes: DataFrame, builtin: DataFrame, custom: DataFrame) -> DataFrame:
+    """Changes with ``accepted`` and ``target_name`` as in ``check_changes``, each judged by what
+    those before it (by ``seq``) have left.
+
+    Whether a name has a custom row is a state machine with two states.  Every change sets its
+    name's state or leaves it: create and update make a custom row of a name that isn't
+    built-in, delete takes it away, an accepted duplicate makes one of its target.  So the
+    state before a change is what the last setting one left, found by a window over the name's
+    changes.  A duplicate depends on its source, which may come from a duplicate: rounds go on
+    until no verdict changes, one for each link of the longest such chain.
+    """
+    layers = builtin.select("name", F.lit(1).alias("_b"), F.lit(0).alias("_c")).union(
+        custom.select("name", F.lit(0), F.lit(1))
     )
+    marks = layers.groupBy(F.col("name").alias("_at")).agg(F.max("_b").alias("_b"), F.max("_c").alias("_c"))
+    duplicate = F.col("op") == "duplicate"
+    target = F.when(duplicate, F.coalesce("new_name", "name")).otherwise(F.col("name"))
+    known = changes.withColumn("target_name", target)
+    judged = _settled(known.withColumn("accepted", F.lit(False)))
+    while True:
+        # Everything is looked at in the name it reads, a duplicate also in the name it writes.
+        reads = judged.select("seq", "op", F.col("name").alias("_at"), F.lit(True).alias("_reads"), "accepted")
+        writes = judged.filter(duplicate & F.col("accepted"))
+        writes = writes.select("seq", "op", F.col("target_name").alias("_at"), F.lit(False).alias("_reads"), "accepted")
+        rows = reads.unionByName(writes).join(marks, "_at", "left").fillna(0, subset=["_b", "_c"])
+        sets = (
+            F.when(F.col("op") == "delete", 0)
+            .when(F.col("op").isin("create", "update") & (F.col("_b") == 0), 1)
+            .when(duplicate & ~F.col("_reads"), 1)
+        )
+        before = Window.partitionBy("_at").orderBy("seq", F.desc("_reads")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_has", F.coalesce(F.last(sets, ignorenulls=True).over(before), "_c"))
+        has, builtin_too = F.col("_has") == 1, F.col("_b") == 1
+        verdict = (
+            F.when(F.col("op") == "create", ~has & ~builtin_too)
+            .when(F.col("op") == "update", has | ~builtin_too)
+            .when(F.col("op") == "delete", has)
+            .when(duplicate, has | builtin_too)
+            .otherwise(F.lit(False))
+        )
+        verdicts = rows.filter("_reads").select("seq", verdict.alias("_verdict"))
+        again = _settled(judged.join(verdicts, "seq"))
+        moved = again.filter(F.col("_verdict") != F.col("accepted")).isEmpty()
+        judged = again.withColumn("accepted", F.col("_verdict")).drop("_verdict")
+        if moved or again.filter(duplicate).isEmpty():
+            return judged.select(*changes.columns, "accepted", "target_name")
+
+
+def apply_in_order(
+    changes: DataFrame, builtin: DataFrame, custom: DataFrame, fields: list[str]
+) -> DataFrame:
+    """The custom layer after a set of changes made one after the other, by ``seq``.
+
+    A name's row is what its last accepted change wrote.  A duplicate writes what its source
+    had then; where that was a duplicate again, its source's, until one is found that has
+    fields of its own.
+    """
+    checked = _settled(check_in_order(changes, builtin, custom).filter("accepted"))
+    duplicate = F.col("op") == "duplicate"
+    reads = checked.filter(duplicate).select("seq", F.col("name").alias("_at"), F.lit(True).alias("_reads"), F.lit(False).alias("_gone"))
+    writes = checked.select("seq", F.col("target_name").alias("_at"), F.lit(False).alias("_reads"), (F.col("op") == "delete").alias("_gone"))
+    before = Window.partitionBy("_at").orderBy("seq", F.desc("_reads")).rowsBetween(Window.unboundedPreceding, -1)
+    wrote = F.last(F.when(~F.col("_reads"), F.struct("seq", "_gone")), ignorenulls=True).over(before)
+    found = reads.unionByName(writes).withColumn("_last", wrote).filter("_reads")
+    # Of each duplicate the change that wrote its source: none where it is a row from before the
+    # set, or the built-in one after a delete.
+    source = found.select(
+        "seq", F.when(~F.col("_last._gone"), F.col("_last.seq")).alias("_from"),
+        F.when(F.col("_last._gone").isNull(), "before").when(F.col("_last._gone"), "builtin").alias("_layer"),
+        F.col("_at").alias("_name"),
+    )
+    source = _settled(source)
+    while True:
+        up = source.select(F.col("seq").alias("_from"), F.col("_from").alias("_up"), F.col("_layer").alias("_l"), F.col("_name").alias("_n"))
+        further = source.join(up, "_from", "left")
+        hit = F.col("_n").isNotNull()
+        if further.filter(hit).isEmpty():
+            break
+        source = _settled(
+            further.select(
+                "seq",
+                F.when(hit, F.col("_up")).otherwise(F.col("_from")).alias("_from"),
+                F.when(hit, F.col("_l")).otherwise(F.col("_layer")).alias("_layer"),
+                F.when(hit, F.col("_n")).otherwise(F.col("_name")).alias("_name"),
+            )
+        )
+    own = checked.filter(~duplicate).select(F.col("seq").alias("_from"), F.struct(*fields).alias("_own"))
+    stood = layered(builtin, custom).select(F.col("name").alias("_name"), F.struct(*fields).alias("_stood"))
+    given = builtin.select(F.col("name").alias("_name"), F.struct(*fields).alias("_given"))
+    copied = source.join(own, "_from", "left").join(stood, "_name", "left").join(given, "_name", "left")
+    copied = copied.select(
+        "seq",
+        F.when(F.col("_layer") == "before", F.col("_stood")).when(F.col("_layer") == "builtin", F.col("_given")).otherwise(F.col("_own")).alias("_copy"),
+    )
+    valued = checked.join(copied, "seq", "left").withColumn(
+        "_value", F.when(duplicate, F.col("_copy")).when(F.col("op") != "delete", F.struct(*fields))
+    )
+    last = valued.groupBy(F.col("target_name").alias("name")).agg(F.max_by(F.struct("op", "_value"), "seq").alias("_w"))
+    kept = last.filter("_w.op != 'delete'").select("name", *[F.col(f"_w._value.{f}").alias(f) for f in fields])
+    untouched = custom.join(last.select("name"), "name", "left_anti")
+    return untouched.select("name", *fields).unionByName(kept)
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """The rows written and read back: rounds would otherwise compute all those before."""
+    path = work_folder(rows.sparkSession, "style-changes")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

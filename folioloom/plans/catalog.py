@@ -3,6 +3,7 @@
 from folioloom.plans import (  # noqa: F401
     book_queries,
     event_queries,
+    file_queries,
     glossary_queries,
     page_queries,
     status_queries,

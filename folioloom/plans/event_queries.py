@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioloom.functions.blocks import naming_rules, style_block
 from folioloom.operators import events as ev
 from folioloom.operators import styles as sy
+from folioloom.operators.ordering import keep_first
 from folioloom.plans import adapters as ad
 from folioloom.plans.registry import query
 
@@ -107,8 +108,6 @@ def _styles(spark, sf_dir):
         F.col("p_partkey").alias("ordinal"),
     )
     custom = F.col("ordinal") % 3 == 0
-    from folioloom.operators.ordering import keep_first
-
     return (
         keep_first(rows.filter(~custom), "name", "ordinal"),
         keep_first(rows.filter(custom), "name", "ordinal"),
@@ -213,3 +212,69 @@ _CHECKED = f"""(SELECT seq, op, c.name, description, CASE WHEN op = 'duplicate'
 def styles_after_changes(spark, sf_dir):
     """The custom layer after all accepted changes."""
     return sy.apply_changes(_changes(spark, sf_dir), *_styles(spark, sf_dir), ["description", "tone"])
+
+
+@query(
+    f"""SELECT DISTINCT w.name, l.description, l.style_type
+        FROM (SELECT 'Brand#' || (s_suppkey % 40 + 1) || '/' || (s_suppkey % 4) AS name FROM supplier) w
+        LEFT JOIN {_LAYERED} l ON l.name = w.name"""
+)
+def style_lookup(spark, sf_dir):
+    """Styles by name, those that do not exist too."""
+    key = F.col("s_suppkey")
+    name = F.concat(F.lit("Brand#"), (key % 40 + 1).cast("string"), F.lit("/"), (key % 4).cast("string"))
+    wanted = ad.table(spark, sf_dir, "supplier").select(name.alias("name")).distinct()
+    return sy.lookup_styles(wanted, *_styles(spark, sf_dir)).select("name", "description", "style_type")
+
+
+# Changes of an ordered set: names come back, so each is judged by those before it.  SQL makes
+# them one after the other: ``done`` holds the custom layer as a map after every change.
+_ORDERED = """(SELECT row_number() OVER (ORDER BY p_partkey) AS seq,
+        (['create','update','delete','duplicate','create','delete'])[(p_partkey * 7 + p_size) % 6 + 1] AS op,
+        CASE WHEN p_size % 3 = 0 THEN 'Own/' || (p_size % 7) ELSE 'Brand#' || (p_size % 25 + 1) || '/' || (p_size % 3) END AS name,
+        CASE WHEN p_partkey % 2 = 0 THEN 'Own/' || (p_partkey % 7) ELSE 'Copy/' || (p_partkey % 5) END AS new_name,
+        'Change ' || p_partkey AS description FROM part)"""
+_FOLDED = f"""
+    WITH RECURSIVE base AS MATERIALIZED (SELECT * FROM {_LAYERS}), ch AS MATERIALIZED (SELECT * FROM {_ORDERED}),
+    builtin AS MATERIALIZED (SELECT map_from_entries(list((name, description))) AS b FROM base WHERE NOT custom),
+    done AS (
+      SELECT CAST(0 AS BIGINT) AS seq, map_from_entries(list((name, description))) AS m, CAST(NULL AS VARCHAR) AS op,
+             CAST(NULL AS VARCHAR) AS name, false AS accepted FROM base WHERE custom
+      UNION ALL
+      SELECT seq, CASE WHEN NOT accepted THEN m WHEN op = 'delete' THEN
+                 map_from_entries(list_filter(map_entries(m), lambda e: e.key <> name))
+               ELSE map_concat(m, MAP {{target: value}}) END, op, name, accepted
+      FROM (SELECT ch.seq, d.m, ch.op, ch.name, CASE WHEN ch.op = 'duplicate' THEN ch.new_name ELSE ch.name END AS target,
+                   CASE WHEN ch.op = 'duplicate' THEN coalesce(d.m[ch.name], b[ch.name]) ELSE ch.description END AS value,
+                   CASE ch.op WHEN 'create' THEN NOT (map_contains(d.m, ch.name) OR map_contains(b, ch.name))
+                     WHEN 'update' THEN map_contains(d.m, ch.name) OR NOT map_contains(b, ch.name)
+                     WHEN 'delete' THEN map_contains(d.m, ch.name)
+                     ELSE map_contains(d.m, ch.name) OR map_contains(b, ch.name) END AS accepted
+            FROM done d JOIN ch ON ch.seq = d.seq + 1, builtin))"""
+
+
+def _ordered_changes(spark, sf_dir):
+    part, size = F.col("p_partkey"), F.col("p_size")
+    ops = F.array(*[F.lit(o) for o in ("create", "update", "delete", "duplicate", "create", "delete")])
+    text = lambda n: n.cast("string")
+    brand = F.concat(F.lit("Brand#"), text(size % 25 + 1), F.lit("/"), text(size % 3))
+    return ad.table(spark, sf_dir, "part").select(
+        part.cast("long").alias("seq"),
+        F.get(ops, ((part * 7 + size) % 6).cast("int")).alias("op"),
+        F.when(size % 3 == 0, F.concat(F.lit("Own/"), text(size % 7))).otherwise(brand).alias("name"),
+        F.when(part % 2 == 0, F.concat(F.lit("Own/"), text(part % 7))).otherwise(F.concat(F.lit("Copy/"), text(part % 5))).alias("new_name"),
+        F.concat(F.lit("Change "), text(part)).alias("description"),
+    )
+
+
+@query(f"{_FOLDED} SELECT seq - 1 + (SELECT min(p_partkey) FROM part) AS seq, op, name, accepted FROM done WHERE seq > 0")
+def ordered_style_changes(spark, sf_dir):
+    """Which changes of an ordered set are accepted."""
+    checked = sy.check_in_order(_ordered_changes(spark, sf_dir), *_styles(spark, sf_dir))
+    return checked.select("seq", "op", "name", "accepted")
+
+
+@query(f"{_FOLDED} SELECT unnest(map_keys(m)) AS name, unnest(map_values(m)) AS description FROM (FROM done ORDER BY seq DESC LIMIT 1)")
+def styles_after_ordered_changes(spark, sf_dir):
+    """The custom layer after an ordered set."""
+    return sy.apply_in_order(_ordered_changes(spark, sf_dir), *_styles(spark, sf_dir), ["description"])

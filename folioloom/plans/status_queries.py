@@ -8,6 +8,7 @@ from folioloom.functions import text as tx
 from folioloom.functions.blocks import elapsed_label
 from folioloom.operators import quality
 from folioloom.operators import status as st
+from folioloom.operators.ordering import nearest_marked, number_rows
 from folioloom.plans import adapters as ad
 from folioloom.plans.registry import query
 
@@ -213,11 +214,10 @@ def _settings(spark, sf_dir):
 )
 def resumable_books(spark, sf_dir):
     """Books to resume: unfinished, without an active job, with their last settings."""
-    books = st.exclude_active(st.resumable(_counts(spark, sf_dir)), _jobs(spark, sf_dir))
     settings = st.parse_settings(_settings(spark, sf_dir))
-    joined = books.join(settings, "book_id", "left")
-    return joined.select(
-        *books.columns,
+    report = st.resume_report(ad.states(spark, sf_dir), _jobs(spark, sf_dir), settings)
+    return report.select(
+        *[c for c in report.columns if c not in ("last_settings", "last_run_at")],
         "last_settings.style",
         F.col("last_settings.workers").cast("string").alias("workers"),
         "last_run_at",
@@ -263,6 +263,24 @@ def adjacent_translated(spark, sf_dir):
     return st.adjacent_translated(chapters).drop("has_translated").fillna(0)
 
 
+@query(
+    """WITH keyed AS (SELECT user_id, event_id * event_id * 7919 + event_id AS key, event_type = 'purchase' AS sold FROM events)
+       SELECT user_id, key, row_number() OVER w AS place,
+              max(CASE WHEN sold THEN key END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sold_before,
+              min(CASE WHEN sold THEN key END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS sold_after
+       FROM keyed WINDOW w AS (PARTITION BY user_id ORDER BY key)"""
+)
+def sparse_positions(spark, sf_dir):
+    """Positions and nearest marked rows where the order column's numbers lie far apart."""
+    event = F.col("event_id")
+    rows = ad.table(spark, sf_dir, "events").select(
+        "user_id", (event * event * 7919 + event).alias("key"), (F.col("event_type") == "purchase").alias("sold")
+    )
+    placed = number_rows(rows, "user_id", "key", "place", sparse=True)
+    near = nearest_marked(placed, "user_id", "key", F.col("sold"), "sold_before", "sold_after", sparse=True)
+    return near.drop("sold")
+
+
 @query(
     f"""SELECT book_id, coalesce(min(CASE WHEN status = 'translated' AND n_chars > 1500 THEN index END), 1)
                AS first_index FROM {_C} GROUP BY book_id"""
@@ -304,23 +322,20 @@ _FIRST_LINE = "'Chương ' || CASE WHEN n_chars % 3 = 0 THEN n_chars ELSE index
 
 
 @query(
-    f"""SELECT book_id, index, first_line, 'Chương ' || index || CASE WHEN rest = '' THEN '' ELSE ': ' || rest END
-               AS new_line
+    f"""SELECT *, new_line || chr(10) || 'body ' || index AS text FROM (
+        SELECT book_id, index, first_line, 'Chương ' || index || CASE WHEN rest = '' THEN '' ELSE ': ' || rest END AS new_line
         FROM (SELECT book_id, index, n_chars, {_FIRST_LINE} AS first_line, book_id AS rest FROM {_C})
-        WHERE n_chars % 3 = 0 AND n_chars <> index"""
+        WHERE n_chars % 3 = 0 AND n_chars <> index)"""
 )
 def title_mismatch(spark, sf_dir):
-    """Texts whose first line has another number than the title, with the repaired line."""
+    """Texts whose first line has another number than the title, with the repaired line and text."""
     chapters = ad.chapters(spark, sf_dir)
     number = F.when(F.col("n_chars") % 3 == 0, F.col("n_chars")).otherwise(F.col("index"))
     joint = F.when(F.col("n_chars") % 2 == 0, F.lit(": ")).otherwise(F.lit(" "))
     line = F.concat(F.lit("Chương "), number.cast("string"), joint, F.col("book_id"))
-    texts = chapters.select("book_id", "index", F.concat(line, F.lit("\nbody")).alias("text"))
+    texts = chapters.select("book_id", "index", F.concat(line, F.lit("\nbody "), F.col("index").cast("string")).alias("text"))
     found = quality.title_mismatches(chapters, texts, ["book_id", "index"])
-    return found.select("book_id", "index", "first_line", "new_line")
-
-
-
+    return found.select("book_id", "index", "first_line", "new_line", "text")
 
 
 @query(

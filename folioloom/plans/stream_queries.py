@@ -22,7 +22,7 @@ from folioloom.streaming.tables import arrivals, landed, read_batches, read_stre
 _KINDS = ["chapter_crawled", "chapter_translated", "chapter_error"]
 
 
-def _changes(events):
+def chapter_changes(events):
     """State changes of chapters from events: job = book, k = chapter."""
     rows = events.select(
         F.col("user_id").cast("string").alias("book_id"),
@@ -53,7 +53,7 @@ def _changes(events):
 def status_state_stream(spark, sf_dir):
     """Chapter states kept by a stream of changes."""
     folder = work_folder(spark, "states")
-    changes = _changes(read_stream(spark, f"{sf_dir}/events.parquet"))
+    changes = chapter_changes(read_stream(spark, f"{sf_dir}/events.parquet"))
     states.run_states(changes, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
     return states.current_states(spark, f"{folder}/states").drop("changed_at")
 

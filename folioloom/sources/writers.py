@@ -35,11 +35,11 @@ def write_translations(texts: DataFrame, path: str) -> None:
     files.write.mode("overwrite").partitionBy("book_id").parquet(path)
 
 
-def write_glossary_csv(glossary: DataFrame, path: str, one_file: bool = True) -> None:
+def write_glossary_csv(glossary: DataFrame, path: str, one_file: bool = False) -> None:
     """Glossary as CSV in list order, null notes empty.
 
-    ``one_file`` is for lists of a size people edit; other lists are written as files that
-    are ordered by name.
+    Files are ordered by name, and are read back in that order.  ``one_file`` is for lists of a
+    size people edit.
     """
     rows = glossary.orderBy("ordinal").select(
         F.col("term").alias("chinese"),
@@ -51,11 +51,6 @@ def write_glossary_csv(glossary: DataFrame, path: str, one_file: bool = True) ->
     rows.write.mode("overwrite").option("escape", '"').option("emptyValue", "").csv(path, header=True)
 
 
-def append_states(updates: DataFrame, path: str) -> None:
-    """State changes as appended rows; the current state is derived from them."""
-    updates.write.mode("append").parquet(path)
-
-
 def write_books(books: DataFrame, chapters: DataFrame, path: str) -> None:
     """Books with their current chapters, as tables next to each other.
 

@@ -5,8 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from folioloom.streaming import chapters, feeds, glossaries, states
-from folioloom.streaming.tables import read_batches, read_stream, start, write_batch
+from folioloom.operators import terms
+from folioloom.streaming import chapters, feeds, glossaries, progress, retries, states
+from folioloom.streaming.tables import arrivals, exists, read_batches, read_stream, start, write_batch
 
 CHANGE = "book_id string, index long, status string, error string, s long, seq long"
 
@@ -106,3 +107,103 @@ def test_event_log_and_heartbeats(spark, tmp_path):
     finally:
         query.stop()
     assert jobs == {"j", "k"}
+
+
+def test_repeats_over_several_batches_are_in_state(spark, tmp_path):
+    body = "<h1>T</h1><div id=c><p>" + "long enough text " * 20 + "</p></div>"
+    source, out = str(tmp_path / "pages"), str(tmp_path / "out")
+    for k in range(5):
+        rows = [(1, body), (10 + k, body), (10 + max(0, k - 1), body), (99, body if k == 3 else "")]
+        spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.mode("append").parquet(source)
+    stream = read_stream(spark, source, files_per_batch=1)
+    run = chapters.run_pages(stream, out, str(tmp_path / "cp"), "#c", "h1", [], {"size": 100})
+    run.awaitTermination()
+    rows = read_batches(spark, f"{out}/texts", chapters.TEXTS)
+    written = {(r.page_id, r.status): r["count"] for r in rows.groupBy("page_id", "status").count().collect()}
+    assert written == {(k, "crawled"): 1 for k in (1, 10, 11, 12, 13, 14, 99)} | {(99, "error"): 1}
+    # A page in error was done later on; the error of a page that is done does not come back.
+    assert {r.page_id: r.status for r in chapters.latest_texts(spark, out).collect()}[99] == "crawled"
+    assert {r.batch_id for r in rows.select("batch_id").distinct().collect()} <= set(range(5))
+
+
+def test_progress_of_intervals_and_batches(spark, tmp_path):
+    kinds = ["chapter_crawled", "chapter_translated", "chapter_error", "progress"]
+    data = [(f"j{k % 3}", kinds[k % 4], k * 10) for k in range(60)]
+    events = spark.createDataFrame(data, "job_id string, type string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    source, out = str(tmp_path / "events"), str(tmp_path / "out")
+    events.drop("s").write.parquet(source)
+    stream = arrivals(spark, source, str(tmp_path / "landing"), batches=5)
+    log = progress.ProgressLog(spark, f"{out}/batches")
+    spark.streams.addListener(log)
+    try:
+        seen = progress.observed_batches(stream, F.col("type"))
+        run = progress.run_progress(seen, f"{out}/rows", str(tmp_path / "cp"), "100 seconds", late="1 day")
+        run.awaitTermination()
+        log.wait(run)
+    finally:
+        spark.streams.removeListener(log)
+    want = {}
+    for job, kind, s in data:
+        own = want.setdefault((job, s // 100), dict.fromkeys(progress.COUNTERS, 0))
+        own["events"] += 1
+        if kind != "progress":
+            own[{"chapter_crawled": "crawled", "chapter_translated": "translated", "chapter_error": "errors"}[kind]] += 1
+    rows = progress.progress_events(spark, f"{out}/rows").collect()
+    assert len(rows) == len(want)
+    for job in ("j0", "j1", "j2"):
+        so_far = dict.fromkeys(progress.COUNTERS, 0)
+        for r in sorted((r for r in rows if r.job_id == job), key=lambda r: r.ts):
+            own = want[(job, int(r.ts.timestamp()) // 100 - 1)]
+            so_far = {c: n + own[c] for c, n in so_far.items()}
+            assert {c: r[c] for c in progress.COUNTERS} == so_far and r.type == "progress"
+    batches = progress.batch_progress(spark, f"{out}/batches").collect()
+    assert len({r.batch_id for r in batches}) == len(batches) > 1
+    assert sum(r.events for r in batches) == sum(r.input_rows for r in batches) == len(data)
+
+
+def test_failures_wait_in_quarantine(spark, tmp_path):
+    source, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    for k in range(3):
+        rows = [(10 * k + i, f"t{i}") for i in range(4)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+
+    def reply(doc_id, text, attempt):
+        if doc_id % 10 == 1 and attempt < 3 or doc_id % 10 == 2:
+            raise RuntimeError(f"{text} lost")
+        return text.upper()
+
+    step = retries.guarded(reply)
+    stream = read_stream(spark, source, files_per_batch=1)
+    key = stream.schema["doc_id"]
+    retries.run_retrying(stream, "doc_id", step, out, str(tmp_path / "cp"), attempts=3).awaitTermination()
+    # The first batch's failures were taken up by the later batches; others wait.
+    assert {r.doc_id: r.attempts for r in retries.results(spark, key, out).collect() if r.doc_id < 3} == {0: 1, 1: 3, 2: 3}
+    retries.retry_rest(spark, key, step, out, attempts=3)
+    got = {r.doc_id: (r.value, r.error, r.status, r.attempts) for r in retries.results(spark, key, out).collect()}
+    want = {}
+    for d in (10 * k + i for k in range(3) for i in range(4)):
+        failed = ("RuntimeError: t2 lost", "error", 3)
+        want[d] = (None, *failed) if d % 10 == 2 else (f"T{d % 10}", None, "translated", 3 if d % 10 == 1 else 1)
+    assert got == want
+    retries.retry_rest(spark, key, step, out, attempts=3)  # nothing waits: nothing is done
+    assert retries.results(spark, key, out).count() == len(want)
+
+
+def test_statistics_go_on_from_earlier_ones(spark):
+    texts = [(0, "harbour lantern"), (1, "lantern lantern"), (2, "rivers harbour"), (3, "rivers"), (4, None), (5, "mountain rivers")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kind = "term string, target string, category string, notes string, ordinal long"
+    words = ["harbour", "lantern", "rivers", "mountain", "absent", "harbour"]
+    listed = spark.createDataFrame([(w, w, "item", None, k) for k, w in enumerate(words)], kind)
+    first = terms.fit_terms(docs.filter("doc_id < 2"), listed.filter("ordinal < 2"), "doc_id")
+    again = terms.refit_terms(first, docs.filter("doc_id < 2"), docs.filter("doc_id >= 2"), listed, "doc_id")
+    whole = terms.fit_terms(docs, listed, "doc_id")
+    assert sorted(again.select(whole.columns).collect(), key=str) == sorted(whole.collect(), key=str)
+    same = terms.refit_terms(whole, docs, docs.limit(0), listed, "doc_id")
+    assert sorted(same.select(whole.columns).collect(), key=str) == sorted(whole.collect(), key=str)
+
+
+def test_tables_that_are_not_there(spark, tmp_path):
+    assert not exists(spark, str(tmp_path / "no table"))
+    write_batch(spark.createDataFrame([], glossaries.TERMS), str(tmp_path / "terms"), 0)
+    assert exists(spark, str(tmp_path / "terms"))
