@@ -11,12 +11,13 @@ count back once.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-import string
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from folioloom.llm.common import chunked, in_worker, settle, whole_text
 
-PLAIN = frozenset(string.ascii_letters + string.digits)
 #: Tokens of the first tokenizer in a lane, and bytes of text in a block.
 LANE, BLOCK = 256, 2 << 20
 
@@ -143,13 +143,18 @@ class Aligned(NamedTuple):
     pairs: np.ndarray
 
 
+def is_plain(part: str) -> bool:
+    """Whether a part begins with something that is neither white space nor a mark on a space."""
+    return bool(part) and (part[0].isalnum() or "!" <= part[0] <= "~")
+
+
 def segments(text: str) -> list[str]:
     """A text that begins with a space, cut before every space that lies between something
-    else and a Latin letter or a digit."""
+    else than a space and a plain part."""
     parts, out = text.split(" ")[1:], []
     before = ""
     for part in parts:
-        if before and part and part[0] in PLAIN:
+        if before and is_plain(part):
             out.append(f" {part}")
         elif out:
             out[-1] += f" {part}"
@@ -176,13 +181,17 @@ class Segments:
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
+        #: Of these, plain parts of a text without their space: most texts have no others.
+        self.plain: dict[str, int] = {}
         self.first = [np.zeros(1, dtype=np.int64) for _ in range(2)]
         self.ids = [np.zeros(0, dtype=np.int64) for _ in range(2)]
         self.same = np.zeros(0, dtype=bool)
 
     def learn(self, new: list[str]) -> None:
         """Encode segments; the second tokenizer puts their first space before them itself."""
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        fresh = dict(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.numbers |= fresh
+        self.plain |= {text[1:]: k for text, k in fresh.items() if " " not in text[1:] and is_plain(text[1:])}
         same = np.ones(len(new), dtype=bool)
         for side, texts in enumerate((new, [text[1:] for text in new])):
             known = self.vocabularies[side]
@@ -199,12 +208,16 @@ class Segments:
         either tokenizer changes has none."""
         if len(self.numbers) > self.most:
             self.clear()
-        cut = [segments(f" {text}") if text else [] for text in texts]
-        new = {part: None for own in cut for part in own if part not in self.numbers}
+        codes = [list(map(self.plain.get, text.split(" "))) if text else [] for text in texts]
+        # Texts with other segments, or with segments not yet known.
+        cut = {k: segments(f" {texts[k]}") for k, own in enumerate(codes) if None in own}
+        new = {part: None for own in cut.values() for part in own if part not in self.numbers}
         if new:
             self.learn(list(new))
-        sizes = np.array([len(own) for own in cut], dtype=np.int64)
-        numbers = np.array([self.numbers[part] for own in cut for part in own], dtype=np.int64)
+        for k, own in cut.items():
+            codes[k] = [self.numbers[part] for part in own]
+        sizes = np.array([len(own) for own in codes], dtype=np.int64)
+        numbers = np.fromiter(itertools.chain.from_iterable(codes), dtype=np.int64, count=int(sizes.sum()))
         text_of = np.repeat(np.arange(len(texts)), sizes)
         changed = np.zeros(len(texts), dtype=bool)
         changed[text_of[~self.same[numbers]]] = True
@@ -273,7 +286,7 @@ def align_tokens(docs: DataFrame, first_model: str, second_model: str, with_grou
         encoded = part.column(1).dictionary_encode()
         which = encoded.indices.to_numpy()
         found = align_texts(encoded.dictionary.to_pylist(), known, written)
-        pairs, places = np.unique(found.pairs, return_inverse=True)
+        places, pairs = pd.factorize(found.pairs)
         text_of = np.repeat(np.arange(len(found.n_links)), found.n_links)
         # Distinct pairs of each text, and how often it has them.
         own, times = np.unique(text_of * max(1, len(pairs)) + places, return_counts=True)
