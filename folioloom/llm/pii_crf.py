@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 
 from folioloom.llm.common import whole_text
 
-#: The kinds, in this order, and their patterns.
+#: The kinds, in this order, and their patterns.  An address is looked for at every
+#: ``@``: LOCAL characters before it, DOMAIN after it.  A match of IP can only begin where a run
+#: of digits does.  So each character is looked at a bounded number of times, in any text.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = string.ascii_letters + string.digits + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -54,11 +58,23 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap, as start and end."""
+    after, at = 0, text.find("@")
+    while at >= 0:
+        begin = after + len(text[after:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if begin < at else None
+        if found:
+            yield begin, found.end()
+        after = found.end() if found else at + 1
+        at = text.find("@", after)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``start, kind, end`` of what the patterns find, sorted."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(start, 0, end) for start, end in emails(text)]
     out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = _digits(m[0])
@@ -74,6 +90,7 @@ class Graph:
 
     def __init__(self) -> None:
         self.masks: list[int] = []
+        self.first: list[int] = []  # the first node of each document
         self.fixed: list[int] = []  # label by the patterns, 0 for none
         self.spans: list[tuple[int, int]] = []
         self.chain: list[tuple[int, int]] = []
@@ -81,6 +98,7 @@ class Graph:
 
     def add(self, text: str, base: list[tuple[int, int, int]]) -> None:
         last_end, previous, alike, at = -1, 0, {}, 0
+        self.first.append(len(self.masks))
         for m in MARKS.finditer(text):
             if m.start() < last_end:
                 continue
@@ -94,7 +112,10 @@ class Graph:
             self.masks.append(features(raw, core, previous if beside else 0))
             while at < len(base) and base[at][2] <= begin:
                 at += 1
-            over = [kind for s, kind, e in base[at : at + 8] if s < begin + len(core) and e > begin]
+            over, k = [], at
+            while k < len(base) and base[k][0] < begin + len(core):
+                over += [base[k][1]] if base[k][2] > begin else []
+                k += 1
             self.fixed.append(min(over) + 1 if over else 0)
             self.spans.append((begin, begin + len(core)))
             if beside:
@@ -138,6 +159,14 @@ def features(raw: str, core: str, previous: int) -> int:
     return sum(1 << k for k, true in enumerate(tests) if true)
 
 
+def is_open(mask: int, fixed: int) -> bool:
+    """Whether nothing is known of a word: the patterns took it for nothing, though by itself it
+    is an address, a card with a right check digit, four small numbers, or a number after a
+    plus sign."""
+    number = mask >> 9 & 1 and mask & 0b101100
+    return not fixed and bool(mask & 0b10000110 or number)
+
+
 def _table(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(N_FEATURES) & 1).astype(float)
 
@@ -171,9 +200,15 @@ class Model:
         return np.clip(np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0))), -3, 3)
 
     def posteriors(self, graph: Graph) -> np.ndarray:
-        """Loopy belief propagation, with damping, over all nodes at once."""
+        """Loopy belief propagation, with damping, over all nodes at once.
+
+        A document's messages stop when its own hardly change, so what it gets does not depend
+        on the documents beside it."""
         masks, fixed = np.array(graph.masks, dtype=np.int64), np.array(graph.fixed, dtype=np.int64)
-        own = _table(masks) @ self.weights
+        words = _table(masks)
+        own = np.zeros((len(masks), LABELS))
+        for k in range(N_FEATURES):
+            own += words[:, k, None] * self.weights[k]
         own[np.arange(len(own)), fixed] += np.where(fixed > 0, 30.0, 0.0)
         a, b, pair = [], [], []
         for edges, table in ((graph.chain, self.pairs[0]), (graph.skip, self.pairs[1])):
@@ -185,16 +220,20 @@ class Model:
         if a:
             source, to, tables = np.array(a), np.array(b), np.array(pair)
             back = np.arange(len(a)) ^ 1
+            doc = np.searchsorted(np.array(graph.first), source, side="right")
             message = np.zeros((len(a), LABELS))
+            live = np.arange(len(a))
             for _ in range(ROUNDS):
-                before = belief[source] - message[back]
-                new = np.logaddexp.reduce(before[:, :, None] + tables, axis=1)
+                before = belief[source[live]] - message[back[live]]
+                new = np.logaddexp.reduce(before[:, :, None] + tables[live], axis=1)
                 new -= np.logaddexp.reduce(new, axis=1)[:, None]
-                change = float(np.abs(new - message).max())
-                message = 0.5 * message + 0.5 * new
+                change = np.zeros(len(graph.first) + 1)
+                np.maximum.at(change, doc[live], np.abs(new - message[live]).max(axis=1))
+                message[live] = 0.5 * message[live] + 0.5 * new
                 belief = own.copy()
                 np.add.at(belief, to, message)
-                if change < 1e-3:
+                live = live[change[doc[live]] >= 1e-3]
+                if not len(live):
                     break
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None])
 
@@ -236,7 +275,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     A null text is empty and has none.  Equal rows get equal results; an empty table gives an
     empty result; columns other than ``doc_id`` and ``text`` are not looked at.  Only texts
     with a digit or ``@`` leave the JVM.  The weights come from counts over all documents, of
-    which the driver gets one number for each set of features and label that occurs.
+    which the driver gets one number for each set of features and label that occurs; words that
+    are entities by themselves, but that the patterns joined to others and rejected, are not
+    counted, so the field is not fitted to what the patterns miss.
     """
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike("[0-9@]"), text).alias("text"))
@@ -247,9 +288,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 graph, text = Graph(), text.as_py()
                 graph.add(text, base_spans(text))
-                counts.update(("word", m, f) for m, f in zip(graph.masks, graph.fixed, strict=True))
+                unknown = [is_open(m, f) for m, f in zip(graph.masks, graph.fixed, strict=True)]
+                known = zip(graph.masks, graph.fixed, unknown, strict=True)
+                counts.update(("word", m, f) for m, f, u in known if not u)
                 for what, edges in (("chain", graph.chain), ("skip", graph.skip)):
-                    counts.update((what, graph.fixed[i], graph.fixed[j]) for i, j in edges)
+                    pairs = [(i, j) for i, j in edges if not unknown[i] and not unknown[j]]
+                    counts.update((what, graph.fixed[i], graph.fixed[j]) for i, j in pairs)
         what, a, b = zip(*counts, strict=True) if counts else ((), (), ())
         arrays = [pa.array(what, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts.values(), pa.int64())], names=["what", "a", "b", "n"])
