@@ -1,15 +1,16 @@
 """Exact duplicates by Patricia tries over length-and-hash partitions.
 
-Every input partition first merges its own copies in tries, so a text with a third of all rows
-leaves each task once.  The distinct texts that remain are dealt out by length and content
-hash, and their full bytes are inserted into compressed radix tries, whose terminal nodes hold
-the row to keep.  Documents then look up the verdict of the text they were merged into.
+Every input partition first merges its own copies, so a text with a third of all rows leaves
+each task once.  The distinct texts that remain are dealt to partitions by length and content
+hash; each partition inserts the full bytes of all its texts into one compressed radix trie,
+whose terminal nodes hold the row to keep, and spills subtrees where memory ends.  A text that
+very many tasks have is merged in a salted round before.  Documents then look up the verdict of
+the text they were merged into.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import tempfile
 from array import array
@@ -55,23 +56,20 @@ class Spill:
     """Entries of one subtree, kept in a file of the task until the rest is done."""
 
     def __init__(self) -> None:
-        handle, self.path = tempfile.mkstemp(prefix="trie-")
-        self.file = os.fdopen(handle, "wb")
+        # It has no name, so it is gone with its task, however that ends.
+        self.file = tempfile.TemporaryFile(prefix="trie-")
 
     def add(self, rest: bytes, payload: Any) -> None:
         pickle.dump((rest, payload), self.file)
 
     def entries(self) -> Iterator[tuple[bytes, Any]]:
-        self.file.close()
-        try:
-            with open(self.path, "rb") as file:
-                while True:
-                    try:
-                        yield pickle.load(file)
-                    except EOFError:
-                        break
-        finally:
-            os.unlink(self.path)
+        self.file.seek(0)
+        with self.file:
+            while True:
+                try:
+                    yield pickle.load(self.file)
+                except EOFError:
+                    break
 
 
 class OwnerTrie:
@@ -141,6 +139,11 @@ class OwnerTrie:
                 yield path, node.payload
 
 
+    def forks(self) -> int:
+        """How many nodes branch, of those in memory."""
+        return sum(len(node.branches) > 1 for _, node in _below(self.root))
+
+
 def _below(top: Node) -> Iterator[tuple[bytes, Node]]:
     """The node and all below it, each with its path from ``top``."""
     stack = [(b"", top)]
@@ -155,6 +158,11 @@ LOCAL = (
     "length long, hash long, text binary, n long, best_id long, best_row long"
 )
 VERDICT = "owner long, keep_id long, keep_row long, group_size long"
+FOLDED = "owner long, into long, length long, hash long, text binary, n long, best_id long, best_row long"
+#: What a text is inserted with.
+TEXTS = ("owner", "text", "n", "best_id", "best_row")
+#: Tasks that may send the same text to one partition, without a round before.
+MANY = 64
 KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -174,6 +182,7 @@ def owners(
     fold_case: bool = True,
     hash_bits: int = 64,
     memory: int = 64 << 20,
+    many: int = MANY,
 ) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -182,7 +191,8 @@ def owners(
     empty text.  Documents without id come after all others; of rows with the same id the
     first one stays, so every group keeps exactly one row.  An empty table gives an empty
     result.  Columns other than ``doc_id`` and ``text`` are not looked at.  ``hash_bits``
-    shortens the content hash, which changes no result; ``memory`` bounds a task's tries.
+    shortens the content hash, which changes no result; ``memory`` bounds a task's tries, and
+    ``many`` how often a text comes to one partition without a salted round before.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
@@ -233,33 +243,52 @@ def owners(
             yield _batch(light, local_schema)
         yield from flush()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merge(a: tuple, b: tuple) -> tuple:
-            return a[0] + b[0], first(a[1], b[1]), a[2] + b[2]
+    def together(a: tuple, b: tuple) -> tuple:
+        a[0].extend(b[0])
+        return a[0], first(a[1], b[1]), a[2] + b[2]
 
-        def verdicts(trie: OwnerTrie) -> Iterator[tuple]:
-            for _, (members, best, n) in trie.items():
-                yield from ((owner, *best, n) for owner in members)
-
-        trie, current, out = OwnerTrie(merge, memory), None, []
+    def inserted(batches: Iterator[pa.RecordBatch]) -> OwnerTrie:
+        """One trie of all texts of a partition, with the owners of each."""
+        trie = OwnerTrie(together, memory)
         for batch in batches:
-            for owner, length, short, data, n, best_id, best_row in zip(*batch.to_pydict().values(), strict=True):
-                if (length, short) != current:
-                    out.extend(verdicts(trie))
-                    trie, current = OwnerTrie(merge, memory), (length, short)
+            columns = (batch.column(k).to_pylist() for k in map(batch.schema.get_field_index, TEXTS))
+            for owner, data, n, best_id, best_row in zip(*columns, strict=True):
                 trie.insert(data, (array("q", [owner]), (best_id, best_row), n))
-            yield _batch(out, verdict_schema)
-            out = []
-        yield _batch([*out, *verdicts(trie)], verdict_schema)
+        return trie
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, (members, best, n) in inserted(batches).items():
+            out += [(owner, *best, n) for owner in members]
+            if len(out) > 10_000:
+                yield _batch(out, verdict_schema)
+                out = []
+        yield _batch(out, verdict_schema)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first owner with the text, and the other owners that go with it."""
+        schema = _schema(FOLDED)
+        for data, (members, best, n) in inserted(batches).items():
+            rows = [(owner, members[0], *[None] * 6) for owner in members[1:]]
+            yield _batch([(members[0], None, len(data), short_hash(hashlib.sha256(data).digest()), data, n, *best), *rows], schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     parts = settle(rows.mapInArrow(local, LOCAL), "exact-dedup")
     # One row for each distinct text of an input partition.
-    texts = parts.where(F.col("n").isNotNull()).select("owner", "length", "hash", "text", "n", "best_id", "best_row")
-    dealt = texts.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    verdict = dealt.mapInArrow(merged, VERDICT)
+    place = ["length", "hash"]
+    texts = parts.where(F.col("n").isNotNull()).select(*place, *TEXTS)
+    counts = texts.groupBy(*place).agg(F.count(F.lit(1)).alias("_tasks"))
+    frequent = settle(counts.where(F.col("_tasks") > many), "exact-dedup-frequent")
+    salt = F.pmod(F.xxhash64("owner"), F.ceil(F.col("_tasks") / many))
+    salted = texts.join(frequent, place).withColumn("_salt", salt).repartition(*place, "_salt")
+    round_one = settle(salted.select(*place, *TEXTS).mapInArrow(folded, FOLDED), "exact-dedup-folded")
+    whole = texts.join(frequent, place, "left_anti")
+    whole = whole.unionByName(round_one.where(F.col("into").isNull()).select(*place, *TEXTS))
+    verdict = settle(whole.repartition(*place).mapInArrow(merged, VERDICT), "exact-dedup-verdicts")
+    others = round_one.where(F.col("into").isNotNull()).select("owner", "into")
+    of_others = others.join(verdict.withColumnRenamed("owner", "into"), "into").select(verdict.columns)
     members = parts.where(F.col("row").isNotNull()).select("owner", "row", "doc_id", "text_sha256")
-    return members.join(verdict, "owner").select(
+    return members.join(verdict.unionByName(of_others), "owner").select(
         "doc_id",
         "keep_id",
         "group_size",
