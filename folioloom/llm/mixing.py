@@ -2,8 +2,8 @@
 
 Each source has a budget of words.  Whole rounds of the source come first; the rest of the
 budget is fitted on counts of documents by exact length: an even share of every length, then
-a bounded knapsack over what is left; where that misses the budget, a knapsack over all of it
-finds the nearest sum on either side.  Which documents of a length are taken is a matter of a
+a bounded knapsack over what is left; where that misses the budget, and a nearer sum is not
+ruled out, documents around the fit are exchanged for the nearest sum on either side.  Which documents of a length are taken is a matter of a
 seeded hash, numbered without ever holding a source or a length in one task.
 """
 
@@ -21,8 +21,8 @@ from folioloom.llm.common import WORD, ranked, settle, whole_text
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
-#: Words that the first knapsack fits; budgets above are first brought down to it.
-KNAPSACK_WORDS = 20_000
+#: Longest documents whose words bound what is exchanged for a nearer sum.
+WINDOW = 64
 
 
 def fill(lengths: list[int], available: list[int], budget: int) -> list[int]:
@@ -53,23 +53,26 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, times: int =
     An even share of every length first; where few documents leave that far from the budget,
     the longest first; where that is far from it too, documents up to ``times`` times."""
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
-    if budget <= 0 or not total:
+    budget = min(budget, total)
+    if budget <= 0:
         return [0] * len(lengths)
     longest_first = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+    # What the knapsack fits: longest documents leave less than this where there are enough.
+    window = 2 * max(lengths)
 
     def completed(taken: list[int]) -> tuple[int, list[int]]:
         left, moved = budget - sum(a * b for a, b in zip(lengths, taken, strict=True)), True
-        while moved and left > KNAPSACK_WORDS:
+        while moved and left > window:
             moved = False
             for k in longest_first:
-                if left > KNAPSACK_WORDS and taken[k] < counts[k] and 0 < lengths[k] <= left:
+                if left > window and taken[k] < counts[k] and 0 < lengths[k] <= left:
                     taken[k], left, moved = taken[k] + 1, left - lengths[k], True
-        rest = fill(lengths, [b - a for a, b in zip(taken, counts, strict=True)], min(left, KNAPSACK_WORDS))
+        rest = fill(lengths, [b - a for a, b in zip(taken, counts, strict=True)], min(left, window))
         taken = [a + b for a, b in zip(taken, rest, strict=True)]
         return left - sum(a * b for a, b in zip(lengths, rest, strict=True)), taken
 
     none = [0] * len(lengths)
-    left, taken = completed([n * budget // total for n in counts] if budget > KNAPSACK_WORDS else none)
+    left, taken = completed([n * budget // total for n in counts] if budget > window else none)
     if left > budget // 1000:
         left, taken = min((left, taken), completed(none[:]))
     if left > budget // 1000 and times > 1:
@@ -114,6 +117,38 @@ def nearest(lengths: list[int], available: list[int], budget: int) -> list[int]:
     return taken
 
 
+def least_off(lengths: list[int], available: list[int], budget: int) -> int:
+    """No sum of the documents can be nearer to the budget: by the greatest common divisor of
+    their lengths, and by all of them together."""
+    used = [length for length, n in zip(lengths, available, strict=True) if length and n]
+    unit = math.gcd(*used) if used else 1
+    total = sum(a * b for a, b in zip(lengths, available, strict=True))
+    return max(budget - total, min(budget % unit, -budget % unit))
+
+
+def exchanged(lengths: list[int], available: list[int], budget: int) -> list[int]:
+    """A sum near to the budget, from documents around a quick fit.
+
+    Some documents of every length are set aside, the others are fitted to the budget less half
+    of what these hold, and the rest of the budget is made up of these as exactly as they can.
+    Where a nearer sum is not ruled out, more are set aside, up to the words of ``WINDOW``
+    longest documents; a source that holds no more than that is fitted as nearly as can be."""
+    bound, held = least_off(lengths, available, budget), 8 * max(lengths)
+    total = sum(a * b for a, b in zip(lengths, available, strict=True))
+    while True:
+        share = held // max(1, len(lengths))
+        aside = [min(n, -(-share // length)) if length else 0 for length, n in zip(lengths, available, strict=True)]
+        rest = [n - some for n, some in zip(available, aside, strict=True)]
+        half = sum(a * b for a, b in zip(lengths, aside, strict=True)) // 2
+        taken = fit_budget(lengths, rest, max(0, budget - half))
+        left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
+        more = nearest(lengths, aside, left) if left > 0 else [0] * len(lengths)
+        taken = [a + b for a, b in zip(taken, more, strict=True)]
+        if abs(budget - sum(a * b for a, b in zip(lengths, taken, strict=True))) == bound or held >= min(total, WINDOW * max(lengths)):
+            return taken
+        held *= 8
+
+
 def fit_nearest(lengths: list[int], counts: list[int], budget: int, times: int = 1) -> list[int]:
     """As ``fit_budget``, but where that leaves words, the nearest sum below or above: of
     documents taken once, or if it is far from the budget, up to ``times`` times."""
@@ -127,8 +162,8 @@ def fit_nearest(lengths: list[int], counts: list[int], budget: int, times: int =
     for most in sorted({1, times}):
         available = [n * most for n in counts]
         taken = fit_budget(lengths, available, budget)
-        if off(taken):
-            taken = nearest(lengths, available, budget)
+        if off(taken) > least_off(lengths, available, budget):
+            taken = exchanged(lengths, available, budget)
         best = min(best, taken, key=off)
         if off(best) <= budget // 1000:
             break
@@ -172,7 +207,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, carried: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row per document: ``doc_id, size, source_size, target, taken, source, copies``.
 
     ``size`` is the number of words, 0 for a null text; ``copies`` is how often the mix takes
     the document, at most 3, and ``taken = size * copies``.  A null source is a source.
@@ -211,5 +246,5 @@ def mix(
     copies = F.when(F.col("size") > 0, F.col("_rounds") + extra).otherwise(0).cast("long")
     mixed = placed.join(takes, ["source_no", "size"]).withColumn("copies", copies)
     return mixed.select(
-        *carried, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        *carried, "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
     )
