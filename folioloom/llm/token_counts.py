@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import in_worker, whole_text
+from folioloom.llm.common import in_worker, settle, whole_text
 from folioloom.session import work_folder
 
 CACHE = "version string, digest binary, n_tokens long"
@@ -78,11 +78,15 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, cache: str | No
             arrays = [pa.array([version] * len(texts), pa.string()), batch.column(0), pa.array(n_tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    keyed = docs.select("doc_id", whole_text().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored_counts(spark, cache, version), "digest", "left_anti")
-    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    answered = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(
-        stored_counts(spark, cache, version), "digest"
-    )
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keyed = settle(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-digests")
+    # Digests are asked for first; only texts that have no count yet leave their task.
+    stored = settle(stored_counts(spark, cache, version), "token-counts")
+    misses = settle(keyed.select("digest").distinct().join(stored, "digest", "left_anti"), "token-misses")
+    if not misses.isEmpty():
+        missed = texts.select("digest", "text").join(misses, "digest", "left_semi")
+        missed.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+        # A join on an aggregate's own shuffle couldn't split a digest that many documents have.
+        stored = settle(stored_counts(spark, cache, version), "token-counts")
+    answered = keyed.join(stored, "digest")
     return answered.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
