@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioloom.llm.common import settle
+
 #: What a dated list entry may do.
 BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 
@@ -22,27 +24,42 @@ def host_chain(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 2, F.lit(0))), cut)
 
 
-def validity(entries: DataFrame) -> DataFrame:
-    """``entry, action, valid_from, valid_to``: from each change of an entry to the next one.
+def changes_of(entries: DataFrame) -> DataFrame:
+    """``entry, at, action``: one change of an entry at a time.
 
     ``entries`` has ``entry, action, at, seq``; of changes at one time the one of the highest
-    ``seq`` counts.  Changes of one entry are numbered by days, so an entry that holds a
-    third of all changes is not sorted by one task.  Removals end an interval and start none.
+    ``seq`` counts.
     """
-    changes = (
-        entries.where(F.col("entry").isNotNull() & F.col("at").isNotNull() & F.col("action").isin(BLOCK, ALLOW, REMOVE))
-        .groupBy("entry", "at")
-        .agg(F.max(F.struct("seq", "action"))["action"].alias("action"))
-        .withColumn("_day", F.to_date("at"))
-    )
-    in_day = Window.partitionBy("entry", "_day").orderBy("at")
-    firsts = changes.groupBy("entry", "_day").agg(F.min("at").alias("_first"))
-    by_day = Window.partitionBy("entry").orderBy("_day")
-    following = firsts.select("entry", "_day", F.lead("_first").over(by_day).alias("_next"))
-    dated = changes.withColumn("_lead", F.lead("at").over(in_day)).join(following, ["entry", "_day"])
-    return dated.where(F.col("action") != REMOVE).select(
-        "entry", "action", F.col("at").alias("valid_from"), F.coalesce("_lead", "_next").alias("valid_to")
-    )
+    known = F.col("entry").isNotNull() & F.col("at").isNotNull() & F.col("action").isin(BLOCK, ALLOW, REMOVE)
+    return entries.where(known).groupBy("entry", "at").agg(F.max(F.struct("seq", "action"))["action"].alias("action"))
+
+
+def active_entries(keys: DataFrame, changes: DataFrame) -> DataFrame:
+    """``_row, entry, action, since`` for every ``_row, _key, _at`` whose key is listed then.
+
+    An as-of join: a change opens an interval that holds its start and ends with the next change
+    of the entry, and the last change up to a capture's time is that of the interval it lies in.
+    Changes and captures of an entry are read together in the order of time, a change before
+    captures of its moment.  Cells of a minute are read apart, and what a cell leaves is carried
+    on to later ones by one row for each cell, so neither an entry with a third of all captures
+    nor a long list history is in one task, and rows do not grow with the time that is covered.
+    """
+    # Only changes have these fields, so what is carried on is never a capture.
+    change = F.struct("at", "action").alias("_change")
+    listed = changes.select("entry", F.col("at").alias("_time"), change, F.lit(None).cast("long").alias("_row"))
+    none = F.lit(None).cast(listed.schema["_change"].dataType)
+    asked = keys.select(F.col("_key").alias("entry"), F.col("_at").alias("_time"), none.alias("_change"), "_row")
+    rows = listed.unionByName(asked).withColumn("_cell", F.date_trunc("minute", "_time"))
+    inside = Window.partitionBy("entry", "_cell").orderBy("_time", F.col("_row").asc_nulls_first())
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    read = rows.withColumn("_here", F.last("_change", ignorenulls=True).over(inside))
+    left = rows.groupBy("entry", "_cell").agg(F.max("_change").alias("_left"))
+    before = Window.partitionBy("entry").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("entry", "_cell", F.last("_left", ignorenulls=True).over(before).alias("_before"))
+    found = read.where(F.col("_row").isNotNull()).join(carried, ["entry", "_cell"])
+    last = F.coalesce("_here", "_before")
+    held = found.select("_row", "entry", last["action"].alias("action"), last["at"].alias("since"))
+    return held.where(F.col("action") != REMOVE)
 
 
 def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -53,39 +70,29 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     stays, where none is.  An interval holds its start, not its end.  Captures without URL,
     host or time match nothing and stay.  Repeated captures each get their row; either table
     may be empty; other columns are not looked at.
-
-    Intervals are dealt to the days they cover up to the last capture, and captures join them
-    on entry and day: an equi-join whose skewed partitions Spark splits.
     """
-    pages = captures.select(
-        F.monotonically_increasing_id().alias("_row"), "page_id", "url", host_of(F.col("url")).alias("host"), "fetched_at"
-    )
-    named = pages.withColumn("_key", F.explode_outer(host_chain(F.col("host"))))
-    named = named.withColumn("_day", F.to_date("fetched_at"))
-    span = captures.select(F.to_date(F.min("fetched_at")).alias("_least"), F.to_date(F.max("fetched_at")).alias("_most"))
-    last = F.coalesce(F.to_date("valid_to"), F.col("_most"))
-    begin, end = F.greatest(F.to_date("valid_from"), F.col("_least")), F.least(last, F.col("_most"))
-    active = (
-        validity(entries)
-        .join(F.broadcast(span))
-        .where(begin <= end)
-        .select("entry", "action", "valid_from", "valid_to", F.explode(F.sequence(begin, end)).alias("_on"))
-    )
-    holds = (F.col("valid_from") <= F.col("fetched_at")) & (
-        F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))
-    )
-    matched = named.join(active, (F.col("_key") == F.col("entry")) & (F.col("_day") == F.col("_on")) & holds, "left")
-    hit = F.when(
-        F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), "entry", "action", F.col("valid_from"))
+    # Numbered once: the numbers are used on both sides of a join.
+    pages = settle(
+        captures.select(
+            F.monotonically_increasing_id().alias("_row"), "page_id", "url", host_of(F.col("url")).alias("host"), "fetched_at"
+        ),
+        "captures",
     )
-    decided = matched.groupBy("_row", "page_id", "url", "host", "fetched_at").agg(F.max(hit).alias("_hit"))
-    return decided.select(
+    timed = pages.where(F.col("host").isNotNull() & F.col("fetched_at").isNotNull())
+    keys = timed.select("_row", F.explode(host_chain(F.col("host"))).alias("_key"), F.col("fetched_at").alias("_at"))
+    changes = settle(changes_of(entries), "list-changes")
+    # Most hosts are on no list; their keys go no further.
+    keys = keys.join(changes.select(F.col("entry").alias("_key")).distinct(), "_key", "left_semi")
+    held = active_entries(keys, changes)
+    hit = F.struct(F.length("entry").alias("n"), "entry", "action", "since")
+    decided = held.groupBy("_row").agg(F.max(hit).alias("_hit"))
+    return pages.join(decided, "_row", "left").select(
         "page_id",
         "url",
         "host",
         "fetched_at",
         F.col("_hit.entry").alias("entry"),
         F.col("_hit.action").alias("action"),
-        F.col("_hit.valid_from").alias("listed_at"),
+        F.col("_hit.since").alias("listed_at"),
         F.coalesce(F.col("_hit.action") != BLOCK, F.lit(True)).alias("kept"),
     )
