@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioloom.llm.common import settle, whole_text
 from folioloom.llm.components import components
@@ -34,8 +35,6 @@ DEPTH = 5
 WIDTH = 2
 #: A part with this share of the bucket that it is split from isn't split again.
 ALIKE = 0.5
-#: Sketches may fall this far below the threshold: more than four standard deviations.
-MARGIN = 0.22
 #: Sets of a block of the exact comparison.
 BLOCK = 512
 
@@ -67,7 +66,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-SETS = "doc_id long, sha binary, key binary, signature array<int>, sketch binary"
+SETS = "doc_id {kind}, sha binary, key binary, signature array<int>, sketch binary"
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
@@ -87,8 +86,11 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
             arrays.append(pa.array(sketches, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "sha", "key", "signature", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(sign, SETS)
+    # Ids may be of any type that has an order.
+    kind = docs.schema["doc_id"].dataType
+    kind = T.LongType() if isinstance(kind, T.NumericType) else kind
+    rows = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), whole_text().alias("text"))
+    return rows.withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(sign, SETS.format(kind=kind.simpleString()))
 
 
 def _roots(alike: np.ndarray) -> np.ndarray:
@@ -107,6 +109,24 @@ def _roots(alike: np.ndarray) -> np.ndarray:
     return label
 
 
+def runs_and_tokens(threshold: float, recall: float) -> tuple[int, int]:
+    """How many runs there are, and how many equal tokens make two sketches alike.
+
+    Half of what ``recall`` lets a pair at the threshold be missed with goes to the sketch, whose
+    tokens are equal with that probability each, and half to the runs: a pair stays together
+    through the first split, and through each of the further ones unless all of its tokens differ.
+    """
+    missed = (1 - recall) / 2
+    below, least = 0.0, 0
+    while least < TOKENS:
+        below += math.comb(TOKENS, least) * threshold**least * (1 - threshold) ** (TOKENS - least)
+        if below > missed:
+            break
+        least += 1
+    together = threshold * (1 - (1 - threshold) ** WIDTH) ** (DEPTH - 1)
+    return min(TOKENS, math.ceil(math.log(missed) / math.log(1 - together))), least
+
+
 def candidate_stars(sets: DataFrame, threshold: float, recall: float, small_bucket: int = SMALL) -> DataFrame:
     """Edges ``a, b`` between keys, so that sets of the threshold's similarity are connected.
 
@@ -115,9 +135,7 @@ def candidate_stars(sets: DataFrame, threshold: float, recall: float, small_buck
     further tokens; a part that still holds most of it is a group of much alike sets, which a
     star of all of them covers without comparing pairs.
     """
-    survives = threshold * (1 - (1 - threshold) ** WIDTH)
-    runs = min(TOKENS, math.ceil(math.log(1 - recall) / math.log(1 - survives)))
-    least = (threshold - MARGIN) * TOKENS
+    runs, least = runs_and_tokens(threshold, recall)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stars(keys: list[bytes], sketches: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -266,12 +284,13 @@ def linked_sets(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def join_near(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999999, small_bucket: int = SMALL
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99995, small_bucket: int = SMALL
 ) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_copies, n_links``.
 
     Two documents are linked where the Jaccard similarity of their sets of word n-grams is at
-    least ``threshold``.  ``class_id`` is the smallest id of the connected documents,
+    least ``threshold``; a pair at the threshold is a candidate with a probability of at least
+    ``recall``, and much alike pairs nearly always.  ``class_id`` is the smallest id of the connected documents,
     ``n_copies`` counts the documents of the very same set, ``n_links`` all other documents
     linked to this one, copies included.  Words are runs of characters other than ASCII white
     space; a text of fewer than n words has one shingle, of all its words.  A null text, or
