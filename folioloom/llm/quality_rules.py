@@ -125,8 +125,13 @@ def passes(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+#: The measures that ``base_failed`` and its contract name.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: ``doc_id``, the measures, ``base_failed`` and ``kept``.
+    """One row per document: ``doc_id``, the base measures, ``base_failed``, ``kept``, and the
+    measures of the other rules.
 
     Words are runs of characters other than ASCII white space.  ``base_failed``: fewer than
     50 words, or more than half of the words in repeated windows of three.  A null or empty
@@ -134,7 +139,9 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     empty result; columns other than ``doc_id`` and ``text`` are not looked at.
     """
     judgement = measured(docs, "doc_id").withColumn("base_failed", base_failed())
-    return judgement.withColumn("kept", ~F.col("base_failed") & passes(rules))
+    judgement = judgement.withColumn("kept", ~F.col("base_failed") & passes(rules))
+    first = ["doc_id", *BASE, "base_failed", "kept"]
+    return judgement.select(*first, *[c for c in judgement.columns if c not in first])
 
 
 def base_failed() -> Column:
