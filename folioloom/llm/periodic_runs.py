@@ -256,8 +256,8 @@ def find_runs(docs: DataFrame, times: int = TIMES, least: int = LEAST) -> DataFr
     at a time; a longer text by itself.  Time grows with the words, nearly: a text's places
     are merged from smaller lists into larger ones.
     """
-    if times < 3 or least < times:
-        raise ValueError("a run holds its period three times, and that many words, at least")
+    if times < 4 or least < 5:
+        raise ValueError("a run holds its period four times, and five words, at least")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

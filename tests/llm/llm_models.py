@@ -1,9 +1,13 @@
 """Brute-force versions of what the operators compute."""
 
 import hashlib
+import itertools
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = (
@@ -105,3 +109,76 @@ def targets(sizes, most=3):
             left -= out[s]
             open_.discard(s)
     return out
+
+
+def runs(words, times=4, least=6):
+    """Start, length and smallest period of every run."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        k = 0
+        while k + q < len(words):
+            start = k
+            while k + q < len(words) and words[k] == words[k + q]:
+                k += 1
+            if k - start + q >= max(least, times * q):
+                found.setdefault((start, k - start + q), q)
+            k += 1
+    return sorted(((a, n, q) for (a, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {k for start, length, period in found for k in range(start + period, start + length)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def planted(doc_id, words):
+    """The words of the document with its planted run, if it has one."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+
+
+def simhash(text):
+    words = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def near_prints(prints, most=2):
+    """The smallest id that each id reaches; ``prints`` maps ids to fingerprints."""
+    top = {i: i for i in prints}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(prints)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= most:
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return {i: find(i) for i in ids}
+
+
+def aligned(text, first, second):
+    """Ids of both tokenizers, groups, and linked pairs; all empty where bytes differ."""
+    if not text:
+        return [], [], [], []
+    a, b, data = first.encode([f" {text}"])[0], second.encode([text])[0], f" {text}".encode()
+    if any(b"".join(v.tokens[i] for i in ids) != data for v, ids in ((first, a), (second, b))):
+        return [], [], [], []
+    ends = [list(itertools.accumulate(len(v.tokens[i]) for i in ids)) for v, ids in ((first, a), (second, b))]
+    groups, links, at_a, at_b = [], [], 0, 0
+    for end in sorted(set(ends[0]) & set(ends[1])):
+        to_a, to_b = ends[0].index(end) + 1, ends[1].index(end) + 1
+        groups.append("|".join(",".join(map(str, ids)) for ids in (a[at_a:to_a], b[at_b:to_b])))
+        links.append((a[to_a - 1], b[to_b - 1]))
+        at_a, at_b = to_a, to_b
+    return a, b, groups, links
