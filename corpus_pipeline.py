@@ -21,9 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def row_key() -> Column:
-    """A row's key, from all its columns with their nulls: only the very same rows share one."""
+    """A row's key of 128 bits, from all its columns with their nulls: only the very same rows
+    share one."""
     parts = [part for c in COLUMNS for part in (F.col(c).isNull(), F.col(c))]
-    return F.xxhash64(*parts)
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(*halves))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
