@@ -45,7 +45,12 @@ DEFAULT_NAMING_RULE = (
     "**Quy tắc dịch tên**: Dịch tên nhân vật và địa danh theo phiên âm Hán-Việt "
     "(ví dụ: 陈平安 → Trần Bình An)."
 )
+NAMING_HEADING = "**Quy tắc dịch tên từ style '{name}':**"
 STATE_MARKER = "---STATE---"
+# Where a reply has its JSON: in a fenced block, from brace to brace, from bracket to bracket.
+FENCED_BLOCK = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+IN_BRACES = r"(?s)\{.*\}"
+IN_BRACKETS = r"(?s)\[.*\]"
 SCENE_BREAK = "---"
 SAMPLE_SEPARATOR = "\n\n---\n\n"
 

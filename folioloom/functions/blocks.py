@@ -73,7 +73,8 @@ def naming_rules(name: Column, guidelines: Column, limit: int = 5) -> Column:
 
     rules = F.slice(F.filter(guidelines, about_names), 1, limit)
     lines = F.array_join(F.transform(rules, lambda r: F.concat(F.lit("- "), r)), "\n")
-    heading = F.concat(F.lit("**Quy tắc dịch tên từ style '"), name, F.lit("':**\n"))
+    before, _, after = fixed.NAMING_HEADING.partition("{name}")
+    heading = F.concat(F.lit(before), name, F.lit(f"{after}\n"))
     return F.when(F.size(rules) > 0, F.concat(heading, lines)).otherwise(
         F.lit(fixed.DEFAULT_NAMING_RULE)
     )

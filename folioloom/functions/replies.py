@@ -11,10 +11,6 @@ from folioloom.functions.arrays import let
 from folioloom.functions.text import non_empty, strip
 from folioloom.schemas import ENTRY, NARRATIVE_STATE
 
-_FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
-_BRACES = r"(?s)\{.*\}"
-_BRACKETS = r"(?s)\[.*\]"
-
 
 def _valid_json(text: Column) -> Column:
     """The text where it is one JSON value and nothing else, else null.
@@ -35,8 +31,8 @@ def lenient_json(reply: Column) -> Column:
     """JSON text of a reply: the whole, else a fenced block, else first to last brace, else {}."""
     return F.coalesce(
         _valid_json(reply),
-        _valid_json(F.regexp_extract(reply, _FENCE, 1)),
-        _valid_json(F.regexp_extract(reply, _BRACES, 0)),
+        _valid_json(F.regexp_extract(reply, fixed.FENCED_BLOCK, 1)),
+        _valid_json(F.regexp_extract(reply, fixed.IN_BRACES, 0)),
         F.lit("{}"),
     )
 
@@ -47,7 +43,7 @@ def parse_entries(reply: Column, limit: int | None = None) -> Column:
     The limit cuts the list before its entries are checked, as it comes before any
     removal of duplicates.
     """
-    found = _valid_json(F.regexp_extract(reply, _BRACKETS, 0))
+    found = _valid_json(F.regexp_extract(reply, fixed.IN_BRACKETS, 0))
     items = F.from_json(found, T.ArrayType(T.StringType()))
     if limit is not None:
         items = F.slice(items, 1, limit)

@@ -49,7 +49,9 @@ def with_entries(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     entries = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order])))
     too_many = F.raise_error(F.lit(f"more than {SMALL_GLOSSARY} glossary rows: pass small=False"))
     entries = F.when(F.count(F.lit(1)) > SMALL_GLOSSARY, too_many).otherwise(entries)
-    return texts.withColumn("_entries", glossary.agg(entries.alias("entries")).scalar())
+    # One row more than allowed is enough to refuse it: no more is gathered.
+    few = glossary.limit(SMALL_GLOSSARY + 1)
+    return texts.withColumn("_entries", few.agg(entries.alias("entries")).scalar())
 
 
 def present(text: Column, entries: Column) -> Column:
