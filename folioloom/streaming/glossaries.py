@@ -18,6 +18,7 @@ from folioloom.streaming.tables import exists, read_batches, start, write_batch
 TERMS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("term", "target", "category", "notes")]
 )
+VERSIONS = T.StructType([T.StructField("version", T.LongType())])
 Extractor = Callable[[DataFrame], DataFrame]
 
 
@@ -40,10 +41,34 @@ def frequent_words(docs: DataFrame, limit: int = fixed.NEW_TERMS_PER_TEXT, short
     )
 
 
+#: Batches after which all terms so far are written together.
+FOLD = 16
+
+
 def known_terms(spark: SparkSession, path: str, base: DataFrame, before: int | None = None) -> DataFrame:
-    """Terms of the starting glossary and of all batches so far."""
+    """Terms of the starting glossary and of all batches so far.
+
+    Batches are folded every ``FOLD`` of them, so that however many there were, a batch reads one
+    table of terms and fewer than ``FOLD`` later ones.
+    """
+    fields = TERMS.fieldNames()
+    folded = -1 if before is None else before // FOLD * FOLD - 1
     grown = read_batches(spark, f"{path}/terms", TERMS, before)
-    return base.select(*TERMS.fieldNames()).unionByName(grown.select(*TERMS.fieldNames()))
+    rows = base.select(*fields)
+    if folded >= 0 and exists(spark, f"{path}/known/upto={folded}"):
+        rows = spark.read.schema(TERMS).parquet(f"{path}/known/upto={folded}").select(*fields)
+        grown = grown.filter(F.col("batch_id") > folded)
+    return rows.unionByName(grown.select(*fields))
+
+
+def fold_terms(spark: SparkSession, path: str, base: DataFrame, batch_id: int) -> None:
+    """Write the terms up to a batch together, if it is the last of ``FOLD``."""
+    if batch_id % FOLD == FOLD - 1:
+        known_terms(spark, path, base, before=batch_id + 1 - FOLD).unionByName(
+            read_batches(spark, f"{path}/terms", TERMS)
+            .filter(F.col("batch_id").between(batch_id + 1 - FOLD, batch_id))
+            .select(*TERMS.fieldNames())
+        ).write.mode("overwrite").parquet(f"{path}/known/upto={batch_id}")
 
 
 def version(spark: SparkSession, path: str, before: int | None = None) -> int:
@@ -52,6 +77,14 @@ def version(spark: SparkSession, path: str, before: int | None = None) -> int:
     return grown.select("batch_id").distinct().count()
 
 
+def next_version(spark: SparkSession, path: str, batch_id: int, added: bool) -> int:
+    """The version after a batch, from the one noted after the batch before it."""
+    noted = read_batches(spark, f"{path}/versions", VERSIONS).filter(F.col("batch_id") == batch_id - 1).first()
+    number = (noted["version"] if noted else version(spark, path, before=batch_id)) + int(added)
+    write_batch(spark.createDataFrame([(number,)], VERSIONS).coalesce(1), f"{path}/versions", batch_id)
+    return number
+
+
 def run_growth(
     docs: DataFrame,
     path: str,
@@ -74,12 +107,14 @@ def run_growth(
         known = known_terms(spark, path, base, before=batch_id)
         fresh = grow_glossary(batch, known, extract).select(*TERMS.fieldNames())
         write_batch(fresh, f"{path}/terms", batch_id)
+        fold_terms(spark, path, base, batch_id)
         if all_docs is None:
             return
-        current = version(spark, path)
+        added = not read_batches(spark, f"{path}/terms", TERMS).filter(F.col("batch_id") == batch_id).isEmpty()
+        current = next_version(spark, path, batch_id, added)
         if current - last_fit(spark, path) >= refresh:
             library = all_docs() if callable(all_docs) else all_docs
-            write_stats(known_terms(spark, path, base), library, path, current)
+            write_stats(known_terms(spark, path, base, before=batch_id + 1), library, path, current)
 
     return start(docs.writeStream.foreachBatch(save), checkpoint, seconds)
 

@@ -207,3 +207,25 @@ def test_tables_that_are_not_there(spark, tmp_path):
     assert not exists(spark, str(tmp_path / "no table"))
     write_batch(spark.createDataFrame([], glossaries.TERMS), str(tmp_path / "terms"), 0)
     assert exists(spark, str(tmp_path / "terms"))
+
+
+def test_terms_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(glossaries, "FOLD", 2)
+    source, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    base = spark.createDataFrame([("harbour", "x", "item", None)], glossaries.TERMS)
+    words = ["harbour lanterns", "lanterns mountain", "mountain", "rivers lanterns", "forests rivers"]
+    for i, text in enumerate(words):
+        spark.createDataFrame([(i, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    docs = spark.read.parquet(source)
+    stream = read_stream(spark, source, files_per_batch=1)
+    glossaries.run_growth(stream, out, str(tmp_path / "cp"), base, all_docs=docs, refresh=2).awaitTermination()
+    rows = read_batches(spark, f"{out}/terms", glossaries.TERMS)
+    terms_added = {r.term: r.batch_id for r in rows.collect()}
+    assert sorted(terms_added) == ["forests", "lanterns", "mountain", "rivers"] and rows.count() == 4
+    # A batch after a fold reads it and the batches after it, and finds the same terms.
+    assert exists(spark, f"{out}/known/upto=1") and exists(spark, f"{out}/known/upto=3")
+    for before in range(6):
+        known = sorted(r.term for r in glossaries.known_terms(spark, out, base, before).collect())
+        assert known == sorted(["harbour", *(t for t, b in terms_added.items() if b < before)])
+    noted = read_batches(spark, f"{out}/versions", glossaries.VERSIONS).collect()
+    assert {r.batch_id: r.version for r in noted} == {k: len({b for b in terms_added.values() if b <= k}) for k in range(5)}
