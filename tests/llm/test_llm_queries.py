@@ -59,3 +59,23 @@ def test_mix_of_rows_with_no_or_equal_ids(spark):
     # One source: its target is its size, every row once.
     mixed = corpus_pipeline.mixing(spark, documents(spark, rows), DATA).collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in mixed))) == sorted(str(r[:2]) for r in rows)
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    for name, rows in (("empty", []), ("nulls", [(None, None, None)] * 2)):
+        docs = documents(spark, []) if not rows else spark.createDataFrame([(None,) * 5] * 2, documents(spark, []).schema)
+        for column in ("copies", "_row", "size", "key", "n", "copy", "class_id", "_text"):
+            docs = docs.selectExpr("*", f"'x' AS `{column}`")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{k}")
+            stage(spark, docs, DATA).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.count() == 0, (name, k)  # rows without words fail the quality rules
+            if k < 4:
+                assert docs.columns == corpus_pipeline.COLUMNS
+    text = " ".join(f"w{k}" for k in range(80))
+    extra = documents(spark, [(1, text, "s"), (2, text, "s")]).selectExpr("*", "'x' AS copies", "'y' AS _row", "0 AS size")
+    kept = corpus_pipeline.jaccard_join(spark, extra, DATA)
+    assert kept.columns == corpus_pipeline.COLUMNS and [r.doc_id for r in kept.collect()] == [1]
+    mixed = corpus_pipeline.mixing(spark, extra, DATA)
+    assert mixed.columns == corpus_pipeline.COLUMNS and mixed.count() == 2
