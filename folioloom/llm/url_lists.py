@@ -40,9 +40,10 @@ def active_entries(keys: DataFrame, changes: DataFrame) -> DataFrame:
     An as-of join: a change opens an interval that holds its start and ends with the next change
     of the entry, and the last change up to a capture's time is that of the interval it lies in.
     Changes and captures of an entry are read together in the order of time, a change before
-    captures of its moment.  Cells of a minute are read apart, and what a cell leaves is carried
-    on to later ones by one row for each cell, so neither an entry with a third of all captures
-    nor a long list history is in one task, and rows do not grow with the time that is covered.
+    captures of its moment.  Cells of a minute are read apart; what a cell leaves is carried on to
+    later ones of its day, and what a day leaves to later days, by one row for each cell and day
+    that has any.  So neither an entry with a third of all captures nor a long list history is in
+    one task, and rows do not grow with the time that is covered.
     """
     # Only changes have these fields, so what is carried on is never a capture.
     change = F.struct("at", "action").alias("_change")
@@ -53,9 +54,15 @@ def active_entries(keys: DataFrame, changes: DataFrame) -> DataFrame:
     inside = Window.partitionBy("entry", "_cell").orderBy("_time", F.col("_row").asc_nulls_first())
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     read = rows.withColumn("_here", F.last("_change", ignorenulls=True).over(inside))
-    left = rows.groupBy("entry", "_cell").agg(F.max("_change").alias("_left"))
-    before = Window.partitionBy("entry").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = left.select("entry", "_cell", F.last("_left", ignorenulls=True).over(before).alias("_before"))
+    day = F.to_date("_cell").alias("_day")
+    left = rows.groupBy("entry", day, "_cell").agg(F.max("_change").alias("_left"))
+    earlier = Window.unboundedPreceding, -1
+    by_cell = Window.partitionBy("entry", "_day").orderBy("_cell").rowsBetween(*earlier)
+    by_day = Window.partitionBy("entry").orderBy("_day").rowsBetween(*earlier)
+    days = left.groupBy("entry", "_day").agg(F.max("_left").alias("_left"))
+    days = days.select("entry", "_day", F.last("_left", ignorenulls=True).over(by_day).alias("_earlier"))
+    cells = left.withColumn("_today", F.last("_left", ignorenulls=True).over(by_cell)).join(days, ["entry", "_day"])
+    carried = cells.select("entry", "_cell", F.coalesce("_today", "_earlier").alias("_before"))
     found = read.where(F.col("_row").isNotNull()).join(carried, ["entry", "_cell"])
     last = F.coalesce("_here", "_before")
     held = found.select("_row", "entry", last["action"].alias("action"), last["at"].alias("since"))
