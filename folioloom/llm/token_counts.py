@@ -80,12 +80,16 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, cache: str | No
 
     texts = docs.select("doc_id", whole_text().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keyed = settle(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-digests")
-    # Digests are asked for first; only texts that have no count yet leave their task.
+    # Digests are asked for first; only texts that have no count yet are encoded.  Of the documents
+    # with such a text one stands for it, so that a text of very many documents is no hot key.
     stored = settle(stored_counts(spark, cache, version), "token-counts")
-    misses = settle(keyed.select("digest").distinct().join(stored, "digest", "left_anti"), "token-misses")
+    ones = keyed.groupBy("digest").agg(F.min("doc_id").alias("one"))
+    misses = settle(ones.join(stored, "digest", "left_anti").withColumnRenamed("digest", "missed"), "token-misses")
     if not misses.isEmpty():
-        missed = texts.select("digest", "text").join(misses, "digest", "left_semi")
-        missed.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+        stands = (F.col("digest") == F.col("missed")) & F.col("doc_id").eqNullSafe(F.col("one"))
+        # Repeated rows are encoded as often as they are; their count is the same.
+        found = texts.join(misses, stands, "left_semi").select("digest", "text")
+        found.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
         # A join on an aggregate's own shuffle couldn't split a digest that many documents have.
         stored = settle(stored_counts(spark, cache, version), "token-counts")
     answered = keyed.join(stored, "digest")
