@@ -245,7 +245,7 @@ def near_documents(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """
     rows = settle(fingerprints(docs), "simhash-prints")
     prints = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    labels = settle(components(near_prints(prints, dense)), "simhash-labels")
+    labels = settle(components(near_prints(prints, dense), written_minima=True), "simhash-labels")
     joined = prints.join(labels, prints["print"] == labels["node"], "left")
     top = settle(
         joined.select("print", "least", F.coalesce("label", "print").alias("label")), "simhash-members"
