@@ -160,3 +160,40 @@ def test_own_scorer_and_size_guard(spark):
     assert not terms.is_small(many)
     with pytest.raises(Exception, match="glossary rows"):
         terms.term_match(docs, many, ["doc_id"], "text", small=True).collect()
+
+
+def test_listed_sequences_are_counted_like_python(spark, monkeypatch):
+    import numpy as np
+
+    from folioloom.functions import sequences
+
+    draw = random.Random(5)
+    # Stretches that share a hash are told apart by their characters.
+    monkeypatch.setattr(sequences.Points, "hashes", lambda self, n, at=None: np.zeros(
+        len(at) if at is not None else max(0, len(self.codes) - n + 1), np.uint64))
+    for alphabet in ("ab", "aé中😀"):
+        word = lambda n: "".join(draw.choice(alphabet) for _ in range(n))
+        texts = [word(n) for n in (0, 1, 5, 40, 0, 300)]
+        listed = {word(n) for n in range(1, 13)}
+        places, lengths = sequences.places_of(sorted(listed))
+        table = np.zeros(sequences.PLACES, bool)
+        table[places] = True
+        rows = [x for part in sequences.count_listed(texts, table, sorted(lengths)) for x in zip(*part)]
+        assert len(rows) == len({(i, t) for i, t, _ in rows})
+        assert {(i, t): n for i, t, n in rows if t in listed} == {
+            (i, t): text.count(t) for i, text in enumerate(texts) for t in listed if t in text
+        }
+
+
+def test_no_text_is_searched_once_for_each_of_its_terms(spark):
+    texts = [(1, "xaxaxa é中é中é " + "longer words " * 3), (2, ""), (3, None), (4, "aaaaa")]
+    listed = ["a", "aa", "axa", "é中é", "longer words longer", "absent", ""]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    glossary = spark.createDataFrame([(t,) for t in listed], "term string")
+    found = terms.term_match(docs, glossary, ["doc_id"], "text")
+    assert sorted(map(tuple, found.collect())) == sorted(
+        (i, t, text.count(t)) for i, text in texts if text for t in listed if t and t in text
+    )
+    # The text has no place beside its matches: what is joined is terms, counts and keys.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" not in plan.lower() and plan.count("Join") == 1
