@@ -13,6 +13,7 @@ from folioloom import fixed_values as fixed
 from folioloom.functions.text import non_empty
 from folioloom.operators.ordering import keep_first
 from folioloom.schemas import BOOK
+from folioloom.session import gathered
 from folioloom.sources.decode import decode_bytes, normalize_encoding
 
 
@@ -35,13 +36,17 @@ def scan_chapters(books: DataFrame) -> DataFrame:
 
 
 def scan_texts(spark: SparkSession, library: str, folder: str = "raw") -> DataFrame:
-    """Chapter files of a folder of every book; unreadable files are skipped."""
+    """Chapter files of a folder of every book; unreadable files are skipped.
+
+    Folders are what is listed: a pattern that names files would make a path of each.
+    """
     files = (
         spark.read.option("ignoreCorruptFiles", "true")
         .option("ignoreMissingFiles", "true")
-        .text(f"{library}/*/{folder}/*.txt", wholetext=True)
+        .option("pathGlobFilter", "*.txt")
+        .text(f"{library}/*/{folder}", wholetext=True)
     )
-    return files.select(
+    return gathered(files).select(
         _book_id(2).alias("book_id"),
         F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("file_name"),
         F.col("value").alias("text"),
@@ -69,9 +74,15 @@ def numeric_file_order(file_name: Column) -> Column:
 
 
 def scan_pages(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Page files as decoded text."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
+    """Page files as decoded text.
+
+    Of a path that ends in a pattern of names, the folders are listed: as a pattern of files
+    it would make a path of each.
+    """
+    folder, _, name = path.rpartition("/")
+    reader = spark.read.format("binaryFile")
+    files = reader.option("pathGlobFilter", name).load(folder) if folder and "*" in name else reader.load(path)
+    return gathered(files).select(
         F.col("path").alias("url"),
         decode_bytes(F.col("content"), normalize_encoding(F.lit(encoding))).alias("html"),
     )

@@ -149,3 +149,31 @@ def test_names_that_come_back(spark):
         table = spark.createDataFrame(changes, CHANGE)
         assert {r.seq: r.accepted for r in sy.check_in_order(table, none, none).collect()} == verdicts
         assert {r.name: r.description for r in sy.apply_in_order(table, none, none, ["description"]).collect()} == after
+
+
+def test_few_books_of_many_files_are_read_by_several_tasks(spark, tmp_path):
+    spark.dataSource.register(lib.Library)
+    path = str(tmp_path / "library")
+    rows = [(f"b{k % 9}", f"{k}.txt", str(k)) for k in range(45)]
+    files(spark, rows).write.format("book_library").mode("append").save(path)
+    read = spark.read.format("book_library").load(path)
+    assert read.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+
+
+def test_scans_list_folders_and_gather_small_files(spark, tmp_path):
+    def roots(rows):
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        return plan.collectLeaves().head().relation().location().rootPaths().size()
+
+    for k in range(300):
+        folder = tmp_path / f"b{k % 3}" / "raw"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.txt").write_text(f"text {k}")
+        (folder / f"{k}.html").write_text(f"page {k}")
+    texts = readers.scan_texts(spark, str(tmp_path))
+    pages = readers.scan_pages(spark, f"{tmp_path}/*/raw/*.html")
+    assert sorted(r.text for r in texts.collect()) == sorted(f"text {k}" for k in range(300))
+    assert sorted(r.html for r in pages.collect()) == sorted(f"page {k}" for k in range(300))
+    assert readers.scan_pages(spark, f"{tmp_path}/b0/raw/3.html").first().html == "page 3"
+    assert roots(texts) == roots(pages) == 3
