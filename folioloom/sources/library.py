@@ -29,6 +29,8 @@ FILES = "book_id string, file_name string, text string"
 ARROW = pa.schema([("book_id", pa.string()), ("file_name", pa.string()), ("text", pa.string())])
 #: Names the library itself uses; no book begins with it.
 OWN = "_"
+#: Books of one partition at most, and partitions that fewer books are spread over.
+GROUP = 64
 #: Bytes of text in one Arrow batch, unless one text is longer.
 BATCH = 8 << 20
 
@@ -79,15 +81,17 @@ class LibraryReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]):
         self.path, self.folder = options["path"], options.get("folder", "raw")
-        self.group = int(options.get("booksPerPartition", "64"))
+        self.group = int(options.get("booksPerPartition", "0"))
         self.suffix = options.get("suffix", ".txt")
 
     def partitions(self) -> Sequence[InputPartition]:
         files, place = opened(self.path)
         found = files.get_file_info(fs.FileSelector(place, allow_not_found=True))
         names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(OWN))
+        # Few books are spread, each may hold many files; of many books a task has at most GROUP.
+        group = self.group or min(GROUP, max(1, -(-len(names) // GROUP)))
         # Spark reads at least one partition; the last one may be empty.
-        return [Books(tuple(names[k : k + self.group])) for k in range(0, max(1, len(names)), self.group)]
+        return [Books(tuple(names[k : k + group])) for k in range(0, max(1, len(names)), group)]
 
     def read(self, partition: Books) -> Iterator[pa.RecordBatch]:
         files, place = opened(self.path)
