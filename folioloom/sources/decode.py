@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioloom.functions.slices import sliced
+
 # The order in which encodings are tried.
 FALLBACK_ENCODINGS = ["gbk", "gb18030", "utf-8", "latin-1"]
 GBK_LABELS = ["gb2312", "gb18030"]
@@ -19,8 +23,8 @@ def normalize_encoding(label: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _decode_chain(content: pd.Series, label: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _decode_chain(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     def one(data: bytes, first: str) -> str | None:
         if data is None:
             return None
@@ -32,7 +36,10 @@ def _decode_chain(content: pd.Series, label: pd.Series) -> pd.Series:
                 continue
         return data.decode("utf-8", errors="ignore")
 
-    return pd.Series([one(d, e) for d, e in zip(content, label)])
+    for content, label in columns:
+        for piece in sliced(content):
+            pairs = zip(content[piece].to_pylist(), label[piece].to_pylist(), strict=True)
+            yield pa.array([one(d, e) for d, e in pairs], pa.string())
 
 
 def decode_bytes(content: Column, label: Column) -> Column:
