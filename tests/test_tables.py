@@ -244,3 +244,17 @@ def test_last_update_of_a_chapter_holds(spark):
     )
     rows = apply_chapter_updates(chapters, updates, F.current_timestamp(), order="step").collect()
     assert sorted((r["index"], r["title_vi"], r["status"]) for r in rows) == [(1, "A last", "translated"), (2, "kept", "error")]
+
+
+def test_glossary_of_the_corpus_keeps_no_pair_of_word_and_text(spark, tmp_path):
+    from folioloom.plans import adapters as ad
+
+    texts = [(1, "zebras zebras meadow Zebras"), (2, "meadow zebras"), (5, None), (7, "x"), (9, "ZEBRAS meadow, zebras meadow")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    firsts = ad.tokens(docs).groupBy("doc_id", "term").agg({"seq": "min"})
+    assert sorted(ad.first_tokens(docs).select("doc_id", "term", "seq").collect()) == sorted(firsts.collect())
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    glossary = ad.corpus_glossary(spark, str(tmp_path))
+    assert sorted((r.term, r.ordinal) for r in glossary.collect()) == [("meadow", (1 << 27) + 2), ("zebras", 1 << 27)]
+    plan = glossary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
