@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioloom import fixed_values as fixed
 from folioloom.operators.events import event_filter
-from folioloom.session import ROCKSDB
-from folioloom.streaming.tables import start
+from folioloom.streaming.tables import keep_on_disk, start
 
 
 def run_event_log(
@@ -30,41 +30,45 @@ BEATS = T.StructType(
 )
 
 
-class Beats(StatefulProcessor):
-    """Per job: how many heartbeats it had since its last event, and when that was."""
-
-    def __init__(self, idle: int, forget: int):
-        self.idle, self.forget = idle, forget
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # A job that is silent for so long leaves the state by itself.
-        self.state = handle.getValueState("beats", "sent long, since long", self.forget)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ended = any([batch["ends"].any() for batch in rows])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if ended:
-            self.state.clear()
-        else:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.state.update((0, now))
-            self.handle.registerTimer(now + self.idle)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        kept = self.state.get() if self.state.exists() else None
-        if kept is None or now - kept[1] >= self.forget:
-            self.state.clear()
-            return
-        self.state.update((kept[0] + 1, kept[1]))
-        self.handle.registerTimer(now + self.idle)
-        yield pd.DataFrame({"job_id": [key[0]], "type": ["heartbeat"], "number": [kept[0] + 1]})
-
-    def close(self) -> None:
-        pass
+#: Jobs are kept in so many groups by hash, as a call for each of them costs far more than its work.
+GROUPS = 4096
+_KEPT = "jobs array<string>, sent array<long>, since array<long>, due array<long>"
+
+
+def _beats(idle: int, forget: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Keeps per job how many heartbeats it had since its last event, when that was, and when
+    the next is due; the group wakes up for the first of them."""
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        kept = {job: numbers for job, *numbers in zip(*state.get)} if state.exists else {}
+        if not state.hasTimedOut:
+            ended = {}
+            for batch in rows:
+                for job, ends in zip(batch["job_id"], batch["ends"]):
+                    ended[job] = ended.get(job, False) or ends
+            for job, ends in ended.items():
+                kept.pop(job, None)
+                if not ends:
+                    kept[job] = [0, now, now + idle]
+        beats = []
+        for job, (sent, since, due) in list(kept.items()):
+            if due > now:
+                continue
+            if now - since >= forget:
+                del kept[job]
+            else:
+                kept[job] = [sent + 1, since, now + idle]
+                beats.append((job, "heartbeat", sent + 1))
+        if beats:
+            yield pd.DataFrame(beats, columns=BEATS.fieldNames())
+        if kept:
+            state.update((list(kept), *map(list, zip(*kept.values()))))
+            state.setTimeoutDuration(min(due for _, _, due in kept.values()) - now)
+        elif state.exists:
+            state.remove()
+
+    return step
 
 
 def heartbeats(events: DataFrame, idle_seconds: int = 30, forget_seconds: int = 24 * 3600) -> DataFrame:
@@ -72,11 +76,9 @@ def heartbeats(events: DataFrame, idle_seconds: int = 30, forget_seconds: int =
     such while, until its next event, its end, or ``forget_seconds``.
 
     Only the job id and whether the job ends go through the shuffle, once per job and Arrow
-    batch.  A timer and two numbers are kept per job; they go with its end.
+    batch.  Three numbers are kept per job; they go with its end.
     """
-    spark = events.sparkSession
-    # The operator needs a store with column families, whatever the session was built with.
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keep_on_disk(events.sparkSession)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,11 +90,13 @@ def heartbeats(events: DataFrame, idle_seconds: int = 30, forget_seconds: int =
             F.coalesce(F.col("type").isin(*fixed.LAST_EVENTS), F.lit(False)).alias("ends"),
         )
         .mapInPandas(once, "job_id string, ends boolean")
-        .groupBy("job_id")
-        .transformWithStateInPandas(
-            Beats(idle_seconds * 1000, forget_seconds * 1000),
+        .withColumn("group", F.pmod(F.xxhash64("job_id"), F.lit(GROUPS)))
+        .groupBy("group")
+        .applyInPandasWithState(
+            _beats(idle_seconds * 1000, forget_seconds * 1000),
             outputStructType=BEATS,
+            stateStructType=_KEPT,
             outputMode="append",
-            timeMode="ProcessingTime",
+            timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
         )
     )

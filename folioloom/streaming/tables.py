@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from folioloom.session import ROCKSDB
+
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -39,6 +41,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def keep_on_disk(spark: SparkSession) -> None:
+    """Streams started from now on keep their states on disk, whatever the session was built with.
+
+    A batch then writes what it changed, not a snapshot of every partition.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def start(writer: DataStreamWriter, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Start a stream: over what there is now, or every so many seconds."""
     writer = writer.option("checkpointLocation", checkpoint)

@@ -1,14 +1,19 @@
 """Streams: equal to batch, safe to run again, resumable."""
 
+import itertools
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from folioloom.operators import terms
+from folioloom.plans import stream_queries
 from folioloom.streaming import chapters, feeds, glossaries, progress, retries, states
 from folioloom.streaming.tables import arrivals, exists, read_batches, read_stream, start, write_batch
 
+SMALL_DATA = "/root/testdata/sf0.001"
 CHANGE = "book_id string, index long, status string, error string, s long, seq long"
 
 
@@ -109,6 +114,48 @@ def test_event_log_and_heartbeats(spark, tmp_path):
     assert jobs == {"j", "k"}
 
 
+def test_heartbeats_take_as_long_as_they_need(spark, monkeypatch):
+    # A clock on which every look is ten minutes later: the run must not end before its last job.
+    ticks = itertools.count(step=600)
+    monkeypatch.setattr(stream_queries, "time", SimpleNamespace(monotonic=lambda: next(ticks)), raising=False)
+    beats = stream_queries.job_heartbeats_stream(spark, SMALL_DATA).collect()
+    users = spark.read.parquet(f"{SMALL_DATA}/events.parquet").filter("user_id % 4 <> 0").select("user_id").distinct()
+    assert sorted(r.job_id for r in beats) == sorted(str(r.user_id) for r in users.collect())
+
+
+def test_jobs_of_a_group_have_their_own_times():
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):
+            self.wakes = self.now + ms
+
+    state, step = State(), feeds._beats(idle=10, forget=35)
+
+    def at(now, *rows):
+        state.now, state.hasTimedOut = now, not rows
+        out = step((0,), iter([pd.DataFrame(rows, columns=["job_id", "ends"])] if rows else []), state)
+        return [tuple(r) for beats in out for r in beats[["job_id", "number"]].itertuples(index=False)]
+
+    assert at(0, ("a", False), ("b", False), ("c", False), ("c", True)) == [] and state.wakes == 10
+    assert at(6, ("b", False)) == [] and state.wakes == 10
+    assert at(10) == [("a", 1)] and state.wakes == 16
+    # Rows for another job do not keep a beat back that is due.
+    assert at(17, ("d", False)) == [("b", 1)] and state.wakes == 20
+    assert at(30, ("b", True)) == [("a", 2), ("d", 1)] and state.wakes == 40
+    assert at(40) == [("d", 2)] and state.wakes == 50  # a is forgotten
+    assert at(52, ("d", True)) == [] and not state.exists
+
+
 def test_repeats_over_several_batches_are_in_state(spark, tmp_path):
     body = "<h1>T</h1><div id=c><p>" + "long enough text " * 20 + "</p></div>"
     source, out = str(tmp_path / "pages"), str(tmp_path / "out")
