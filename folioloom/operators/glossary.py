@@ -124,8 +124,12 @@ def cap_entries(base: DataFrame, limit: int = fixed.GLOSSARY_TERMS) -> DataFrame
 
 
 def shown_and_rest(base: DataFrame, limit: int = 50) -> DataFrame:
-    """The first rows in list order, each with the number of rows not shown."""
-    total = base.agg(F.count(F.lit(1))).scalar()
+    """The first rows in list order, each with the number of rows not shown.
+
+    Both read the same columns, so Spark makes the glossary once for the two.
+    """
+    place = F.col("ordinal")
+    total = base.agg(F.count(place) + F.count_if(place.isNull())).scalar()
     return cap_entries(base, limit).withColumn("n_more", F.greatest(total - limit, F.lit(0)))
 
 

@@ -258,3 +258,13 @@ def test_glossary_of_the_corpus_keeps_no_pair_of_word_and_text(spark, tmp_path):
     assert sorted((r.term, r.ordinal) for r in glossary.collect()) == [("meadow", (1 << 27) + 2), ("zebras", 1 << 27)]
     plan = glossary._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
+
+
+def test_shown_and_rest_make_the_glossary_once(spark):
+    words = spark.range(300).select(F.concat(F.lit("w"), (F.col("id") % 90).cast("string")).alias("term"), "id")
+    listed = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("ordinal"))
+    base = listed.filter("n >= 3").withColumn("ordinal", F.when(F.col("ordinal") != 7, F.col("ordinal")))
+    shown = gl.shown_and_rest(base, 50)
+    found = shown.collect()
+    assert len(found) == 50 and {r.n_more for r in found} == {40}
+    assert "ReusedExchange" in shown._jdf.queryExecution().executedPlan().toString()
