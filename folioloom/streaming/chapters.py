@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioloom.operators.chunking import chunk_documents
 from folioloom.operators.pages import extract_main_text
-from folioloom.streaming.tables import read_batches, start, write_batch
+from folioloom.streaming.tables import keep_on_disk, read_batches, start, write_batch
 
 TEXTS = T.StructType(
     [
@@ -67,6 +67,7 @@ def run_pages(
         ready = texts.filter("status = 'crawled'").select("page_id", "text")
         write_batch(chunk_documents(ready, **(chunk or {})), f"{path}/chunks", batch_id)
 
+    keep_on_disk(spark)
     texts = once_done(page_texts(pages, content, title, remove))
     return start(texts.writeStream.foreachBatch(save), checkpoint, seconds)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from folioloom.streaming.tables import read_batches, start, write_batch
+from folioloom.streaming.tables import keep_on_disk, read_batches, start, write_batch
 
 COUNTERS = ["events", "crawled", "translated", "errors"]
 INTERVALS = T.StructType(
@@ -52,11 +52,12 @@ def run_progress(
     events: DataFrame, path: str, checkpoint: str, interval: str = "2 seconds", late: str | None = None,
     seconds: int | None = None,
 ) -> StreamingQuery:
-    """Keep the counters of jobs and intervals; a batch writes those that it changed."""
+    """Keep the counters of jobs and intervals on disk; a batch writes those that it changed."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
 
+    keep_on_disk(events.sparkSession)
     counted = interval_counts(events, interval, late)
     return start(counted.writeStream.outputMode("update").foreachBatch(save), checkpoint, seconds)
 

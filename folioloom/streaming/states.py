@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from folioloom.streaming.tables import read_batches, start, write_batch
+from folioloom.streaming.tables import keep_on_disk, read_batches, start, write_batch
 
 KEY = ["book_id", "index"]
 STATES = T.StructType(
@@ -57,13 +57,14 @@ def run_states(
     """Keep the states of a stream of changes as batches of a table.
 
     Changes of chapters that are not in ``chapters`` are ignored.  The state holds one row
-    per chapter and is bounded by their number.
+    per chapter and is bounded by their number; it is kept on disk.
     """
     known = changes if chapters is None else changes.join(chapters.select(*KEY), KEY, "left_semi")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
 
+    keep_on_disk(changes.sparkSession)
     return start(chapter_states(known).writeStream.outputMode("update").foreachBatch(save), checkpoint, seconds)
 
 

@@ -208,6 +208,34 @@ def test_progress_of_intervals_and_batches(spark, tmp_path):
     assert sum(r.events for r in batches) == sum(r.input_rows for r in batches) == len(data)
 
 
+@pytest.mark.parametrize("kind", ["progress", "states", "pages"])
+def test_states_are_on_disk_in_every_session(spark, tmp_path, kind):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    built, plain = spark.conf.get(key), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    source, out, checkpoint = (str(tmp_path / name) for name in ("rows", "out", "cp"))
+    given = {
+        "progress": spark.createDataFrame([("j", "progress", 5)], "job_id string, type string, s long"),
+        "states": spark.createDataFrame([("b", 1, "crawled", None, 10, 0)], CHANGE),
+        "pages": spark.createDataFrame([(1, "<h1>T</h1><div id=c>text</div>")], "page_id long, html string"),
+    }[kind]
+    rows = given.withColumn("ts", F.timestamp_seconds("s")).drop("s") if "s" in given.columns else given
+    rows.write.parquet(source)
+    spark.conf.set(key, plain)
+    try:
+        stream = read_stream(spark, source)
+        run = {
+            "progress": lambda: progress.run_progress(stream, out, checkpoint),
+            "states": lambda: states.run_states(stream, out, checkpoint),
+            "pages": lambda: chapters.run_pages(stream, out, checkpoint, "#c", "h1", []),
+        }[kind]()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(key, built)
+    files = {p.suffix for p in (tmp_path / "cp" / "state").rglob("*") if p.is_file() and p.stat().st_size}
+    # Changes are written, not maps that a task keeps in its memory (.delta).
+    assert ".changelog" in files and ".delta" not in files
+
+
 def test_failures_wait_in_quarantine(spark, tmp_path):
     source, out = str(tmp_path / "docs"), str(tmp_path / "out")
     for k in range(3):
