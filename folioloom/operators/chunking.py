@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom import fixed_values as fixed
+from folioloom.functions.arrays import let
 from folioloom.functions.text import is_dialogue, split_paragraphs, split_sentences
 
-# A piece is `count` whole paragraphs from `first` on, or (count 0) `size` characters of
-# paragraph `first` from `start` on.
-_PIECES = "array<array<struct<first:int,count:int,start:int,size:int>>>"
+# A piece is `count` whole paragraphs from `first` on, or (count 0) part `part` of paragraph
+# `first`: a sentence, or what one longer than a chunk is cut into.
+_PIECES = "array<array<struct<first:int,count:int,part:int>>>"
 
 
 def dialogue_ends(sizes: Sequence[int], talk: Sequence[bool], short: int) -> list[int]:
@@ -42,17 +43,17 @@ def plan_chunks(
     gap: int,
     overflow: float,
     short: int,
-) -> list[list[tuple[int, int, int, int]]]:
+) -> list[list[tuple[int, int, int]]]:
     """Chunks as lists of pieces, from paragraph sizes, dialogue flags and sentence sizes."""
-    chunks: list[list[tuple[int, int, int, int]]] = []
-    held: list[tuple[int, int, int, int]] = []
+    chunks: list[list[tuple[int, int, int]]] = []
+    held: list[tuple[int, int, int]] = []
     filled = 0
     ends = dialogue_ends(sizes, talk, short)
     reach = [0]
     for size in sizes:
         reach.append(reach[-1] + size)
 
-    def hold(piece: tuple[int, int, int, int], length: int, fits: bool, cost: int) -> None:
+    def hold(piece: tuple[int, int, int], length: int, fits: bool, cost: int) -> None:
         """Add a piece to the open chunk, or close that chunk and open one with the piece."""
         nonlocal held, filled
         if fits:
@@ -71,25 +72,25 @@ def plan_chunks(
             length = int(reach[ends[at] + 1] - reach[at]) + gap * (many - 1)
             fits = filled + length + gap <= limit
             if fits or length <= limit * overflow:
-                hold((at, many, 0, length), length, fits, length + gap)
+                hold((at, many, 0), length, fits, length + gap)
                 at += many
                 continue
         if size <= limit:
-            hold((at, 1, 0, size), size, filled + size + gap <= limit, size + gap)
+            hold((at, 1, 0), size, filled + size + gap <= limit, size + gap)
         else:
             if held:
                 chunks.append(held)
             held, filled = [], 0
-            start = 0
+            part = 0
             for length in map(int, sentences[at]):
                 if length > limit:
                     # Cut at once, even ahead of what the open chunk holds.
-                    stop = start + length
-                    for cut in range(start, stop, limit):
-                        chunks.append([(at, 0, cut, min(limit, stop - cut))])
+                    many = -(-length // limit)
+                    chunks.extend([(at, 0, k)] for k in range(part, part + many))
                 else:
-                    hold((at, 0, start, length), length, filled + length <= limit, length)
-                start += length
+                    many = 1
+                    hold((at, 0, part), length, filled + length <= limit, length)
+                part += many
         at += 1
     if held:
         chunks.append(held)
@@ -109,19 +110,29 @@ def _planner(limit: int, gap: int, overflow: float, short: int):
     return plan
 
 
-def _sentence_sizes(paragraph: Column, ends: str) -> Column:
-    """Sentence lengths; a bare end mark is preceded by one empty sentence."""
+def _sentences(paragraph: Column, ends: str) -> Column:
+    """The sentences; a bare end mark is preceded by one empty sentence."""
     marks = F.array(*[F.lit(mark) for mark in ends])
     return F.flatten(
         F.transform(
             split_sentences(paragraph, ends),
-            lambda s: F.when(F.array_contains(marks, s), F.array(F.lit(0), F.lit(1))).otherwise(
-                F.array(F.length(s))
-            ),
+            lambda s: F.when(F.array_contains(marks, s), F.array(F.lit(""), s)).otherwise(F.array(s)),
         )
     )
 
 
+def _parts(sentences: Column, size: int) -> Column:
+    """The sentences, those longer than a chunk cut into such of its size.
+
+    One pass over a text cuts it; to count characters from its beginning for each part would
+    take time with the square of its length.
+    """
+    cuts = lambda s: F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.flatten(
+        F.transform(sentences, lambda s: F.when(F.length(s) > size, cuts(s)).otherwise(F.array(s)))
+    )
+
+
 def chunk_documents(
     docs: DataFrame,
     text: str = "text",
@@ -140,31 +151,31 @@ def chunk_documents(
     """
     plan = _planner(size, len(separator), overflow, short)
     others = [c for c in docs.columns if c != text]
-    measured = docs.withColumn("_paras", split_paragraphs(F.col(text), separator)).withColumn(
-        "_pieces",
+    long = lambda p: F.when(F.length(p) > size, _sentences(p, sentence_ends))
+    split = docs.withColumn("_paras", split_paragraphs(F.col(text), separator))
+    split = split.withColumn("_sentences", F.transform("_paras", long))
+    measured = split.select(
+        *others,
+        "_paras",
+        "_sentences",
         plan(
             F.transform("_paras", F.length),
             F.transform("_paras", lambda p: is_dialogue(p, marks, attributions)),
-            F.transform(
-                "_paras",
-                lambda p: F.when(F.length(p) > size, _sentence_sizes(p, sentence_ends)),
-            ),
-        ),
+            F.transform("_sentences", lambda p: F.transform(p, F.length)),
+        ).alias("_pieces"),
     )
 
-    def cut(piece: Column) -> Column:
+    def cut(piece: Column, parts: Column) -> Column:
         whole = F.slice("_paras", piece["first"] + 1, piece["count"])
-        part = F.substring(
-            F.element_at("_paras", piece["first"] + 1), piece["start"] + 1, piece["size"]
-        )
+        part = F.element_at(F.element_at(parts, piece["first"] + 1), piece["part"] + 1)
         return F.when(piece["count"] > 0, F.array_join(whole, separator)).otherwise(part)
 
-    texts = measured.select(
-        *others,
-        F.transform(
-            "_pieces", lambda chunk: F.array_join(F.transform(chunk, cut), separator)
-        ).alias("_chunks"),
-    )
+    def cut_all(parts: Column) -> Column:
+        join = lambda pieces: F.array_join(F.transform(pieces, lambda p: cut(p, parts)), separator)
+        return F.transform("_pieces", join)
+
+    parts = F.transform("_sentences", lambda p: _parts(p, size))
+    texts = measured.select(*others, let(parts, cut_all).alias("_chunks"))
 
     def row(chunk: Column, place: Column) -> Column:
         before = F.element_at("_chunks", F.greatest(place, F.lit(1)))

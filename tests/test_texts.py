@@ -1,6 +1,7 @@
 """Chunks against SQL, terms and annotation against plain Python models."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -41,6 +42,20 @@ def test_chunks_of_random_texts_equal_sql(spark, tmp_path, partitions):
         assert sorted((r.asDict() for r in got.collect()), key=key) == sorted(expected, key=key), name
 
 
+def test_long_paragraphs_are_cut_in_one_pass(spark):
+    sentence, n = "é" * 19 + ".", 100_000
+    wide = "𝄞" * 2500
+    docs = spark.createDataFrame([(1, sentence * n), (2, wide + "é.")], "doc_id long, text string")
+    begin = time.perf_counter()
+    rows = chunking.chunk_documents(docs, size=1000, separator="\n", sentence_ends=".").collect()
+    # Counting characters from the beginning for each of 100,000 sentences took minutes.
+    assert time.perf_counter() - begin < 30
+    texts = {i: [r.main_text for r in sorted(rows, key=lambda r: r.chunk_idx) if r.doc_id == i] for i in (1, 2)}
+    # The end mark leaves an empty sentence, which fits the last chunk.
+    assert texts[1] == ["\n".join([sentence] * 50)] * (n // 50 - 1) + ["\n".join([sentence] * 50 + [""])]
+    assert texts[2] == ["𝄞" * 1000, "𝄞" * 1000, "𝄞" * 500 + "é.", ""]
+
+
 def test_chunk_examples(spark):
     long = "\n\n".join(["这是一个很长的段落。" * 50] * 5)
     three = "第一段。\n\n第二段。\n\n第三段。"
