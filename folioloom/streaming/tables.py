@@ -45,7 +45,7 @@ def keep_on_disk(spark: SparkSession) -> None:
     """Streams started from now on keep their states on disk, whatever the session was built with.
 
     A batch then writes what it changed, not a snapshot of every partition, and all stores of an
-    executor share half a gigabyte, however many partitions it has.
+    executor share half a gigabyte for cached blocks and writes.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
