@@ -14,8 +14,10 @@ import numpy as np
 SEED = 6
 #: Places of the table of listed sequences; it takes half a megabyte as bits.
 PLACES = 1 << 22
-#: Code points worked on together, unless one text is longer.
-SLICE = 1 << 20
+#: Places that stand for a whole sequence: one that no term is must have all of them by chance.
+PROBES = 3
+#: Code points worked on together, unless one text is longer; so many stay near the core.
+SLICE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -37,8 +39,16 @@ def _mixed(numbers: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     return mixed
 
 
-def _place(hashes: np.ndarray, kind: int) -> np.ndarray:
-    return (_mixed(hashes, kind) >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+def _place(hashes: np.ndarray, kind: int, probe: int = 0) -> np.ndarray:
+    return (_mixed(hashes, kind + (probe << 32)) >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+
+
+def _in_table(table: np.ndarray, hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Numbers of the hashes that have all their places in the table."""
+    found = np.flatnonzero(table[_place(hashes, kind)])
+    for probe in range(1, PROBES):
+        found = found[table[_place(hashes[found], kind, probe)]]
+    return found
 
 
 class Points:
@@ -68,7 +78,7 @@ def places_of(terms: list[str]) -> tuple[np.ndarray, set[int]]:
     for length in lengths:
         same = [t for t in terms if len(t) == length]
         points, starts = Points(same), np.arange(len(same)) * length
-        found.append(_place(points.hashes(length, starts), length))
+        found += [_place(points.hashes(length, starts), length, probe) for probe in range(PROBES)]
         if length > SEED:
             found.append(_place(points.hashes(SEED, starts), 0))
     return np.unique(np.concatenate(found)), lengths
@@ -85,12 +95,10 @@ def sliced(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     yield first, texts[first:]
 
 
-def count_listed(
-    texts: list[str], table: np.ndarray, lengths: list[int]
-) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """For each length: numbers of texts, sequences in them that the table has, and how often
-    they occur without overlap.  A few sequences that no term is may be among them."""
-    points = Points(texts)
+def _listed(
+    points: Points, table: np.ndarray, lengths: list[int]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: where stretches that the table has begin, their hashes and their texts' numbers."""
     n = len(points.codes)
     seeded = None
     for length in lengths:
@@ -98,18 +106,59 @@ def count_listed(
             continue
         if length <= SEED:
             hashes = points.hashes(length)
-            at = np.flatnonzero(table[_place(hashes, length)])
+            at = _in_table(table, hashes, length)
             hashes = hashes[at]
         else:
             if seeded is None:
                 seeded = np.flatnonzero(table[_place(points.hashes(SEED), 0)])
             at = seeded[seeded + length <= n]
             hashes = points.hashes(length, at)
-            listed = table[_place(hashes, length)]
+            listed = _in_table(table, hashes, length)
             at, hashes = at[listed], hashes[listed]
         owners = np.searchsorted(points.ends, at, side="right")
         inside = at + length <= points.ends[owners]
-        yield _counted(points, texts, at[inside], hashes[inside], owners[inside], length)
+        yield length, at[inside], hashes[inside], owners[inside]
+
+
+def count_listed(
+    texts: list[str], table: np.ndarray, lengths: list[int]
+) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """For each length: numbers of texts, sequences in them that the table has, and how often
+    they occur without overlap.  A few sequences that no term is may be among them."""
+    points = Points(texts)
+    for length, at, hashes, owners in _listed(points, table, lengths):
+        yield _counted(points, texts, at, hashes, owners, length)
+
+
+def count_texts(
+    texts: list[str], table: np.ndarray, lengths: list[int]
+) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Sequences that the table has, and in how many of the texts each occurs.  A few sequences
+    that no term is may be among them."""
+    points = Points(texts)
+    for length, at, hashes, owners in _listed(points, table, lengths):
+        while len(at):
+            order = np.argsort(hashes, kind="stable")
+            at, hashes, owners = at[order], hashes[order], owners[order]
+            heads, group, same = _alike(points, at, hashes, length)
+            # Places of a group are in the order of the texts.
+            of, owned = group[same], owners[same]
+            fresh = np.r_[True, (of[1:] != of[:-1]) | (owned[1:] != owned[:-1])]
+            words = [points.joined[p : p + length] for p in at[heads].tolist()]
+            yield words, np.bincount(of[fresh], minlength=len(heads))
+            at, hashes, owners = at[~same], hashes[~same], owners[~same]
+
+
+def _alike(points, at, marks, length):
+    """Of sorted marks: where groups of equal ones begin, every place's group, and whether it has
+    the characters of the group's first.  What only shares its mark with it has another turn."""
+    opens = np.r_[True, marks[1:] != marks[:-1]]
+    heads, group = np.flatnonzero(opens), np.cumsum(opens) - 1
+    first = at[heads][group]
+    same = np.ones(len(at), bool)
+    for j in range(length):
+        same &= points.codes[at + j] == points.codes[first + j]
+    return heads, group, same
 
 
 def _counted(points, texts, at, hashes, owners, length):
@@ -119,17 +168,12 @@ def _counted(points, texts, at, hashes, owners, length):
         mark = _mixed(hashes, owners)
         order = np.argsort(mark, kind="stable")
         at, hashes, owners, mark = at[order], hashes[order], owners[order], mark[order]
-        opens = np.r_[True, mark[1:] != mark[:-1]]
-        group = np.cumsum(opens) - 1
-        first = at[opens]
-        same = owners == owners[opens][group]
-        for j in range(length):
-            same &= points.codes[at + j] == points.codes[first[group] + j]
-        # What only shares its hash with the first of its group has another turn.
+        heads, group, same = _alike(points, at, mark, length)
+        owned = owners[heads]
+        same &= owners == owned[group]
         kept, of = at[same], group[same]
-        n = np.bincount(of, minlength=len(first))
-        words = [points.joined[p : p + length] for p in first.tolist()]
-        owned = owners[opens]
+        n = np.bincount(of, minlength=len(heads))
+        words = [points.joined[p : p + length] for p in at[heads].tolist()]
         close = (kept[1:] - kept[:-1] < length) & (of[1:] == of[:-1])
         for g in np.unique(of[1:][close]).tolist():
             n[g] = texts[owned[g]].count(words[g])

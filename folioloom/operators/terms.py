@@ -125,6 +125,29 @@ def listed_pairs(texts: DataFrame, glossary: DataFrame, key: list[str], text: st
     return found.join(glossary, "term").select(*key, *glossary.columns, "tf")
 
 
+def document_counts(docs: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
+    """In how many documents each term occurs: (term, _df), of terms that one has.
+
+    The search of ``listed_pairs``, but the task adds up the documents of an Arrow batch, so a
+    term leaves it once for all of them.  A few sequences that no term is may be among them.
+    """
+    bits, lengths = listed_places(glossary)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(bits, bitorder="little").view(bool)
+        for batch in batches:
+            counts: dict[str, int] = {}
+            for _, some in sequences.sliced(_texts(batch.column(0))):
+                for found, numbers in sequences.count_texts(some, table, lengths):
+                    for term, n in zip(found, numbers.tolist()):
+                        counts[term] = counts.get(term, 0) + n
+            columns = [pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "n"])
+
+    found = docs.select(text).mapInArrow(search, "term string, n long")
+    return found.groupBy("term").agg(F.sum("n").alias("_df"))
+
+
 def term_match(
     texts: DataFrame,
     glossary: DataFrame,
@@ -159,22 +182,22 @@ def fit_terms(
     if small:
         hits = present(F.col(text), F.col("_entries"))
         found = with_entries(docs.select(text), glossary).select(
-            F.explode(F.transform(hits, lambda e: e["term"])).alias("term")
+            F.explode(F.array_distinct(F.transform(hits, lambda e: e["term"]))).alias("term")
         )
+        counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     else:
-        found = listed_pairs(docs, glossary, [key], text)
-    # A term listed twice is found twice in each of its documents.
-    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("_pairs"))
-    copies = glossary.groupBy("term").agg(F.count(F.lit(1)).alias("_copies"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    df = F.coalesce(F.floor(F.col("_pairs") / F.col("_copies")), F.lit(0)).cast("long")
+        counts = document_counts(docs, glossary, text)
+    return _with_idf(glossary, counts, docs.agg(F.count(F.lit(1))).scalar())
+
+
+def _with_idf(glossary: DataFrame, counts: DataFrame, n_docs: Column) -> DataFrame:
     return (
-        glossary.join(copies, "term")
+        glossary.filter("term IS NOT NULL")
         .join(counts, "term", "left")
-        .withColumn("df", df)
+        .withColumn("df", F.coalesce("_df", F.lit(0)).cast("long"))
         .withColumn("n_docs", n_docs)
         .withColumn("idf", idf(F.col("df"), F.col("n_docs")))
-        .drop("_pairs", "_copies")
+        .drop("_df")
     )
 
 
@@ -189,21 +212,11 @@ def refit_terms(
     """
     known = previous.groupBy("term").agg(F.max("df").alias("_df"))
     new_terms = glossary.join(known, "term", "left_anti")
-    listed = [listed_pairs(added, glossary, [key], text), listed_pairs(counted, new_terms, [key], text)]
-    found = listed[0].select("term").unionAll(listed[1].select("term"))
-    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("_pairs"))
-    copies = glossary.groupBy("term").agg(F.count(F.lit(1)).alias("_copies"))
+    # A sequence that a hash alone let through may be a term that has its number already.
+    only_new = document_counts(counted, new_terms, text).join(new_terms, "term", "left_semi")
+    counts = document_counts(added, glossary, text).unionByName(only_new).unionByName(known)
     n_docs = counted.select(key).unionAll(added.select(key)).agg(F.count(F.lit(1))).scalar()
-    more = F.coalesce(F.floor(F.col("_pairs") / F.col("_copies")), F.lit(0))
-    return (
-        glossary.join(copies, "term")
-        .join(counts, "term", "left")
-        .join(known, "term", "left")
-        .withColumn("df", (F.coalesce("_df", F.lit(0)) + more).cast("long"))
-        .withColumn("n_docs", n_docs)
-        .withColumn("idf", idf(F.col("df"), F.col("n_docs")))
-        .drop("_pairs", "_copies", "_df")
-    )
+    return _with_idf(glossary, counts.groupBy("term").agg(F.sum("_df").alias("_df")), n_docs)
 
 
 def idf(df: Column, n_docs: Column) -> Column:

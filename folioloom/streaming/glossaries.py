@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folioloom import fixed_values as fixed
+from folioloom.functions.arrays import each
 from folioloom.functions.text import word_tokens
 from folioloom.operators.glossary import grow_glossary
 from folioloom.operators.terms import fit_terms, refit_terms
@@ -25,19 +26,26 @@ Extractor = Callable[[DataFrame], DataFrame]
 def frequent_words(docs: DataFrame, limit: int = fixed.NEW_TERMS_PER_TEXT, shortest: int = 6) -> DataFrame:
     """A stand-in for an extractor: the most frequent longer words of each text (doc_id, text)."""
     words = F.filter(word_tokens(F.lower("text")), lambda w: F.length(w) >= shortest)
-    counted = (
-        docs.select("doc_id", F.explode(words).alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))
-    best = counted.withColumn("place", place).filter(F.col("place") <= limit)
-    return best.select(
-        "term",
-        F.upper("term").alias("target"),
+    # Equal words are counted inside the row by sorting, so only the best leave it.
+    ordered = docs.select("doc_id", F.sort_array(words).alias("_words"))
+
+    def first_of_word(word: Column, i: Column) -> Column:
+        return (i == 0) | (F.get("_words", i - 1) != word)
+
+    placed = F.transform("_words", lambda w, i: F.when(first_of_word(w, i), i))
+    starts = ordered.select("doc_id", "_words", F.filter(placed, lambda i: i.isNotNull()).alias("_starts"))
+
+    def counted(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_starts", i + 1), F.size("_words"))
+        return F.struct((start - end).alias("neg_n"), F.get("_words", start).alias("term"))
+
+    best = F.slice(F.sort_array(F.transform("_starts", counted)), 1, limit)
+    return starts.select("doc_id", F.posexplode(each(best)).alias("place", "_best")).select(
+        F.col("_best.term").alias("term"),
+        F.upper("_best.term").alias("target"),
         F.lit(fixed.DEFAULT_CATEGORY).alias("category"),
         F.lit(None).cast("string").alias("notes"),
-        F.struct("doc_id", "place").alias("seq"),
+        F.struct("doc_id", (F.col("place") + 1).alias("place")).alias("seq"),
     )
 
 

@@ -1,13 +1,16 @@
 """Streams: equal to batch, safe to run again, resumable."""
 
 import itertools
+import re
 import time
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folioloom.functions import sequences
 from folioloom.operators import terms
 from folioloom.plans import stream_queries
 from folioloom.streaming import chapters, feeds, glossaries, progress, retries, states
@@ -304,3 +307,32 @@ def test_terms_are_folded(spark, tmp_path, monkeypatch):
         assert known == sorted(["harbour", *(t for t, b in terms_added.items() if b < before)])
     noted = read_batches(spark, f"{out}/versions", glossaries.VERSIONS).collect()
     assert {r.batch_id: r.version for r in noted} == {k: len({b for b in terms_added.values() if b <= k}) for k in range(5)}
+
+
+def test_words_are_counted_inside_their_row(spark):
+    texts = ["", None, "river River mountain", "rivers harbour harbour rivers lantern Árboles", "short words only", "a_long 123456 a_long"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = glossaries.frequent_words(docs, limit=2)
+    want = []
+    for i, text in enumerate(texts):
+        words = [w for w in re.findall(r"\w+", (text or "").lower()) if len(w) >= 6]
+        best = sorted(set(words), key=lambda w: (-words.count(w), w))[:2]
+        want += [(w, w.upper(), "general", None, (i, place + 1)) for place, w in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # What is shuffled is no longer every word of every text: nothing is.
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statistics_do_not_depend_on_the_table_of_hashes(spark, monkeypatch):
+    # A table that lets every stretch through, as a full one nearly does.
+    every = (np.full(sequences.PLACES // 8, 255, np.uint8), list(range(1, 10)))
+    monkeypatch.setattr(terms, "listed_places", lambda glossary: every)
+    texts = ["harbour lantern", "lantern lantern", "rivers harbour", "", None, "lanterns"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = spark.createDataFrame([(w,) for w in ("harbour", "lantern", "rivers", "absent", "harbour", None)], "term string")
+    first = terms.fit_terms(docs.filter("doc_id < 2"), listed.filter("term = 'lantern'"), "doc_id")
+    again = terms.refit_terms(first, docs.filter("doc_id < 2"), docs.filter("doc_id >= 2"), listed, "doc_id")
+    want = [("absent", 0), ("harbour", 2), ("harbour", 2), ("lantern", 3), ("rivers", 1)]
+    for fitted in (again, terms.fit_terms(docs, listed, "doc_id")):
+        assert sorted((r.term, r.df) for r in fitted.collect()) == want
+        assert {r.n_docs for r in fitted.collect()} == {len(texts)}

@@ -200,6 +200,30 @@ def test_listed_sequences_are_counted_like_python(spark, monkeypatch):
         }
 
 
+@pytest.mark.parametrize("collide", [True, False])
+def test_texts_that_have_a_sequence_are_counted_like_python(monkeypatch, collide):
+    import numpy as np
+
+    from folioloom.functions import sequences
+
+    draw = random.Random(6)
+    if collide:
+        monkeypatch.setattr(sequences.Points, "hashes", lambda self, n, at=None: np.zeros(
+            len(at) if at is not None else max(0, len(self.codes) - n + 1), np.uint64))
+    for alphabet in ("ab", "aé中😀"):
+        word = lambda n: "".join(draw.choice(alphabet) for _ in range(n))
+        texts = [word(n) for n in (0, 1, 5, 40, 0, 300, 40)]
+        listed = {word(n) for n in range(1, 13)}
+        places, lengths = sequences.places_of(sorted(listed))
+        table = np.zeros(sequences.PLACES, bool)
+        table[places] = True
+        rows = [x for part in sequences.count_texts(texts, table, sorted(lengths)) for x in zip(*part)]
+        assert len(rows) == len({t for t, _ in rows})
+        assert {t: n for t, n in rows if t in listed} == {
+            t: n for t in listed if (n := sum(t in text for text in texts))
+        }
+
+
 def test_no_text_is_searched_once_for_each_of_its_terms(spark):
     texts = [(1, "xaxaxa é中é中é " + "longer words " * 3), (2, ""), (3, None), (4, "aaaaa")]
     listed = ["a", "aa", "axa", "é中é", "longer words longer", "absent", ""]
@@ -212,3 +236,19 @@ def test_no_text_is_searched_once_for_each_of_its_terms(spark):
     # The text has no place beside its matches: what is joined is terms, counts and keys.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "contains(" not in plan.lower() and plan.count("Join") == 1
+
+
+def test_few_sequences_but_terms_leave_a_task():
+    import numpy as np
+
+    from folioloom.functions import sequences
+
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(6, 14))) for _ in range(60_000)]
+    places, lengths = sequences.places_of(words)
+    table = np.zeros(sequences.PLACES, bool)
+    table[places] = True
+    # Beginnings of terms stand before other ends, at every length that a term has.
+    texts = ["".join(draw.sample(words, 40)) for _ in range(200)]
+    found = [t for part in sequences.count_texts(texts, table, sorted(lengths)) for t in part[0]]
+    assert len(set(found) - set(words)) < len(found) / 100
