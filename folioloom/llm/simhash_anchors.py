@@ -217,7 +217,9 @@ def near_prints(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     full = settle(placed.groupBy(F.col("home").alias("anchor")).count().where(F.col("count") > dense), "simhash-dense")
     sparse = placed.select(F.col("home").alias("anchor"), F.col("print").alias("a")).join(full, "anchor", "left_anti")
     sent = sent_to_anchors(placed)
-    met = sent.select("anchor", F.col("print").alias("b")).join(sparse, "anchor")
+    # Spark takes rows made in a plan for no more than those they are made from, and would
+    # broadcast what was sent, some 150 times what it is taken for; so joins on it are merged.
+    met = sent.select("anchor", F.col("print").alias("b")).join(sparse.hint("merge"), "anchor")
     links = met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD))
     links = links.select("a", "b")
     if full.isEmpty():
@@ -228,7 +230,7 @@ def near_prints(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     points = F.explode(F.array(*[F.col("print").bitwiseXOR(F.lit(bit).cast("bigint")) for bit in flips]))
     around = crowded.select(F.col("print").alias("b"), points.alias("point"))
     least = settle(around.groupBy("point").agg(F.min("b").alias("a"), F.max("b").alias("_most")).where("a < _most"), "simhash-points")
-    return links.unionByName(around.join(least, "point").where(F.col("a") < F.col("b")).select("a", "b"))
+    return links.unionByName(around.join(least.hint("merge"), "point").where(F.col("a") < F.col("b")).select("a", "b"))
 
 
 def near_documents(docs: DataFrame, dense: int = DENSE) -> DataFrame:

@@ -223,6 +223,23 @@ def test_near_prints_equal_brute_force(spark):
         assert {i: find(by_print[p]) for i, p in signed} == want
 
 
+def test_made_rows_are_not_broadcast(spark):
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    # The first sixty have their home in common, the others are by themselves.
+    prints = [*(1 << k for k in range(60)), *(random.Random(5).getrandbits(63) for _ in range(200))]
+    distinct = spark.createDataFrame([(p,) for p in prints], "print long")
+    links = simhash_anchors.near_prints(distinct, dense=8)
+    own = list(nodes(links._jdf.queryExecution().sparkPlan()))
+    assert {"MapInArrow", "Generate"} <= {n.nodeName() for n in own}
+    for join in (n for n in own if n.nodeName() == "BroadcastHashJoin"):
+        held = join.left() if join.buildSide().toString() == "BuildLeft" else join.right()
+        assert not {"MapInArrow", "Generate"} & {n.nodeName() for n in nodes(held)}
+
+
 def test_near_documents(spark):
     rng = random.Random(7)
     words = sentence(rng, 400).split()
